@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple = ()
+from normwerk.plans import search_queries, traffic_queries
+
+_MODULES = (search_queries, traffic_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
