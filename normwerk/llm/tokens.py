@@ -15,28 +15,47 @@ from array import array
 from functools import lru_cache
 from itertools import chain
 
-import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Distinct pieces that a worker remembers (about 200 MB); beyond that it starts anew.
-REMEMBERED = 1_000_000
+#: Distinct pieces that a worker remembers (about 300 MB); beyond that it starts anew.
+REMEMBERED = 1_500_000
 _LONG = 64  # longer pieces are not remembered
-_CUT = "\ue000"  # private use; texts that hold it are cut more slowly
+_FIRST = "\ue000"  # marks pieces that begin without a space; texts that hold it are encoded whole
 _WHITE = re.compile(r"(?<=\S)(?= \S)")
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _P = r".,!?;:%&$#*|"
+_WORD = re.compile(rf"( ?[{_L}]+)([{_P}]*)\Z").match
 _PARTS = re.compile(rf" ?[{_L}]+| ?[{_P}]+|\n")
 _SAFE = re.compile(rf"(?: ?[{_L}]+|\A [{_P}]+|[{_P}]+|(?<=[^\n])\n(?=[{_L}{_P}]))+")
 
 
+def _byte_characters() -> dict[int, int]:
+    """Byte-level vocabularies write each byte as a character: printable ones as themselves, the others, in order, from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+_BYTES = _byte_characters()
+
+
 def end_id_bytes() -> bytes:
     return b"\0\0\0\0"
 
 
+def _key(piece: str) -> str:
+    """Most pieces begin with a space, which goes without saying; the others are marked."""
+    return piece[1:] if piece[:1] == " " else _FIRST + piece
+
+
+def _piece(key: str) -> str:
+    return key[1:] if key[:1] == _FIRST else " " + key
+
+
 class Encoder:
-    """Ids of texts; `known` has piece -> its ids as little-endian unsigned 32-bit integers."""
+    """Ids of texts; `known` has, by the key of each piece, its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         self.known: dict[str, bytes] = {}  # exactly a dict: set.difference looks it up instead of running through it
@@ -48,52 +67,63 @@ class Encoder:
     def _encode(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tool.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _apart(self, parts: list[str]) -> list[tuple[str, bytes]]:
-        """The ids of parts that the library doesn't divide, from one text that has a line end between each two: there it divides in any case."""
-        if "\n" in parts:
-            rest = [p for p in parts if p != "\n"]
-            return [("\n", self._encode(["\n"])[0]), *(self._apart(rest) if rest else [])]
-        e = self.tool.encode("\n".join(parts), add_special_tokens=False)
-        of, wanted = np.array(e.word_ids), np.arange(len(parts)) * 2  # the line ends are the odd ones
-        if of[-1] != wanted[-1]:
-            return list(zip(parts, self._encode(parts), strict=True))
-        ids = array("I", e.ids).tobytes()
-        begin, end = np.searchsorted(of, wanted) * 4, np.searchsorted(of, wanted, "right") * 4
-        return [(p, ids[b:e]) for p, b, e in zip(parts, begin.tolist(), end.tolist(), strict=True)]
-
-    def _learn(self, pieces: list[str]) -> None:
+    def _single(self, parts: set[str]) -> None:
+        """Remember parts that the library doesn't divide: its model merges their bytes, written as the characters that stand for them."""
+        tokenize, known = self.tool.model.tokenize, self.known
+        for p in parts:
+            key = _key(p)
+            if key not in known:
+                known[key] = array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+
+    def _learn(self, keys: list[str]) -> None:
         """Remember the ids of pieces that aren't known, by the smaller parts where the borders are certain."""
-        whole, parted, parts = [], [], set()
-        for p in pieces:
-            if _SAFE.fullmatch(p):
-                parted.append((p, qs := _PARTS.findall(p)))
-                parts.update(qs)
+        single, parted, rest = set(), [], []
+        for key in keys:
+            m = _WORD(p := _piece(key))
+            if not m:
+                rest.append((key, p))
+            elif m[2]:
+                parted.append((key, m[1], m[2]))
+                single.add(m[1])
+                single.add(m[2])
             else:
-                whole.append(p)
-        self.known.update(zip(whole, self._encode(whole), strict=True))
-        parts = list(parts.difference(self.known))
-        for i in range(0, len(parts), 2000):
-            self.known.update(self._apart(parts[i : i + 2000]))
-        known = self.known.__getitem__
-        self.known.update([(p, b"".join(map(known, qs))) for p, qs in parted if len(qs) > 1])
+                single.add(p)
+        mixed = [(key, _PARTS.findall(p)) for key, p in rest if _SAFE.fullmatch(p)]
+        single.update(chain.from_iterable(qs for _, qs in mixed))
+        self._single(single)
+        known = self.known
+        whole = [(key, p) for key, p in rest if not _SAFE.fullmatch(p)]
+        known.update(zip((key for key, _ in whole), self._encode([p for _, p in whole]), strict=True))
+        known.update([(key, known[_key(a)] + known[_key(b)]) for key, a, b in parted])
+        known.update([(key, b"".join([known[_key(q)] for q in qs])) for key, qs in mixed])
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """For each text (None: empty) its ids, as bytes."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        cut = [(t or "").replace(" ", _CUT + " ").split(_CUT) if not t or _CUT not in t else _WHITE.split(t) for t in texts]
+        marked = [i for i, t in enumerate(texts) if t and _FIRST in t]
+        if marked:
+            out = self.batch([None if t and _FIRST in t else t for t in texts])
+            for i, ids in zip(marked, self._encode([texts[i] for i in marked]), strict=True):
+                out[i] = ids
+            return out
+        cut = []
+        for t in texts:
+            keys = (t or "").split(" ")
+            keys[0] = _FIRST + keys[0]
+            cut.append(keys)
         missing = set(chain.from_iterable(cut)).difference(self.known)
-        odd = {p for p in missing if p == " " or p[-1:].isspace() or p[:1] == " " and p[1].isspace()}
+        odd = {k for k in missing if not k or k[0].isspace() or k[-1].isspace()}
         if odd:  # a space beside other white space: cut these texts where it is certain
-            cut = [c if odd.isdisjoint(c) else _WHITE.split("".join(c)) for c in cut]
+            cut = [c if odd.isdisjoint(c) else [_key(p) for p in _WHITE.split(" ".join(c)[1:])] for c in cut]
             missing = set(chain.from_iterable(cut)).difference(self.known)
-            odd = {p for p in missing if p[-1:].isspace()}
-        once = odd.union(p for p in missing if len(p) > _LONG)
+            odd = {k for k in missing if not k or k[0].isspace() or k[-1].isspace()}
+        once = odd.union(k for k in missing if len(k) > _LONG)
         self._learn(list(missing.difference(once)))
         if not once:
             return [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        extra = dict(zip(once, self._encode(list(once)), strict=True))
-        return [b"".join([extra[p] if p in extra else self.known[p] for p in c]) for c in cut]
+        extra = dict(zip(once, self._encode([_piece(k) for k in once]), strict=True))
+        return [b"".join([extra[k] if k in extra else self.known[k] for k in c]) for c in cut]
 
 
 @lru_cache(maxsize=1)
