@@ -53,16 +53,16 @@ def raw_dictionary(texts: list[str], size: int = DICT_BYTES) -> bytes:
 class Sizes:
     """Compressed sizes under each dictionary; an empty dictionary stands for none."""
 
-    def __init__(self, dictionaries: list[bytes], piece: int):
+    def __init__(self, dictionaries: list[bytes], piece: int, level: int = LEVEL):
         self.piece, self.tools = piece, []
         plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
         for raw in dictionaries:
             if len(raw) < 8:
-                self.tools.append(zstandard.ZstdCompressor(level=LEVEL, **plain))
+                self.tools.append(zstandard.ZstdCompressor(level=level, **plain))
                 continue
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.tools.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, **plain))
+            d.precompute_compress(level=level)
+            self.tools.append(zstandard.ZstdCompressor(level=level, dict_data=d, **plain))
 
     def of(self, text: str) -> np.ndarray:
         """A row per piece: its bytes, then its compressed bytes under each dictionary."""
