@@ -195,7 +195,7 @@ def audit(text: Column | str, name: Column | str) -> Column:
     t, f = _col(text), _col(name)
     bare = F.replace(t, F.lit("\r\n"), F.lit(""))
     crlf = F.contains(t, F.lit("\r\n"))
-    longest = F.array_max(F.transform(F.split(t, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), F.length))
+    longest = F.array_max(F.transform(F.split(t, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), F.length))
     fences = count_of(t, r"\n---(?=\n)") + F.when(F.startswith(t, F.lit("---\n")), 1).otherwise(0)
     no = F.lit(None).cast("int")
     counted = [
@@ -203,10 +203,10 @@ def audit(text: Column | str, name: Column | str) -> Column:
         ("EMPTY_LINKS", count_of(t, r"\]\(\s*\)"), 0),
         ("WORD_BOOKMARKS", count_of(t, r"\]\([^)]*%5Cl%20%22[^)]*\)"), 0),
         ("MULTI_BLANK", count_of(t, r"\n\n\n\n+"), 0),
-        ("REPLACEMENT_CHAR", count_of(t, "�"), 0),
+        ("REPLACEMENT_CHAR", count_of(t, "\ufffd"), 0),
         ("HTML_ENTITIES", count_of(t, r"&(?:nbsp|amp|lt|gt|quot|#\d+);"), 0),
         ("WORD_ANCHORS", count_of(t, r"(?i)<a\s+name="), 0),
-        ("NBSP", count_of(t, " "), 10),
+        ("NBSP", count_of(t, "\u00a0"), 10),
         ("TABS", count_of(t, "\t"), 0),
         ("VERY_LONG_LINE", longest, 3000),
         ("BROKEN_TOC", count_of(t, r"\[\s*[\d.]+\s+[^\]]+\]\(%22"), 0),
@@ -237,7 +237,7 @@ def normalize_content(text: Column | str) -> tuple[Column, dict[str, Column]]:
     plain = lambda s: F.length(s)
     for step, pattern, new in (
         ("crlf", "\r\n", "\n"),
-        ("nbsp", " ", " "),
+        ("nbsp", "\u00a0", " "),
         ("tabs", "\t", "    "),
         ("url_junk", r"\[([^\]]+)\]\(%22[^)]*\)", "$1"),
         ("empty_links", r"\[([^\]]+)\]\(\s*\)", "$1"),

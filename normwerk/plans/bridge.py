@@ -127,8 +127,10 @@ def clause_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", F.concat(F.lit("Preamble without number\n"), F.array_join("x.b", "\n"), extra).alias("text"))
 
 
-CLAUSES_SQL = """clauses AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS VARCHAR) AS no, l_linenumber AS n,
-  'clause of part ' || CAST(l_partkey AS VARCHAR) || ' supplied by ' || CAST(l_suppkey AS VARCHAR) || ' quantity ' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS body FROM lineitem)"""
+CLAUSES_SQL = """clauses AS (SELECT * FROM (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS VARCHAR) AS no, CAST(l_linenumber AS BIGINT) AS n,
+  'clause of part ' || CAST(l_partkey AS VARCHAR) || ' supplied by ' || CAST(l_suppkey AS VARCHAR) || ' quantity ' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS body FROM lineitem
+  UNION ALL SELECT DISTINCT l_orderkey, '1', 1, '~repeated clause that must not replace the first one' FROM lineitem WHERE l_orderkey % 13 = 0)
+  QUALIFY row_number() OVER (PARTITION BY doc_id, no ORDER BY body) = 1)"""
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,7 +145,7 @@ def _bm25(rows: str, words: str) -> str:
 st AS (SELECT count(*) AS n_docs, avg(len(t)) AS mean_length FROM tok),
 p AS (SELECT id, len(t) AS length, w, len(list_filter(t, lambda x: x = w)) AS tf FROM tok, (SELECT unnest({words}) AS w) WHERE list_contains(t, w)),
 dfs AS (SELECT w, count(*) AS df FROM p GROUP BY w),
-sc AS (SELECT id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean_length))) AS score
+sc AS (SELECT id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean_length))), 9) AS score
   FROM p JOIN dfs USING (w), st GROUP BY id HAVING count(*) = len({words}))"""
 
 
@@ -164,7 +164,7 @@ ORACLE_SQL = {
         "q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+')) AS w FROM q0)", "need AS (SELECT query_id, count(*) AS need FROM q GROUP BY 1)",
         "tok AS (SELECT id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS t FROM memory)", "st AS (SELECT count(*) AS n_docs, avg(len(t)) AS mean_length FROM tok)",
         "x AS (SELECT id, len(t) AS length, unnest(t) AS w FROM tok)", "p AS (SELECT id, length, w, count(*) AS tf FROM x WHERE w IN (SELECT w FROM q) GROUP BY ALL)", "dfs AS (SELECT w, count(*) AS df FROM p GROUP BY w)",
-        "sc AS (SELECT query_id, id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean_length))) AS score, count(*) AS c FROM p JOIN dfs USING (w) JOIN q USING (w), st GROUP BY ALL)",
+        "sc AS (SELECT query_id, id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean_length))), 9) AS score, count(*) AS c FROM p JOIN dfs USING (w) JOIN q USING (w), st GROUP BY ALL)",
         then="SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM sc JOIN need USING (query_id) WHERE c = need QUALIFY rank <= 5"),
     "batch_vector_search": "SELECT q.vec_id AS query_id, m.vec_id AS id, round(" + _SIM + ", 6) AS sim, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(" + _SIM + ", 12) DESC, m.vec_id) AS INTEGER) AS rank FROM embeddings m, embeddings q WHERE q.vec_id % 100 = 0 QUALIFY rank <= 5",
     "filtered_memory": with_views(MEMORY_SQL, then="SELECT id, content_type, related_project FROM memory WHERE status = 'active' AND priority = 'high'"),
