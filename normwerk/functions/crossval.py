@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from normwerk.functions import rules
+from normwerk.functions.text import strip
 
 MARKER = r"(?iu)confidence\s*[:=]\s*(high|medium|low)\b"
 LAST_LINE = r"(?iuU)^\s*confidence\s*[:=]\s*(high|medium|low)\s*$"
@@ -17,10 +18,6 @@ def _rstrip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+\z", "")
 
 
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
-
-
 def extract_confidence(answer: Column) -> Column:
     v = F.lower(F.regexp_extract(answer, r"(?iu)confidence[\s:=\-–—]*([a-zа-я]+)", 1))
     return F.when(v.startswith("высок"), "high").when(v.startswith("сред"), "medium").when(v.startswith("низк"), "low").when(v.isin(*LEVELS), v)
@@ -40,7 +37,7 @@ def ensure_confidence_marker(text: Column, default: Column) -> Column:
 
 def winning_answer(decision: Column, answer: Column, notes: Column, level: Column) -> Column:
     """Null where there is no answer to learn from."""
-    full = lambda c: F.when(_strip(c) != "", _strip(c))
+    full = lambda c: F.when(strip(c) != "", strip(c))
     a, n = full(answer), full(notes)
     right = F.when(a.isNotNull() & n.isNotNull(), F.concat(a, F.lit(f"\n\n{NOTE_HEADING}\n"), n)).otherwise(F.coalesce(a, n))
     target = F.when(decision == "claude_was_right", right).when(decision.isin("gpt_was_right", "both_wrong", "split"), n)
@@ -51,7 +48,7 @@ def format_clauses(clauses: Column) -> Column:
     def one(c: Column, i: Column) -> Column:
         m = c["metadata"]
         some = lambda k: F.when(m[k] != "", m[k])
-        body = F.substring(F.replace(_strip(F.coalesce(c["content"], F.lit(""))), F.lit("\n"), F.lit(" ")), 1, 800)
+        body = F.substring(F.replace(strip(F.coalesce(c["content"], F.lit(""))), F.lit("\n"), F.lit(" ")), 1, 800)
         return F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.coalesce(some("doc_code"), F.lit("НТД")), F.lit(" п."), F.coalesce(some("clause_no"), some("clause"), some("number"), F.lit("")), F.lit("\n"), body)
 
     return F.array_join(F.transform(F.coalesce(clauses, F.array()), one), "\n\n")
@@ -77,11 +74,11 @@ def normalize_review(raw: Column) -> Column:
 
 
 def claim(answer: Column, n: int = 400) -> Column:
-    return F.substring(_strip(F.regexp_replace(_strip(F.coalesce(answer, F.lit(""))), r"\A#+[^\n]*\n", "")), 1, n)
+    return F.substring(strip(F.regexp_replace(strip(F.coalesce(answer, F.lit(""))), r"\A#+[^\n]*\n", "")), 1, n)
 
 
 def strip_fences(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?m)^\s*```[A-Za-z]*\s*$", ""))
+    return strip(F.regexp_replace(text, r"(?m)^\s*```[A-Za-z]*\s*$", ""))
 
 
 def safe_parse(text: Column, schema: str) -> Column:

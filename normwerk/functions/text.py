@@ -24,6 +24,11 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+
+
 def first_match(c: Column, pattern: str, group: int = 0) -> Column:
     """Null where nothing matches."""
     return F.when(F.regexp_like(c, F.lit(pattern)), F.regexp_extract(c, pattern, group))
@@ -69,7 +74,7 @@ def detect_doc_title(text: Column | str, code: Column | str) -> Column:
     at = F.coalesce(F.instr(head, F.element_at(F.split(_col(code), " "), 1)), F.lit(0))
     after = F.when(at > 0, F.substr(head, at)).otherwise(head)
     whole_code = rf"{_PREFIX}\s*\d[\d.{rules.DASHES}]*\d$".replace(r"(?iuU)\b", r"(?iuU)^")
-    lines = F.transform(F.split(after, r"\r\n|\n|\r"), F.trim)
+    lines = F.transform(F.split(after, r"\r\n|\n|\r"), lambda x: strip(x))
     return F.get(F.filter(lines, lambda x: F.length(x).between(20, 200) & ~x.rlike(whole_code)), F.lit(0))
 
 
@@ -296,7 +301,7 @@ def extract_fields(text: Column | str) -> Column:
     numeric = F.when(t.rlike(digits), F.concat_ws(".", *[F.regexp_extract(t, digits, i) for i in (1, 2, 3)]))
     quoted = first_match(t, r"(?iuU)(?:ТОО|АО|ГКП|РГП|КГП|ЗАО|ГП|ОАО|МКП|КП)\s*«[^»]{2,80}»")
     office = first_match(t, rf"(?iuU)(?:Управлени[ея]|Отдел|Департамент|Комитет|Министерств|Аким(?:ат)?)\w*(?:\s+{_STOPS}\w+){{0,5}}")
-    line = F.get(F.filter(F.transform(F.split(t, r"\r\n|\n|\r"), F.trim), lambda x: F.length(x) > 10), F.lit(0))
+    line = F.get(F.filter(F.transform(F.split(t, r"\r\n|\n|\r"), lambda x: strip(x)), lambda x: F.length(x) > 10), F.lit(0))
     return F.struct(
         miss(F.coalesce(spelled, numeric)).alias("date"), miss(first_match(t, r"(?iuU)[№#]\s*([А-ЯЁA-Z0-9][А-ЯЁA-Z0-9\-/.]{1,30})", 1)).alias("number"), miss(F.trim(F.coalesce(quoted, office))).alias("org_name"),
         miss(F.regexp_replace(first_match(t, r"(?iuU)(\d[\d\s]*[,.]?\d*)\s*(?:га|гектар)", 1), r"(?U)\s+", "")).alias("area"), miss(first_match(t, r"(?U)\b(20\d{2}|19\d{2})\b")).alias("year"),

@@ -45,7 +45,7 @@ def read_ideas(texts: DataFrame) -> DataFrame:
     """date, source, status, feasibility, impact, tags, body from front matter; `~` and what is missing are null."""
     head = F.regexp_extract("text", r"(?s)\A---\n(.*?)\n---\n", 1)
     at = lambda k: F.nullif(F.nullif(F.trim(F.regexp_extract(head, rf"(?m)^{k}:[ \t]*(.*)$", 1)), F.lit("")), F.lit("~"))
-    tags = F.filter(F.transform(F.split(F.btrim(F.coalesce(at("tags"), F.lit("")), F.lit("[]")), ","), F.trim), lambda x: x != "")
+    tags = F.filter(F.transform(F.split(F.btrim(F.coalesce(at("tags"), F.lit("")), F.lit("[]")), ","), lambda x: F.trim(x)), lambda x: x != "")
     keep = [c for c in texts.columns if c != "text"]
     return texts.select(*keep, at("date").alias("date"), at("source").alias("source"), at("status").alias("status"), at("feasibility").try_cast("int").alias("feasibility"), at("impact").try_cast("int").alias("impact"), tags.alias("tags"), F.regexp_extract("text", r"(?s)\A---\n.*?\n---\n\n?(.*)", 1).alias("body"))
 

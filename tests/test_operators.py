@@ -139,7 +139,7 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.log").write_text("\n".join(line.format(i % 5, 20 + i % 3, "Googlebot" if i % 4 == 0 else "Mozilla") for i in range(60)) + "\ngarbage\n")
     (tmp_path / "in/2.log").write_text(line.format(1, 28, "Mozilla") + "\n")
-    s = spark.readStream.text(f"{tmp_path}/in", maxFilesPerTrigger=1).withColumnRenamed("value", "line")
+    s = spark.readStream.option("maxFilesPerTrigger", 1).text(f"{tmp_path}/in").withColumnRenamed("value", "line")
     streams.to_table(streams.daily_traffic(s), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     got = {(r["day"], r["class"]): (r["ips"], r["requests"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert sum(n for _, n in got.values()) == 60 and got[dt.date(2026, 4, 20), "bot"] == (5, 5)
