@@ -17,22 +17,20 @@ LEVEL = 3
 DICT_BYTES = 112_640
 
 
-def sample_per_label(labelled: DataFrame, label: str, rows: int, chars: int) -> dict[str, list[str]]:
-    """At most `rows` texts of each label, the ones with the smallest hash, and of each at most `chars` characters from its middle.
+def sample_per_label(docs: DataFrame, ids: DataFrame, label: str, rows: int, chars: int) -> dict[str, list[str]]:
+    """Of at most `rows` documents of each label, those whose ids have the smallest hash, at most `chars` characters from the text's middle.
 
-    `labelled` has `label`, `text` and `doc_id`.  Spark keeps the first rows of each task before it shuffles
-    (a window group limit), so a frequent label doesn't gather in one task.
+    `ids` has doc_id and `label`, `docs` has doc_id and text.  The choice is made among ids alone, of which Spark keeps the first
+    of each task before it shuffles (a window group limit), so a frequent label doesn't gather in one task.  What is chosen is bounded,
+    so it can be broadcast to fetch the texts.  Null ids and labels don't count; of several texts with one id, the least is taken.
     """
+    first = Window.partitionBy("_label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    labelled = ids.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("string").alias("_label")).distinct()
+    chosen = labelled.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= rows)
     start = F.greatest(F.lit(1), F.expr(f"(length(text) - {chars}) div 2")).cast("int")
-    first = Window.partitionBy("_label").orderBy("_h", "_h2")
-    taken = (
-        labelled.filter(F.col(label).isNotNull() & (F.length("text") > 0))
-        .select(F.col(label).cast("string").alias("_label"), F.xxhash64("doc_id").alias("_h"), F.xxhash64("text").alias("_h2"), F.substring(F.col("text"), start, F.lit(chars)).alias("_text"))
-        .withColumn("_n", F.row_number().over(first))
-        .filter(F.col("_n") <= rows)
-    )
+    texts = docs.select("doc_id", "text").filter(F.length("text") > 0).join(F.broadcast(chosen), "doc_id")
     out: dict[str, list[str]] = {}
-    for r in taken.orderBy("_label", "_n").collect():
+    for r in texts.groupBy("_label", "_n").agg(F.min(F.substring(F.col("text"), start, F.lit(chars))).alias("_text")).orderBy("_label", "_n").collect():
         out.setdefault(r["_label"], []).append(r["_text"])
     return out
 

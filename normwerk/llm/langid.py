@@ -40,7 +40,7 @@ def _canonical(text: str) -> str:
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, bytes]]:
     """(language, dictionary), most sampled first, from doc_id, text and lang; null languages don't count."""
-    sample = sample_per_label(labelled, "lang", rows, chars)
+    sample = sample_per_label(labelled, labelled.select("doc_id", "lang"), "lang", rows, chars)
     order = sorted(sample, key=lambda k: (-sum(map(len, sample[k])), k))
     return [(k, raw_dictionary([_canonical(t) for t in sample[k]])) for k in order]
 

@@ -72,9 +72,10 @@ class Calibration:
         return 1 / (1 + np.exp(-np.clip(self._matrix(x) @ self.w, -30, 30)))
 
 
-def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict:
-    """A model from doc_id, text and quality (0 or 1; others ignored)."""
-    sample = sample_per_label(labelled.filter(F.col("quality").isin(0, 1)), "quality", rows, chars)
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict:
+    """A model from documents (doc_id, text) and labels (doc_id, quality: 0 or 1, others ignored)."""
+    labelled = docs.select("doc_id").join(labels.filter(F.col("quality").isin(0, 1)).select("doc_id", "quality").distinct(), "doc_id")
+    sample = sample_per_label(docs, labelled, "quality", rows, chars)
     good, bad = sample.get("1", []), sample.get("0", [])
     if len(good) < 4 or len(bad) < 4:
         return {"constant": len(good) / (len(good) + len(bad)) if good or bad else 0.5}

@@ -31,8 +31,8 @@ def op2_quality_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from labels of three quarters of them."""
     held_out = crc_of_id() % 4 == 2
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").distinct()
-    model = quality.fit(docs.filter(~held_out).join(labels, "doc_id"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs.filter(~held_out), labels)
     scored = quality.score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
