@@ -21,12 +21,14 @@ def sample_per_label(docs: DataFrame, ids: DataFrame, label: str, rows: int, cha
     """Of at most `rows` documents of each label, those whose ids have the smallest hash, at most `chars` characters from the text's middle.
 
     `ids` has doc_id and `label`, `docs` has doc_id and text.  The choice is made among ids alone, of which Spark keeps the first
-    of each task before it shuffles (a window group limit), so a frequent label doesn't gather in one task.  What is chosen is bounded,
+    of each task and then of each of 64 salts (window group limits), so that no task gets more than 64 times `rows` of a label.  What is chosen is bounded,
     so it can be broadcast to fetch the texts.  Null ids and labels don't count; of several texts with one id, the least is taken.
     """
-    first = Window.partitionBy("_label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    salt, order = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(64)), (F.xxhash64("doc_id"), "doc_id")
+    some, first = Window.partitionBy("_label", salt).orderBy(*order), Window.partitionBy("_label").orderBy(*order)
     labelled = ids.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("string").alias("_label")).distinct()
-    chosen = labelled.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= rows)
+    few = labelled.withColumn("_n", F.row_number().over(some)).filter(F.col("_n") <= rows).drop("_n")  # the first of all are among the first of each salt
+    chosen = few.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= rows)
     start = F.greatest(F.lit(1), F.expr(f"(length(text) - {chars}) div 2")).cast("int")
     texts = docs.select("doc_id", "text").filter(F.length("text") > 0).join(F.broadcast(chosen), "doc_id")
     out: dict[str, list[str]] = {}
