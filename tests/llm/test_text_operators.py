@@ -323,3 +323,21 @@ def test_pipeline(spark, tmp_path, rows):
             assert {i for i, _ in a} - {i for i, _ in b} == {500}
     packed = corpus_pipeline.run(spark, at)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_near_copies_by_five_word_shingles(spark):
+    """Pairs around 0.8, most of them over 4 bits apart, and a group, against all pairs."""
+    rng = random.Random(12)
+    texts = []
+    for n in range(60):
+        w = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts.append(" ".join(w))
+        for k in rng.sample(range(200), 1 + n % 6):
+            w[k] = "changed"
+        texts.append(" ".join(w))
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in texts]
+    linked = {2 * n for n in range(60) if len(sets[2 * n] & sets[2 * n + 1]) >= 0.8 * len(sets[2 * n] | sets[2 * n + 1])}
+    assert 30 < len(linked) < 60
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert kept == set(range(120)) - {i + 1 for i in linked}
