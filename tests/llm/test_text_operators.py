@@ -341,3 +341,12 @@ def test_near_copies_by_five_word_shingles(spark):
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
     assert kept == set(range(120)) - {i + 1 for i in linked}
+
+
+def test_near_duplicates_keeps_a_row_of_every_group(spark):
+    rng = random.Random(13)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, d), (1, a), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = sorted(repr((r["doc_id"], r["text"])) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == sorted(map(repr, [(1, a), (None, b), (1, c), (1, d), (3, "")]))
