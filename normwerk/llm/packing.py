@@ -38,7 +38,7 @@ def pieces(df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     schema = T.StructType([rows.schema["doc_id"], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, end = encoder(), end_id_bytes()
+        tool, end = encoder(special=True), end_id_bytes()
         for b in it:
             of, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(tool.batch(b.column(1).to_pylist())):

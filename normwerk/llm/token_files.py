@@ -44,7 +44,7 @@ def write_token_files(df: DataFrame, path: str) -> None:
     )
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, end, part, start = encoder(), end_id_bytes(), TaskContext.get().partitionId(), 0
+        tool, end, part, start = encoder(special=True), end_id_bytes(), TaskContext.get().partitionId(), 0
         for b in it:
             got = [x + end for x in tool.batch(b.column(1).to_pylist())]
             n = np.array([len(x) // 4 for x in got], dtype=np.int64)

@@ -55,14 +55,18 @@ def _piece(key: str) -> str:
 
 
 class Encoder:
-    """Ids of texts; `known` has, by the key of each piece, its ids as little-endian unsigned 32-bit integers."""
+    """Ids of texts; `known` has, by the key of each piece, its ids as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str):
+    With `special`, as the library does by default, an added token's string in a text is that token; otherwise it is ordinary text.
+    """
+
+    def __init__(self, path: str, special: bool = False):
         self.known: dict[str, bytes] = {}  # exactly a dict: set.difference looks it up instead of running through it
         assert array("I").itemsize == 4 and sys.byteorder == "little"
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tool.encode_special_tokens = not special
+        self.whole = [_FIRST, *(t.content for t in self.tool.get_added_tokens_decoder().values() if special)]  # texts that hold one are encoded whole
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tool.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -101,9 +105,9 @@ class Encoder:
         """For each text (None: empty) its ids, as bytes."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        marked = [i for i, t in enumerate(texts) if t and _FIRST in t]
+        marked = [i for i, t in enumerate(texts) if t and any(x in t for x in self.whole)]
         if marked:
-            out = self.batch([None if t and _FIRST in t else t for t in texts])
+            out = self.batch([None if t and any(x in t for x in self.whole) else t for t in texts])
             for i, ids in zip(marked, self._encode([texts[i] for i in marked]), strict=True):
                 out[i] = ids
             return out
@@ -126,7 +130,7 @@ class Encoder:
         return [b"".join([extra[k] if k in extra else self.known[k] for k in c]) for c in cut]
 
 
-@lru_cache(maxsize=1)
-def encoder(name: str = TOKENIZER) -> Encoder:
+@lru_cache(maxsize=2)
+def encoder(name: str = TOKENIZER, special: bool = False) -> Encoder:
     """One per Python worker, which Spark keeps between tasks."""
-    return Encoder(public_tokenizers.path(name))
+    return Encoder(public_tokenizers.path(name), special)

@@ -350,3 +350,20 @@ def test_near_duplicates_keeps_a_row_of_every_group(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
     got = sorted(repr((r["doc_id"], r["text"])) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert got == sorted(map(repr, [(1, a), (None, b), (1, c), (1, d), (3, "")]))
+
+
+def test_added_tokens_in_texts_are_tokens(spark, tmp_path):
+    """The library with nothing but add_special_tokens=False."""
+    tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain = lambda t: tool.encode(t, add_special_tokens=False).ids
+    rng, bits = random.Random(8), ["a", " ", "\n", ".", "1", "é", "<|endoftext|>", "<|endoftext", "|>"]
+    texts = ["a b <|endoftext|> c", "no token", *("".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) for _ in range(500))]
+    for t, got in zip(texts, tokens.encoder(special=True).batch(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == plain(t)
+    at = write(spark, tmp_path, list(enumerate(texts[:2])))
+    want = [[*plain(t), 0] for t in texts[:2]]
+    assert 50256 in want[0]
+    got = {r["doc_id"]: r for r in queries.op4_token_parquet(spark, at).collect()}
+    assert [(got[i]["n_tokens"], got[i]["ids_crc32"]) for i in (0, 1)] == [(len(w), crc(w)) for w in want]
+    got = {r["doc_id"]: r for r in queries.op7_best_fit_packing(spark, at).collect()}
+    assert [(got[i]["length"], got[i]["ids_crc32"]) for i in (0, 1)] == [(len(w), crc(w)) for w in want]
