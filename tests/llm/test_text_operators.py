@@ -367,3 +367,15 @@ def test_added_tokens_in_texts_are_tokens(spark, tmp_path):
     assert [(got[i]["n_tokens"], got[i]["ids_crc32"]) for i in (0, 1)] == [(len(w), crc(w)) for w in want]
     got = {r["doc_id"]: r for r in queries.op7_best_fit_packing(spark, at).collect()}
     assert [(got[i]["length"], got[i]["ids_crc32"]) for i in (0, 1)] == [(len(w), crc(w)) for w in want]
+
+
+@pytest.mark.parametrize("n", [60, 1500])
+def test_templates_do_not_depend_on_size(spark, n):
+    """Two fields of 15 values each: all lines go, be there few of each value or a hundred."""
+    rng = random.Random(n)
+    own = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{x}{y}" for x in "abcdefghij" for y in "abcdef") for i in range(n)]
+    rows = [(i, f"{own[i]}\nthis was sent by {rng.choice(WORDS[:15])} and {rng.choice(WORDS[5:])} from our office") for i in range(n)]
+    # a line with fields of 300 values in every third document, which repeats three times in it, and few of which are alike
+    rows = [(i, t + f"\nplease write to {''.join(rng.choice('abcdefg') for _ in range(3))} or {''.join(rng.choice('abcdefg') for _ in range(3))} about your order" * (3 if i % 3 == 0 else 0)) for i, t in rows]
+    got = line_templates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), dropped="n").collect()
+    assert {(r["doc_id"], r["text"]) for r in got} == set(enumerate(own)) and all(r["n"] == (4 if r["doc_id"] % 3 == 0 else 1) for r in got)
