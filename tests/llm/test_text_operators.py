@@ -379,3 +379,15 @@ def test_templates_do_not_depend_on_size(spark, n):
     rows = [(i, t + f"\nplease write to {''.join(rng.choice('abcdefg') for _ in range(3))} or {''.join(rng.choice('abcdefg') for _ in range(3))} about your order" * (3 if i % 3 == 0 else 0)) for i, t in rows]
     got = line_templates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), dropped="n").collect()
     assert {(r["doc_id"], r["text"]) for r in got} == set(enumerate(own)) and all(r["n"] == (4 if r["doc_id"] % 3 == 0 else 1) for r in got)
+
+
+def test_mostly_shared_documents_lose_the_passage(spark):
+    """Pages of a long shared passage and a short text of their own; of the second passage, no page is a copy."""
+    rng = random.Random(15)
+    p, q = ("\n".join(prose(rng, 30) for _ in range(4)) for _ in range(2))
+    own = [prose(rng, 12) for _ in range(16)]
+    rows = [(i, f"{p if i < 8 else q}\n{t}") for i, t in enumerate(own)] + [(16, f"{p}\n{own[0]}")] + [(17, f"{prose(rng, 400)}\n{p}")]
+    got = {r["doc_id"]: (r["text"], r["n"]) for r in line_templates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), dropped="n").collect()}
+    whole = [i for i in range(17) if got[i] == (rows[i][1], 0)]
+    assert [i for i in whole if not 8 <= i < 16] == [0, 16] and len(whole) == 3
+    assert all(got[i] == (own[i], 4) for i in range(16) if i not in whole) and got[17] == (rows[17][1].split("\n")[0], 4)
