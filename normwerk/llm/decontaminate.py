@@ -4,15 +4,20 @@ A text's words are put in canonical form: numbers, units after a number and name
 sentence) become typed placeholders, other words are lower-cased.  Windows of WINDOW canonical words are hashed; documents and benchmark
 items are joined on these.  A document's matches with an item are then checked for slots: over the windows at one distance between
 the two, each value in the item must stand for one value in the document.  So a question with other numbers or names
-is found, and a passage whose placeholders only happen to fall together isn't.
+is found, and a passage whose placeholders only happen to fall together isn't.  An item's first word, which begins no sentence in some
+documents, stands both for itself and for a name.
 
-A document is contaminated by an item if consistent windows cover at least MIN_SHARE of the item's windows.
+Word for word copies are found by a second hash, of the lower-cased words without placeholders, which needs no slots: so are short items, items
+of mostly numbers, and passages in which a repeated value was altered in one place.
+
+A document is contaminated by an item if consistent windows, or literal ones, cover at least MIN_SHARE of the item's windows of that kind.
 
 Before the join, document windows are looked up in a bitmap of BITMAP_BITS bits made from the benchmark's windows: its size is
 fixed, so it can be sent to every task, and it only saves shuffling windows that can't match.
 
 Defined results: null and empty texts match nothing.  An item shorter than WINDOW words is one window of its own length; one of fewer
-than MIN_ITEM words, or whose windows hold fewer than MIN_LITERAL words that aren't placeholders, can't be matched.  Equal documents get equal results.
+than MIN_ITEM words, or whose windows hold fewer than MIN_LITERAL words that aren't placeholders, is only found word for word, and one of fewer than
+MIN_COPY words not at all.  Equal documents get equal results.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ from normwerk.llm.common import row_key, small_batches, stored
 
 WINDOW = 8
 MIN_ITEM = 5
+MIN_COPY = 3
 MIN_LITERAL = 4
 MIN_SHARE = 0.3
 BITMAP_BITS = 1 << 24
@@ -39,6 +45,7 @@ UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr ho
 _TOKEN = re.compile(r"[.!?\n]+|[^\W_]+(?:['’.,][^\W_]+)*")
 _REMEMBERED = 300_000
 _NUMBER, _NAME, _UNIT = (np.uint64(xxhash.xxh64_intdigest(x, 1)) for x in ("<number>", "<name>", "<unit>"))
+_LITERAL = np.uint64(xxhash.xxh64_intdigest("literal", 1))
 _ODD = 0x9E3779B97F4A7C15
 _POWERS = np.array([pow(_ODD, i, 1 << 64) for i in range(WINDOW)], dtype=np.uint64)
 # classes of a token
@@ -58,14 +65,14 @@ class Canonical:
         got = self.known[token] = kind, xxhash.xxh64_intdigest(low, 1)
         return got
 
-    def words(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The words, their canonical hashes, and which are placeholders."""
+    def words(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """The words, their canonical hashes, which are placeholders, and the hashes of the words themselves."""
         if len(self.known) > _REMEMBERED:
             self.known.clear()
         tokens = _TOKEN.findall(text)
         known = self.known
         if not tokens:
-            return [], np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
+            return [], np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool), np.zeros(0, dtype=np.uint64)
         for t in set(tokens).difference(known):
             self._look(t)
         kind, code = (np.array(x, dtype=d) for x, d in zip(zip(*[known[t] for t in tokens], strict=True), (np.int8, np.uint64), strict=True))
@@ -73,10 +80,11 @@ class Canonical:
         name = (kind == _CAPITAL) & (before != _STOP)
         unit = (kind == _UNITWORD) & (before == _DIGITS)
         number = kind == _DIGITS
+        literal = code.copy()
         code[number], code[name], code[unit] = _NUMBER, _NAME, _UNIT
         keep = kind != _STOP
         at = np.flatnonzero(keep)
-        return tokens if len(at) == len(tokens) else [tokens[i] for i in at.tolist()], code[at], (number | name | unit)[at]
+        return tokens if len(at) == len(tokens) else [tokens[i] for i in at.tolist()], code[at], (number | name | unit)[at], literal[at]
 
 
 def window_hashes(code: np.ndarray, size: int) -> np.ndarray:
@@ -87,6 +95,10 @@ def window_hashes(code: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def _could_be_name(word: str) -> bool:
+    return word[0].isupper() and word[1:] == word.lower()[1:]
+
+
 def _slots(words: list[str], placeholder: np.ndarray, at: int, size: int) -> str:
     """Values of the window's placeholders with their places in it, one after another."""
     return "\x1f".join(words[at + i].lower() for i in np.flatnonzero(placeholder[at : at + size]).tolist())
@@ -96,7 +108,7 @@ _ARROW = [("h", pa.int64()), ("at", pa.int32()), ("slots", pa.string())]
 
 
 def windows(df: DataFrame, keys: list[str], text: str, sizes: list[int] | None, bitmap: np.ndarray | None) -> DataFrame:
-    """keys, n (windows in the text), h, at, slots.
+    """keys, n (windows of the kind in the text), h, at, slots (null: a literal window).
 
     With `sizes` all windows of these sizes that pass the bitmap; without, those of one size: WINDOW or the text's own if shorter (benchmark items).
     """
@@ -112,25 +124,36 @@ def windows(df: DataFrame, keys: list[str], text: str, sizes: list[int] | None,
             for i, t in enumerate(b.column(len(keys)).to_pylist()):
                 if not t:
                     continue
-                words, code, placeholder = tool.words(t)
-                if len(code) < MIN_ITEM:
+                words, code, placeholder, literal = tool.words(t)
+                if len(code) < MIN_COPY:
                     continue
-                literal = np.concatenate([[0], np.cumsum(~placeholder)])
+                known = np.concatenate([[0], np.cumsum(~placeholder)])
                 for size in [min(WINDOW, len(code))] if sizes is None else sizes:
                     if size > len(code):
                         continue
-                    h = window_hashes(code, size)
-                    ok = literal[size:] - literal[:-size] >= min(MIN_LITERAL, size)
-                    if bitmap is not None:
-                        place = h & np.uint64(BITMAP_BITS - 1)
-                        ok &= (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                    at = np.flatnonzero(ok)
-                    of.append(np.full(len(at), i))
-                    cells[0] += [len(at)] * len(at)
-                    cells[1] += [size] * len(at)
-                    cells[2].append(h[at].view(np.int64))
-                    cells[3].append(at)
-                    cells[4] += [_slots(words, placeholder, a, size) for a in at.tolist()]
+                    for template in (True, False) if len(code) >= MIN_ITEM and size >= MIN_ITEM else (False,):
+                        h = window_hashes(code if template else literal, size)
+                        if template:
+                            ok = known[size:] - known[:-size] >= min(MIN_LITERAL, size)
+                        else:
+                            h ^= _LITERAL
+                            ok = np.ones(len(h), dtype=bool)
+                        if bitmap is not None:
+                            place = h & np.uint64(BITMAP_BITS - 1)
+                            ok &= (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                        at = np.flatnonzero(ok)
+                        n, h = len(at), h[at]
+                        slots = [_slots(words, placeholder, a, size) if template else None for a in at.tolist()]
+                        if sizes is None and template and _could_be_name(words[0]) and not placeholder[0] and known[size] - 1 >= MIN_LITERAL:
+                            first, named = code[:size].copy(), placeholder[:size].copy()
+                            first[0], named[0] = _NAME, True
+                            at, h, slots = np.append(at, 0), np.append(h, window_hashes(first, size)), [*slots, _slots(words, named, 0, size)]
+                        of.append(np.full(len(at), i))
+                        cells[0] += [n] * len(at)
+                        cells[1] += [size] * len(at)
+                        cells[2].append(h.view(np.int64))
+                        cells[3].append(at)
+                        cells[4] += slots
             take = pa.array(np.concatenate(of) if of else [], pa.int64())
             new = [pa.array(cells[0], pa.int32()), pa.array(cells[1], pa.int32()), *(pa.array(np.concatenate(c) if c else [], k) for c, k in ((cells[2], pa.int64()), (cells[3], pa.int32()))), pa.array(cells[4], pa.string())]
             yield pa.RecordBatch.from_arrays([*[b.column(j).take(take) for j in range(len(keys))], *new], [*keys, "n", "size", "h", "at", "slots"])
@@ -157,13 +180,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_keys:
     b = items.select("item_id", "n", "h", F.col("at").alias("_b"), F.col("slots").alias("_bs"))
     pairs = hits.select(*keys, "h", "at", "slots").join(b, "h")
     values = F.arrays_zip(F.split("_bs", "\x1f").alias("x"), F.split("slots", "\x1f").alias("y"))
-    by_shift = pairs.groupBy(*keys, "item_id", "n", (F.col("at") - F.col("_b")).alias("_shift")).agg(
+    literal = F.col("_bs").isNull()  # places of these need no distance: all are equal words
+    shift = F.when(~literal, F.col("at") - F.col("_b"))
+    by_shift = pairs.filter(literal == F.col("slots").isNull()).groupBy(*keys, "item_id", "n", literal.alias("_literal"), shift.alias("_shift")).agg(
         F.collect_set("_b").alias("_places"), F.array_distinct(F.flatten(F.collect_set(values))).alias("_values")
     )
     consistent = F.size("_values") == F.size(F.array_distinct(F.transform("_values", lambda v: v["x"])))
-    covered = by_shift.filter(consistent).groupBy(*keys, "item_id", "n").agg(F.size(F.array_distinct(F.flatten(F.collect_list("_places")))).cast("long").alias("n_windows"))
+    covered = by_shift.filter(consistent).groupBy(*keys, "item_id", "n", "_literal").agg(F.size(F.array_distinct(F.flatten(F.collect_list("_places")))).cast("long").alias("n_windows"))
     share = F.col("n_windows") / F.col("n")
-    return covered.filter(share >= MIN_SHARE).select(*keys, "item_id", "n_windows", F.round(share, 6).alias("share"))
+    best = covered.filter(share >= MIN_SHARE).groupBy(*keys, "item_id").agg(F.max(F.struct(F.round(share, 6).alias("share"), "n_windows")).alias("_m"))
+    return best.select(*keys, "item_id", "_m.n_windows", "_m.share")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

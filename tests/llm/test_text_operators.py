@@ -391,3 +391,12 @@ def test_mostly_shared_documents_lose_the_passage(spark):
     whole = [i for i in range(17) if got[i] == (rows[i][1], 0)]
     assert [i for i in whole if not 8 <= i < 16] == [0, 16] and len(whole) == 3
     assert all(got[i] == (own[i], 4) for i in range(16) if i not in whole) and got[17] == (rows[17][1].split("\n")[0], 4)
+
+
+def test_word_for_word_copies_are_found(spark):
+    """Items dense in numbers, of few words, with a first word after a colon, and with one altered repeated value."""
+    item = "today Anna pays 7 coins to Omar at the old market hall while all of his other friends sit by the river and sing until Anna goes home"
+    items = [(1, "Compute 12 + 15 * 3 - 7"), (2, "Who wrote the long poem"), (3, item), (4, "Name 3 rivers"), (5, "Where do 4 tall people from the north live")]
+    docs = [(1, "first. Compute 12 + 15 * 3 - 7 then rest"), (2, "Question: Who wrote the long poem about it"), (3, item.replace("until Anna", "until Rita")), (4, "please, Name 3 rivers of it"), (5, "Question: Where do 9 tall people from the north live now"), (6, "Compute 12 + 15 * 4 - 7")]
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, i) for i in range(1, 6)]
