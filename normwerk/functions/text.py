@@ -5,6 +5,7 @@ Patterns follow Python's reading: `(?U)` makes \\w, \\s and \\b Unicode, `(?u)`
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -195,72 +196,109 @@ def count_of(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("int")
 
 
+def count_literal(c: Column, what: str) -> Column:
+    """How often a string occurs, by the length that goes with it."""
+    return ((F.length(c) - F.length(F.replace(c, F.lit(what), F.lit("")))) / len(what)).cast("int")
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with `value` worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+# Issue, pattern (None: a literal), a string that every match holds, number that is still fine
+COUNTED = (
+    ("URL_ENCODED_JUNK", r"\(%22[^)]*%22[^)]*\)", "(%22", 0),
+    ("EMPTY_LINKS", r"\]\(\s*\)", "](", 0),
+    ("WORD_BOOKMARKS", r"\]\([^)]*%5Cl%20%22[^)]*\)", "%5Cl%20%22", 0),
+    ("MULTI_BLANK", r"\n\n\n\n+", "\n\n\n\n", 0),
+    ("REPLACEMENT_CHAR", None, "\ufffd", 0),
+    ("HTML_ENTITIES", r"&(?:nbsp|amp|lt|gt|quot|#\d+);", "&", 0),
+    ("WORD_ANCHORS", r"(?i)<a\s+name=", "<", 0),
+    ("NBSP", None, "\u00a0", 10),
+    ("TABS", None, "\t", 0),
+    ("VERY_LONG_LINE", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "", 3000),
+    ("BROKEN_TOC", r"\[\s*[\d.]+\s+[^\]]+\]\(%22", "](%22", 0),
+    ("BASE64_IMAGES", r"data:image/[^;]+;base64,", ";base64,", 0),
+)
+FENCE, TABLE_ROW, TABLE_RULE = r"\n---(?=\n)", r"(?md)^\|.*\|$", r"(?mdU)^\|[\s\-:|]+\|$"
+CYRILLIC = "[а-яА-ЯёЁ]"
+
+
 def audit(text: Column | str, name: Column | str) -> Column:
-    """Array of struct(issue, n); n is null for issues that aren't counted.  An empty text has EMPTY_FILE alone."""
+    """Array of struct(issue, n); n is null for issues that aren't counted.  An empty text has EMPTY_FILE alone.
+
+    Each pattern is looked for once, and only in texts that hold the string which all of its matches have.
+    """
     t, f = _col(text), _col(name)
-    bare = F.replace(t, F.lit("\r\n"), F.lit(""))
+
+    def n_of(issue: str, pattern: str | None, holds: str, least: int) -> Column:
+        if pattern is None:
+            return count_literal(t, holds)
+        if issue == "VERY_LONG_LINE":
+            return F.when(F.length(t) > least, F.array_max(F.transform(F.split(t, pattern), F.length))).otherwise(0)
+        return F.when(F.contains(t, F.lit(holds)), count_of(t, pattern)).otherwise(0)
+
+    bare = F.contains(F.replace(t, F.lit("\r\n"), F.lit("")), F.lit("\n"))
     crlf = F.contains(t, F.lit("\r\n"))
-    longest = F.array_max(F.transform(F.split(t, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), F.length))
-    fences = count_of(t, r"\n---(?=\n)") + F.when(F.startswith(t, F.lit("---\n")), 1).otherwise(0)
-    no = F.lit(None).cast("int")
-    counted = [
-        ("URL_ENCODED_JUNK", count_of(t, r"\(%22[^)]*%22[^)]*\)"), 0),
-        ("EMPTY_LINKS", count_of(t, r"\]\(\s*\)"), 0),
-        ("WORD_BOOKMARKS", count_of(t, r"\]\([^)]*%5Cl%20%22[^)]*\)"), 0),
-        ("MULTI_BLANK", count_of(t, r"\n\n\n\n+"), 0),
-        ("REPLACEMENT_CHAR", count_of(t, "\ufffd"), 0),
-        ("HTML_ENTITIES", count_of(t, r"&(?:nbsp|amp|lt|gt|quot|#\d+);"), 0),
-        ("WORD_ANCHORS", count_of(t, r"(?i)<a\s+name="), 0),
-        ("NBSP", count_of(t, "\u00a0"), 10),
-        ("TABS", count_of(t, "\t"), 0),
-        ("VERY_LONG_LINE", longest, 3000),
-        ("BROKEN_TOC", count_of(t, r"\[\s*[\d.]+\s+[^\]]+\]\(%22"), 0),
-        ("BASE64_IMAGES", count_of(t, r"data:image/[^;]+;base64,"), 0),
+    fences = F.when(F.contains(t, F.lit("\n---")), count_of(t, FENCE)).otherwise(0) + F.when(F.startswith(t, F.lit("---\n")), 1).otherwise(0)
+    tables = F.contains(t, F.lit("|")) & (count_of(t, TABLE_ROW) > 3)
+    issue = lambda k, n, keep, counted=True: F.struct(F.lit(k).alias("issue"), n.cast("int").alias("n"), F.lit(keep).alias("least"), F.lit(counted).alias("counted"))
+    yes = lambda c: c.cast("int")
+    found = [issue("VERY_SMALL", F.when(F.length(t) < 500, F.length(t)), 0)]
+    found += [issue(k, n_of(k, p, h, least), least) for k, p, h, least in COUNTED]
+    found += [
+        issue("MIXED_LINE_ENDINGS", yes(crlf & bare), 0, False),
+        issue("CRLF", yes(crlf & ~bare), 0, False),
+        issue("NULL_BYTES", yes(F.contains(t, F.lit("\0"))), 0, False),
+        issue("CYRILLIC_FILENAME", yes(f.rlike(CYRILLIC)), 0, False),
+        issue("SPACES_IN_FILENAME", yes(F.contains(f, F.lit(" "))), 0, False),
+        issue("BROKEN_TABLES", F.when(tables, yes(count_of(t, TABLE_RULE) == 0)), 0, False),
+        issue("STRAY_YAML_DELIMS", F.when(~F.startswith(t, F.lit("---\n")), fences), 2),
     ]
-    flags = [
-        ("MIXED_LINE_ENDINGS", crlf & F.contains(bare, F.lit("\n"))),
-        ("CRLF", crlf & ~F.contains(bare, F.lit("\n"))),
-        ("NULL_BYTES", F.contains(t, F.lit("\0"))),
-        ("CYRILLIC_FILENAME", f.rlike("[а-яА-ЯёЁ]")),
-        ("SPACES_IN_FILENAME", F.contains(f, F.lit(" "))),
-        ("BROKEN_TABLES", (count_of(t, r"(?md)^\|.*\|$") > 3) & (count_of(t, r"(?mdU)^\|[\s\-:|]+\|$") == 0)),
-    ]
-    issue = lambda k, n: F.struct(F.lit(k).alias("issue"), n.alias("n"))
-    found = [F.when(F.length(t) < 500, issue("VERY_SMALL", F.length(t)))]
-    found += [F.when(n > least, issue(k, n)) for k, n, least in counted]
-    found += [F.when(ok, issue(k, no)) for k, ok in flags]
-    found.append(F.when((fences > 2) & ~F.startswith(t, F.lit("---\n")), issue("STRAY_YAML_DELIMS", fences)))
-    return F.when(F.length(t) == 0, F.array(issue("EMPTY_FILE", no))).otherwise(F.array_compact(F.array(*found)))
+    some = F.transform(F.filter(F.array(*found), lambda x: x["n"] > x["least"]), lambda x: F.struct(x["issue"].alias("issue"), F.when(x["counted"], x["n"]).alias("n")))
+    return F.when(F.length(t) == 0, F.array(F.struct(F.lit("EMPTY_FILE").alias("issue"), F.lit(None).cast("int").alias("n")))).otherwise(some)
 
 
 STEPS = ("crlf", "nbsp", "tabs", "url_junk", "empty_links", "word_anchors", "html_entities", "trailing_ws_lines", "collapsed_blank_blocks")
+# Step, pattern (None: a literal), a string that every match holds, what comes in its place
+_STEPS = (
+    ("crlf", None, "\r\n", "\n"),
+    ("nbsp", None, "\u00a0", " "),
+    ("tabs", None, "\t", "    "),
+    ("url_junk", r"\[([^\]]+)\]\(%22[^)]*\)", "](%22", "$1"),
+    ("empty_links", r"\[([^\]]+)\]\(\s*\)", "](", "$1"),
+    ("word_anchors", r'(?i)<a\s+name="[^"]*"\s*>\s*</a>', "<", ""),
+    *(("html_entities", None, name, char) for name, char in rules.ENTITIES),
+    ("trailing_ws_lines", r"(?mdU)[\s&&[^\n]]+$", "", ""),
+    ("collapsed_blank_blocks", r"\n{4,}", "\n\n\n\n", "\n\n\n"),
+)
+
+
+def normalization(text: Column | str) -> Column:
+    """struct(text, and the count of each of STEPS); entities are replaced one after another, so that &amp;lt; ends as <.
+
+    Each step sees the text of the one before, which is worked out once.
+    """
+    state = F.struct(_col(text).alias("text"), *[F.lit(0).alias(k) for k in STEPS])
+    for step, pattern, holds, new in _STEPS:
+
+        def applied(s: Column) -> Column:
+            t = s["text"]  # the function is used at once, before the loop goes on
+            if pattern is None:
+                there, n, after = F.contains(t, F.lit(holds)), count_literal(t, holds), F.replace(t, F.lit(holds), F.lit(new))
+            else:
+                there, n, after = F.contains(t, F.lit(holds)) if holds else t.rlike(pattern), count_of(t, pattern), F.regexp_replace(t, pattern, new)
+            return F.when(there, F.struct(after.alias("text"), *[(s[k] + n if k == step else s[k]).alias(k) for k in STEPS])).otherwise(s)
+
+        state = bound(state, applied)
+    return bound(state, lambda s: F.struct(F.concat(F.btrim(s["text"], F.lit("\n")), F.lit("\n")).alias("text"), *[s[k].alias(k) for k in STEPS]))
 
 
 def normalize_content(text: Column | str) -> tuple[Column, dict[str, Column]]:
-    """The normalised text, and how often each of STEPS applied; entities are replaced one after another, so that &amp;lt; ends as <."""
-    t, n = _col(text), {}
-    plain = lambda s: F.length(s)
-    for step, pattern, new in (
-        ("crlf", "\r\n", "\n"),
-        ("nbsp", "\u00a0", " "),
-        ("tabs", "\t", "    "),
-        ("url_junk", r"\[([^\]]+)\]\(%22[^)]*\)", "$1"),
-        ("empty_links", r"\[([^\]]+)\]\(\s*\)", "$1"),
-        ("word_anchors", r'(?i)<a\s+name="[^"]*"\s*>\s*</a>', ""),
-    ):
-        n[step] = count_of(t, pattern)
-        t = F.regexp_replace(t, pattern, new)
-    entities = F.lit(0)
-    for name, char in rules.ENTITIES:
-        replaced = F.replace(t, F.lit(name), F.lit(char))
-        entities = entities + ((plain(t) - plain(replaced)) / (len(name) - len(char))).cast("int")
-        t = replaced
-    n["html_entities"] = entities
-    n["trailing_ws_lines"] = count_of(t, r"(?mdU)[\s&&[^\n]]+$")
-    t = F.regexp_replace(t, r"(?mdU)[\s&&[^\n]]+$", "")
-    n["collapsed_blank_blocks"] = count_of(t, r"\n{4,}")
-    t = F.regexp_replace(t, r"\n{4,}", "\n\n\n")
-    return F.concat(F.btrim(t, F.lit("\n")), F.lit("\n")), n
+    """The normalised text, and how often each of STEPS applied, as columns of their own."""
+    state = normalization(text)
+    return state["text"], {k: state[k] for k in STEPS}
 
 
 # --- classification -------------------------------------------------------------------------------
@@ -322,17 +360,25 @@ _LINE = r'^(\S+) \S+ \S+ \[([^\]]+)\] "([^"]*)" (\d{3}) (\d+|-) "([^"]*)" "([^"]
 
 
 def parse_access_line(line: Column | str) -> Column:
-    """struct(ip, ts, method, path, status, bytes, referer, ua); null for lines of another form."""
-    c = _col(line)
-    g = lambda i: F.regexp_extract(c, _LINE, i)
-    request = F.split(g(3), " ")
-    return F.when(
-        c.rlike(_LINE),
-        F.struct(
-            g(1).alias("ip"), F.try_to_timestamp(g(2), F.lit("dd/MMM/yyyy:HH:mm:ss Z")).alias("ts"), F.get(request, F.lit(0)).alias("method"), F.get(request, F.lit(1)).alias("path"),
-            g(4).cast("int").alias("status"), g(5).try_cast("bigint").alias("bytes"), g(6).alias("referer"), g(7).alias("ua"),
-        ),
-    )
+    """struct(ip, ts, method, path, status, bytes, referer, ua); null for lines of another form.
+
+    The pattern is matched once: what matches becomes its seven groups, each after a mark that the line itself can't hold.
+    """
+    whole = F.translate(_col(line), _NO, "")
+    groups = F.split(F.regexp_replace(whole, rf"(?s){_LINE}.*", "".join(f"{_NO}${i}" for i in range(1, 8))), _NO)
+
+    def fields(g: Column) -> Column:
+        at = lambda i: F.get(g, F.lit(i))
+        request = lambda i: F.get(F.split(at(3), " "), F.lit(i))
+        return F.when(
+            F.size(g) == 8,
+            F.struct(
+                at(1).alias("ip"), F.try_to_timestamp(at(2), F.lit("dd/MMM/yyyy:HH:mm:ss Z")).alias("ts"), request(0).alias("method"), request(1).alias("path"),
+                at(4).cast("int").alias("status"), at(5).try_cast("bigint").alias("bytes"), at(6).alias("referer"), at(7).alias("ua"),
+            ),
+        )
+
+    return bound(groups, fields)
 
 
 def is_bot(ua: Column | str) -> Column:

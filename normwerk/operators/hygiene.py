@@ -18,9 +18,11 @@ def audited(docs: DataFrame) -> DataFrame:
 
 def audit_summary(audit: DataFrame) -> DataFrame:
     """issue, files; CLEAN counts files without any issue but those of their names."""
-    issues = audit.select(F.explode("issues.issue").alias("issue")).groupBy("issue").agg(F.count("*").alias("files"))
-    structural = F.size(F.filter("issues", lambda x: ~x["issue"].isin(*NAME_ISSUES)))
-    return issues.unionByName(audit.filter(structural == 0).agg(F.lit("CLEAN").alias("issue"), F.count("*").alias("files")))
+    structural = F.exists("issues", lambda x: ~x["issue"].isin(*NAME_ISSUES))
+    names = F.transform("issues", lambda x: x["issue"])
+    each = F.when(structural, names).otherwise(F.array_append(names, F.lit("CLEAN")))
+    counts = audit.select(F.explode(each).alias("issue")).groupBy("issue").agg(F.count("*").alias("files"))
+    return counts.unionByName(audit.sparkSession.createDataFrame([("CLEAN", 0)], counts.schema)).groupBy("issue").agg(F.sum("files").alias("files"))  # CLEAN is listed without clean files too
 
 
 def worst_files(audit: DataFrame, n: int = 20) -> DataFrame:
@@ -30,8 +32,8 @@ def worst_files(audit: DataFrame, n: int = 20) -> DataFrame:
 
 def normalized(docs: DataFrame) -> DataFrame:
     """path, text, changed and the count of each step."""
-    new, counts = text.normalize_content("text")
-    return docs.select("path", new.alias("_new"), "text", *[c.alias(k) for k, c in counts.items()]).select("path", F.col("_new").alias("text"), (F.col("_new") != F.col("text")).alias("changed"), *counts)
+    new = docs.select("path", "text", text.normalization("text").alias("_n"))
+    return new.select("path", F.col("_n.text").alias("text"), (F.col("_n.text") != F.col("text")).alias("changed"), *[F.col(f"_n.{k}").alias(k) for k in text.STEPS])
 
 
 def normalization_totals(norm: DataFrame) -> DataFrame:
