@@ -55,7 +55,11 @@ def format_clauses(clauses: Column) -> Column:
 
 
 def format_prompt(question: Column, clauses: Column) -> Column:
-    body = format_clauses(clauses)
+    return prompt_of(question, format_clauses(clauses))
+
+
+def prompt_of(question: Column, body: Column) -> Column:
+    """The prompt of a question and clauses that are already formatted."""
     return F.concat(F.lit("ВОПРОС:\n"), question, F.lit("\n\n\n\nКЛОЗЫ ИЗ БАЗЫ НТД:"), F.when(body != "", F.concat(F.lit("\n\n"), body)).otherwise(F.lit("")))
 
 
