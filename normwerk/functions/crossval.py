@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from normwerk.functions import rules
-from normwerk.functions.text import strip
+from normwerk.functions.text import bound, strip
 
 MARKER = r"(?iu)confidence\s*[:=]\s*(high|medium|low)\b"
 LAST_LINE = r"(?iuU)^\s*confidence\s*[:=]\s*(high|medium|low)\s*$"
@@ -30,17 +30,24 @@ def resolved_confidence(level: Column) -> Column:
 
 def ensure_confidence_marker(text: Column, default: Column) -> Column:
     """Untouched if the last line that isn't empty is a marker; else without markers inside, and one at the end."""
-    stripped = _rstrip(text)
-    last = F.element_at(F.split(stripped, "\n"), -1)
-    return F.when(stripped == "", text).when(last.rlike(LAST_LINE), text).otherwise(F.concat(_rstrip(F.regexp_replace(stripped, MARKER, "")), F.lit("\nconfidence: "), default))
+
+    def marked(s: Column) -> Column:
+        last = F.element_at(F.split(s["stripped"], "\n"), -1)
+        return F.when((s["stripped"] == "") | last.rlike(LAST_LINE), s["text"]).otherwise(F.concat(_rstrip(F.regexp_replace(s["stripped"], MARKER, "")), F.lit("\nconfidence: "), s["default"]))
+
+    return bound(bound(text, lambda t: F.struct(t.alias("text"), _rstrip(t).alias("stripped"), default.alias("default"))), marked)
 
 
 def winning_answer(decision: Column, answer: Column, notes: Column, level: Column) -> Column:
     """Null where there is no answer to learn from."""
-    full = lambda c: F.when(strip(c) != "", strip(c))
-    a, n = full(answer), full(notes)
-    right = F.when(a.isNotNull() & n.isNotNull(), F.concat(a, F.lit(f"\n\n{NOTE_HEADING}\n"), n)).otherwise(F.coalesce(a, n))
-    target = F.when(decision == "claude_was_right", right).when(decision.isin("gpt_was_right", "both_wrong", "split"), n)
+    full = lambda c: bound(strip(c), lambda s: F.when(s != "", s))
+
+    def chosen(s: Column) -> Column:
+        a, n = s["a"], s["n"]
+        right = F.when(a.isNotNull() & n.isNotNull(), F.concat(a, F.lit(f"\n\n{NOTE_HEADING}\n"), n)).otherwise(F.coalesce(a, n))
+        return F.when(decision == "claude_was_right", right).when(decision.isin("gpt_was_right", "both_wrong", "split"), n)
+
+    target = bound(F.struct(full(answer).alias("a"), full(notes).alias("n")), chosen)
     return ensure_confidence_marker(target, resolved_confidence(level))
 
 
