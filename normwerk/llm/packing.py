@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from normwerk.llm.common import small_batches, stored
-from normwerk.llm.tokens import encoder, end_id_bytes
+from normwerk.llm.common import stored
+from normwerk.llm.pieces import slices
+from normwerk.llm.tokens import encoder
 
 CAPACITY = 2048
 ROWS_PER_SALT = 200_000
@@ -33,25 +34,22 @@ ROWS_PER_SALT = 200_000
 
 def pieces(df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece of each whole text of `df` (doc_id, text)."""
-    small_batches(df.sparkSession)
     rows = df.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, end = encoder(special=True), end_id_bytes()
-        for b in it:
-            of, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(tool.batch(b.column(1).to_pylist())):
-                ids += end
-                n = len(ids) // 4
-                cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
-                for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    of.append(i)
-                    piece.append(k)
-                    start.append(a)
-                    length.append(z - a)
-                    crc.append(zlib.crc32(ids[4 * a : 4 * z]))
-            columns = [b.column(0).take(pa.array(of, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+        tool = encoder(special=True)
+        for b in (x for whole in it for x in slices(whole, 1)):
+            ids, at = tool.arrays(b.column(1).to_pylist(), end=True)
+            n = np.diff(at)
+            parts = -(-n // capacity)  # all but the first are full
+            of = np.repeat(np.arange(len(n)), parts)
+            piece = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+            first = (n - (parts - 1) * capacity)[of]
+            start = np.where(piece > 0, first + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, first)
+            crc = [zlib.crc32(ids[a:z]) for a, z in zip((at[of] + start).tolist(), (at[of] + start + length).tolist(), strict=True)]
+            columns = [b.column(0).take(pa.array(of)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
 
     return rows.mapInArrow(batches, schema)

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from normwerk.llm.common import small_batches
-from normwerk.llm.tokens import encoder, end_id_bytes
+from normwerk.llm import pieces
+from normwerk.llm.tokens import encoder
 
 LAYOUT = {
     "parquet.writer.version": "PARQUET_2_0",  # delta encoding where a dictionary doesn't pay
@@ -36,7 +36,6 @@ LAYOUT = {
 
 def write_token_files(df: DataFrame, path: str) -> None:
     """Encode every whole text of `df` (doc_id, text) and write the files; each text is shuffled once, into its range of doc_ids."""
-    small_batches(df.sparkSession)
     rows = df.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     schema = T.StructType(
@@ -44,14 +43,12 @@ def write_token_files(df: DataFrame, path: str) -> None:
     )
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, end, part, start = encoder(special=True), end_id_bytes(), TaskContext.get().partitionId(), 0
-        for b in it:
-            got = [x + end for x in tool.batch(b.column(1).to_pylist())]
-            n = np.array([len(x) // 4 for x in got], dtype=np.int64)
-            before = np.concatenate([[0], np.cumsum(n)])
-            ids = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(np.frombuffer(b"".join(got), dtype="<i4")))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part)), pa.array(start + before[:-1]), pa.array(n), ids], [f.name for f in schema])
-            start += int(before[-1])
+        tool, part, start = encoder(special=True), TaskContext.get().partitionId(), 0
+        for b in (x for whole in it for x in pieces.slices(whole, 1)):
+            ids, at = tool.arrays(b.column(1).to_pylist(), end=True)
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(at) - 1, part)), pa.array(start + at[:-1]), pa.array(np.diff(at)), lists], [f.name for f in schema])
+            start += int(at[-1])
 
     rows.mapInArrow(batches, schema).write.options(**LAYOUT).parquet(path)
 
@@ -79,7 +76,6 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files' own ids (crc32 of them as little-endian 32-bit integers)."""
-    small_batches(spark)
     whole = spark.read.parquet(path)
     schema = T.StructType([whole.schema["doc_id"], T.StructField("part", T.LongType()), T.StructField("start_in_part", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 

@@ -1,133 +1,157 @@
 """Token ids of whole texts by a public byte-level BPE file of the tokenizers library.
 
-The library splits a text before it merges bytes: a space that stands between two other characters always begins a
-new piece, and so do the borders between runs of letters, of punctuation and single line ends.  Pieces are therefore
-encoded apart, each distinct one once per worker, and their ids are joined.  The result is that of encoding the whole
-text (tests/llm/test_tokens.py compares the two), at a fraction of the time.
+The library splits a text before it merges bytes.  Where characters of certain classes meet, the split is certain whatever stands
+around: before a space that precedes a visible character, between letters, digits and punctuation, around line ends.  Pieces between
+such borders are encoded apart by the library, each distinct one once per worker, and their ids are joined.  The result is that of encoding
+the whole text (tests/llm compares the two), at a fraction of the time.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import sys
-from array import array
+import unicodedata
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from normwerk.llm import pieces
+
 TOKENIZER = "byte_bpe_50k.json"
-#: Distinct pieces that a worker remembers (about 300 MB); beyond that it starts anew.
-REMEMBERED = 1_500_000
+#: Distinct pieces that a worker remembers (about 150 MB); later ones are encoded where they stand.
+REMEMBERED = 2_000_000
 _LONG = 64  # longer pieces are not remembered
-_FIRST = "\ue000"  # marks pieces that begin without a space; texts that hold it are encoded whole
-_WHITE = re.compile(r"(?<=\S)(?= \S)")
-_L = "A-Za-zÀ-ÖØ-öø-ÿ"
-_P = r".,!?;:%&$#*|"
-_WORD = re.compile(rf"( ?[{_L}]+)([{_P}]*)\Z").match
-_PARTS = re.compile(rf" ?[{_L}]+| ?[{_P}]+|\n")
-_SAFE = re.compile(rf"(?: ?[{_L}]+|\A [{_P}]+|[{_P}]+|(?<=[^\n])\n(?=[{_L}{_P}]))+")
-
-
-def _byte_characters() -> dict[int, int]:
-    """Byte-level vocabularies write each byte as a character: printable ones as themselves, the others, in order, from 256 on."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = [b for b in range(256) if b not in printable]
-    return {b: 256 + i for i, b in enumerate(others)}
+_LETTER, _DIGIT, _SIGN, _QUOTE, _WHITE, _OTHER, _EDGE = range(7)
+_SPACE = ord(" ")
 
 
-_BYTES = _byte_characters()
+def _class(c: str) -> int:
+    """Letters, digits and signs are those of Unicode 3.2 that are so today: every version of the library takes them for such."""
+    if c in " \t\n\v\f\r":
+        return _WHITE
+    if c == "'":  # begins 's, 'll and the like
+        return _QUOTE
+    kinds = {unicodedata.category(c)[0], unicodedata.ucd_3_2_0.category(c)[0]}
+    if kinds <= {"P", "S"}:
+        return _SIGN
+    return {"L": _LETTER, "N": _DIGIT}.get(min(kinds), _OTHER) if len(kinds) == 1 else _OTHER
 
 
-def end_id_bytes() -> bytes:
-    return b"\0\0\0\0"
+_classes = pieces.ByCodePoint(_class)
 
 
-def _key(piece: str) -> str:
-    """Most pieces begin with a space, which goes without saying; the others are marked."""
-    return piece[1:] if piece[:1] == " " else _FIRST + piece
+def _byte_characters() -> np.ndarray:
+    """Byte-level vocabularies write each byte as a character: printable ones as themselves, the others, in order, from 256 on."""
+    out = np.arange(256, dtype=np.uint32)
+    printable = ((out >= 33) & (out < 127)) | ((out >= 161) & (out < 173)) | (out >= 174)
+    out[~printable] = 256 + np.arange(256 - printable.sum())
+    return out
 
 
-def _piece(key: str) -> str:
-    return key[1:] if key[:1] == _FIRST else " " + key
+_BYTES = _byte_characters()
+_BETWEEN = chr(_BYTES[0])  # no piece that is merged here holds the byte 0
 
 
 class Encoder:
-    """Ids of texts; `known` has, by the key of each piece, its ids as little-endian unsigned 32-bit integers.
-
-    With `special`, as the library does by default, an added token's string in a text is that token; otherwise it is ordinary text.
-    """
+    """Ids of texts.  With `special`, as the library does by default, an added token's string in a text is that token; otherwise it is ordinary text."""
 
-    def __init__(self, path: str, special: bool = False):
-        self.known: dict[str, bytes] = {}  # exactly a dict: set.difference looks it up instead of running through it
-        assert array("I").itemsize == 4 and sys.byteorder == "little"
+    def __init__(self, path: str, special: bool = False, remembered: int = REMEMBERED):
+        assert sys.byteorder == "little"
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = not special
-        self.whole = [_FIRST, *(t.content for t in self.tool.get_added_tokens_decoder().values() if special)]  # texts that hold one are encoded whole
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tool.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _single(self, parts: set[str]) -> None:
-        """Remember parts that the library doesn't divide: its model merges their bytes, written as the characters that stand for them."""
-        tokenize, known = self.tool.model.tokenize, self.known
-        for p in parts:
-            key = _key(p)
-            if key not in known:
-                known[key] = array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(_BYTES))]).tobytes()
-
-    def _learn(self, keys: list[str]) -> None:
-        """Remember the ids of pieces that aren't known, by the smaller parts where the borders are certain."""
-        single, parted, rest = set(), [], []
-        for key in keys:
-            m = _WORD(p := _piece(key))
-            if not m:
-                rest.append((key, p))
-            elif m[2]:
-                parted.append((key, m[1], m[2]))
-                single.add(m[1])
-                single.add(m[2])
-            else:
-                single.add(p)
-        mixed = [(key, _PARTS.findall(p)) for key, p in rest if _SAFE.fullmatch(p)]
-        single.update(chain.from_iterable(qs for _, qs in mixed))
-        self._single(single)
-        known = self.known
-        whole = [(key, p) for key, p in rest if not _SAFE.fullmatch(p)]
-        known.update(zip((key for key, _ in whole), self._encode([p for _, p in whole]), strict=True))
-        known.update([(key, known[_key(a)] + known[_key(b)]) for key, a, b in parted])
-        known.update([(key, b"".join([known[_key(q)] for q in qs])) for key, qs in mixed])
+        self.added = [t.content for t in self.tool.get_added_tokens_decoder().values()] if special else []  # texts that hold one are encoded whole
+        self.known, self.rows, self.remembered = pieces.Table(), pieces.Rows(), remembered
+
+    def _encode(self, some: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tool.encode_batch_fast(some, add_special_tokens=False)]
+
+    def _merged(self, some: list[str]) -> list[list[int]]:
+        """Of pieces that the library doesn't divide: its model merges the bytes, written as the characters that stand for them."""
+        if not some:
+            return []
+        written = _BYTES[np.frombuffer("\0".join(some).encode(), dtype=np.uint8)].tobytes().decode("utf-32-le")
+        tokenize = self.tool.model.tokenize
+        return [[t.id for t in tokenize(w)] for w in written.split(_BETWEEN)]
+
+    @staticmethod
+    def _borders(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pieces start, and the characters' classes; `bounds` are the texts' first characters and the end."""
+        kind = _classes(points)
+        before, after = np.empty_like(kind), np.empty_like(kind)
+        before[1:], after[:-1] = kind[:-1], kind[1:]
+        full = bounds[:-1][bounds[:-1] < bounds[1:]]
+        before[full], after[np.append(full[1:], bounds[-1]) - 1] = _EDGE, _EDGE
+        white, seen = kind == _WHITE, kind <= _QUOTE
+        start = (kind != before) & (before <= _SIGN) & seen & ~((before == _SIGN) & (kind == _QUOTE))  # between classes
+        start |= white & ((before <= _QUOTE) | (after <= _QUOTE))  # a run of white space, and the last of it
+        start[1:] |= seen[1:] & white[:-1] & (points[:-1] != _SPACE)  # and after a last one that is no space
+        start |= before == _EDGE
+        return np.flatnonzero(start), kind
+
+    def _learn(self, whole: str, kind: np.ndarray, start: np.ndarray, end: np.ndarray, keys: list[np.ndarray], number: np.ndarray) -> None:
+        """Numbers for pieces that have none: those to be remembered first, then those for this stretch only."""
+        new = np.flatnonzero(number < 0)
+        _, first, again = np.unique(keys[0][new], return_index=True, return_inverse=True)
+        at = new[first]
+        odd = np.concatenate([[0], np.cumsum((kind == _QUOTE) | (kind == _OTHER))])
+        apart = odd[end[at]] == odd[start[at]]
+        keep = end[at] - start[at] <= _LONG
+        keep &= np.cumsum(keep) <= self.remembered - self.known.count
+        order = np.argsort(~keep, kind="stable")
+        rank = np.empty(len(at), dtype=np.int64)
+        rank[order] = np.arange(len(at))
+        at, apart = at[order], apart[order]
+        texts = [whole[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+        merged, rest = (iter(f([t for t, one in zip(texts, apart.tolist(), strict=True) if one is x])) for f, x in ((self._merged, True), (self._encode, False)))
+        ids = [next(merged if one else rest) for one in apart.tolist()]
+        number[new] = self.known.count + rank[again]
+        self.rows.extend([len(x) for x in ids], [i for x in ids for i in x])
+        kept = at[: int(keep.sum())]
+        self.known.add(keys[0][kept], keys[1][kept])
+
+    def _stretch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, joined, and where each text's begin (with the end of the last)."""
+        whole = "".join(texts)
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        if not whole:
+            return np.zeros(0, dtype=np.int32), np.zeros(len(bounds), dtype=np.int64)
+        points = pieces.code_points(whole)
+        start, kind = self._borders(points, bounds)
+        end = np.append(start[1:], len(points))
+        keys = pieces.keys(points, start, end)
+        number = self.known.find(*keys).astype(np.int64)
+        if (number < 0).any():
+            self._learn(whole, kind, start, end, keys, number)
+        ids, at = self.rows.take(number)
+        self.rows.truncate(self.known.count)
+        return ids, at[np.searchsorted(start, bounds)]
+
+    def arrays(self, texts: list[str | None], end: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (32-bit) of all texts, joined, and where each text's begin (with the end of the last); None is an empty text, `end` appends id 0 to each."""
+        n, parts = np.zeros(len(texts), dtype=np.int64), []
+        whole = {i for i, t in enumerate(texts) if t and any(x in t for x in self.added)}
+        for some, of in pieces.chunks([None if i in whole else t for i, t in enumerate(texts)] if whole else texts):
+            ids, at = self._stretch(some)
+            np.add.at(n, of, np.diff(at))
+            parts.append(ids)
+        ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        for i in sorted(whole, reverse=True):
+            got = self._encode([texts[i]])[0]
+            ids = np.concatenate([ids[: bounds[i]], np.array(got, dtype=np.int32), ids[bounds[i] :]])
+            bounds[i + 1 :] += len(got)
+        if end:
+            ids = np.insert(ids, bounds[1:], np.int32(0))
+            bounds += np.arange(len(bounds))
+        return ids, bounds
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        """For each text (None: empty) its ids, as bytes."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        marked = [i for i, t in enumerate(texts) if t and any(x in t for x in self.whole)]
-        if marked:
-            out = self.batch([None if t and any(x in t for x in self.whole) else t for t in texts])
-            for i, ids in zip(marked, self._encode([texts[i] for i in marked]), strict=True):
-                out[i] = ids
-            return out
-        cut = []
-        for t in texts:
-            keys = (t or "").split(" ")
-            keys[0] = _FIRST + keys[0]
-            cut.append(keys)
-        missing = set(chain.from_iterable(cut)).difference(self.known)
-        odd = {k for k in missing if not k or k[0].isspace() or k[-1].isspace()}
-        if odd:  # a space beside other white space: cut these texts where it is certain
-            cut = [c if odd.isdisjoint(c) else [_key(p) for p in _WHITE.split(" ".join(c)[1:])] for c in cut]
-            missing = set(chain.from_iterable(cut)).difference(self.known)
-            odd = {k for k in missing if not k or k[0].isspace() or k[-1].isspace()}
-        once = odd.union(k for k in missing if len(k) > _LONG)
-        self._learn(list(missing.difference(once)))
-        if not once:
-            return [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        extra = dict(zip(once, self._encode([_piece(k) for k in once]), strict=True))
-        return [b"".join([extra[k] if k in extra else self.known[k] for k in c]) for c in cut]
+        """For each text its ids as little-endian unsigned 32-bit integers."""
+        ids, bounds = self.arrays(texts)
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
