@@ -22,8 +22,9 @@ MIN_COPY words not at all.  Equal documents get equal results.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normwerk.llm.common import row_key, small_batches, stored
+from normwerk.llm import pieces
+from normwerk.llm.common import row_key, stored
 
 WINDOW = 8
 MIN_ITEM = 5
@@ -42,121 +44,175 @@ BITMAP_BITS = 1 << 24
 # units
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hours days weeks months years mph kmh kw kwh w v a hz percent usd eur dollars euros cents degrees".split())
 
-_TOKEN = re.compile(r"[.!?\n]+|[^\W_]+(?:['’.,][^\W_]+)*")
-_REMEMBERED = 300_000
+
 _NUMBER, _NAME, _UNIT = (np.uint64(xxhash.xxh64_intdigest(x, 1)) for x in ("<number>", "<name>", "<unit>"))
 _LITERAL = np.uint64(xxhash.xxh64_intdigest("literal", 1))
-_ODD = 0x9E3779B97F4A7C15
-_POWERS = np.array([pow(_ODD, i, 1 << 64) for i in range(WINDOW)], dtype=np.uint64)
-# classes of a token
-_WORD, _CAPITAL, _DIGITS, _STOP, _UNITWORD = range(5)
-
+# what a character is: part of a word, part of one between such, either a joint or the end of a sentence, the end of a sentence
+_IN, _JOINT, _POINT, _END, _OTHER = range(5)
+_characters = pieces.ByCodePoint(lambda c: _IN if c.isalnum() else _JOINT if c in "'’," else _POINT if c == "." else _END if c in "!?\n" else _OTHER)
+# kinds of words
+_WORD, _CAPITAL, _DIGITS, _UNITWORD = range(4)
+#: Distinct words that a worker remembers (about 100 MB); later ones are looked at where they stand.
+REMEMBERED = 500_000
 
-class Canonical:
-    """Tokens -> class and hash of the lower-cased word; distinct tokens are remembered, to a bound."""
-
-    def __init__(self):
-        self.known: dict[str, tuple[int, int]] = {}
-
-    def _look(self, token: str) -> tuple[int, int]:
-        c = token[0]
-        low = token.lower()
-        kind = _STOP if c in ".!?\n" else _DIGITS if c.isdigit() else _CAPITAL if c.isupper() and token[1:] == low[1:] else _UNITWORD if low in UNITS else _WORD
-        got = self.known[token] = kind, xxhash.xxh64_intdigest(low, 1)
-        return got
-
-    def words(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """The words, their canonical hashes, which are placeholders, and the hashes of the words themselves."""
-        if len(self.known) > _REMEMBERED:
-            self.known.clear()
-        tokens = _TOKEN.findall(text)
-        known = self.known
-        if not tokens:
-            return [], np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool), np.zeros(0, dtype=np.uint64)
-        for t in set(tokens).difference(known):
-            self._look(t)
-        kind, code = (np.array(x, dtype=d) for x, d in zip(zip(*[known[t] for t in tokens], strict=True), (np.int8, np.uint64), strict=True))
-        before = np.concatenate([[_STOP], kind[:-1]])
-        name = (kind == _CAPITAL) & (before != _STOP)
-        unit = (kind == _UNITWORD) & (before == _DIGITS)
-        number = kind == _DIGITS
-        literal = code.copy()
-        code[number], code[name], code[unit] = _NUMBER, _NAME, _UNIT
-        keep = kind != _STOP
-        at = np.flatnonzero(keep)
-        return tokens if len(at) == len(tokens) else [tokens[i] for i in at.tolist()], code[at], (number | name | unit)[at], literal[at]
 
+@dataclass
+class Words:
+    """Of some texts, joined: for each word its number in Canonical, canonical hash, whether that is a placeholder, hash of the word itself; and where each text's words begin."""
 
-def window_hashes(code: np.ndarray, size: int) -> np.ndarray:
-    n = len(code) - size + 1
-    out = np.full(n, size, dtype=np.uint64)
-    for i in range(size):
-        out = out * np.uint64(_ODD) + (code[i : i + n] ^ (code[i : i + n] >> np.uint64(29))) * _POWERS[i]
-    return out ^ (out >> np.uint64(32))
+    number: np.ndarray
+    code: np.ndarray
+    placeholder: np.ndarray
+    literal: np.ndarray
+    bounds: np.ndarray
 
 
-def _could_be_name(word: str) -> bool:
-    return word[0].isupper() and word[1:] == word.lower()[1:]
+class Canonical:
+    """Texts -> words: runs of letters and digits, in which one of ' ’ . , may stand between two such.
 
+    A name is a capitalised word after another word with no end of a sentence between, a unit a unit's word after a number.
+    """
 
-def _slots(words: list[str], placeholder: np.ndarray, at: int, size: int) -> str:
-    """Values of the window's placeholders with their places in it, one after another."""
-    return "\x1f".join(words[at + i].lower() for i in np.flatnonzero(placeholder[at : at + size]).tolist())
+    def __init__(self, remembered: int = REMEMBERED):
+        self.known, self.remembered = pieces.Table(), remembered
+        self.low: list[str] = []
+        self.kind, self.hash = np.zeros(1 << 12, dtype=np.uint8), np.zeros(1 << 12, dtype=np.uint64)
+        self.could_be_name = np.zeros(1 << 12, dtype=bool)
+
+    def _learn(self, words: list[str]) -> None:
+        at = len(self.low)
+        low = [w.lower() for w in words]
+        while len(self.kind) < at + len(words):
+            self.kind, self.hash, self.could_be_name = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kind, self.hash, self.could_be_name))
+        for i, (w, v) in enumerate(zip(words, low, strict=True), at):
+            c = w[0]
+            self.could_be_name[i] = c.isupper() and w[1:] == v[1:]
+            self.kind[i] = _DIGITS if c.isdigit() else _CAPITAL if self.could_be_name[i] else _UNITWORD if v in UNITS else _WORD
+            self.hash[i] = xxhash.xxh64_intdigest(v, 1)
+        self.low += low
+
+    def slots(self, w: Words, at: int, placeholder: np.ndarray) -> str:
+        """Values of a window's placeholders with their places in it, one after another."""
+        return "\x1f".join(self.low[k] for k in w.number[at + np.flatnonzero(placeholder)].tolist())
+
+    def forget(self) -> None:
+        """Words beyond those to be remembered; their numbers have no meaning after this."""
+        del self.low[self.known.count :]
+
+    def _stretch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of each word, whether a sentence ended before it, and the words' counts by text."""
+        whole = "\0".join(texts) + "\0"
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        points = pieces.code_points(whole)
+        kind = _characters(points)
+        part, stop = kind == _IN, (kind == _POINT) | (kind == _END)
+        joint = (kind == _JOINT) | (kind == _POINT)
+        joint[1:-1] &= part[:-2] & part[2:]
+        joint[0] = joint[-1] = False
+        part |= joint
+        stop &= ~joint
+        stop[ends - 1] = True
+        edge = np.diff(part.view(np.int8), prepend=np.int8(0))
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        stops = np.cumsum(stop)[start]
+        keys = pieces.keys(points, start, end)
+        number = self.known.find(*keys).astype(np.int64)
+        if (new := np.flatnonzero(number < 0)).size:
+            _, first, again = np.unique(keys[0][new], return_index=True, return_inverse=True)
+            at = new[first]
+            number[new] = len(self.low) + again
+            self._learn([whole[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            if len(self.low) <= self.remembered and len(self.low) == self.known.count + len(at):
+                self.known.add(keys[0][at], keys[1][at])
+        return number, np.diff(stops, prepend=0) > 0, np.diff(np.searchsorted(start, ends), prepend=0)
+
+    def words(self, texts: list[str]) -> Words:
+        number, stop, n = [], [], np.zeros(len(texts), dtype=np.int64)
+        for some, of in pieces.chunks(texts):
+            a, b, c = self._stretch(some)  # one that goes on with a text begins between two of its words
+            number.append(a)
+            stop.append(b)
+            np.add.at(n, of, c)
+        number = np.concatenate(number) if number else np.zeros(0, dtype=np.int64)
+        stop = np.concatenate(stop) if stop else np.zeros(0, dtype=bool)
+        kind, literal = self.kind[number], self.hash[number]
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        stop[bounds[:-1][n > 0]] = True
+        after_number = np.zeros(len(kind), dtype=bool)
+        after_number[1:] = (kind[:-1] == _DIGITS) & ~stop[1:]
+        name, unit, digits = (kind == _CAPITAL) & ~stop, (kind == _UNITWORD) & after_number, kind == _DIGITS
+        code = literal.copy()
+        code[digits], code[name], code[unit] = _NUMBER, _NAME, _UNIT
+        return Words(number, code, digits | name | unit, literal, bounds)
 
 
-_ARROW = [("h", pa.int64()), ("at", pa.int32()), ("slots", pa.string())]
+def window_hashes(code: np.ndarray, size: int) -> np.ndarray:
+    at = np.arange(max(0, len(code) - size + 1))
+    mixed = code ^ (code >> np.uint64(29))
+    return pieces.sums(mixed, at, at + size)[0]
+
+
+_ARROW = [("n", pa.int32()), ("size", pa.int32()), ("h", pa.int64()), ("at", pa.int32()), ("slots", pa.string())]
+
+
+def _found(tool: Canonical, w: Words, size: int, template: bool, bitmap: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str | None]]:
+    """Text, hash, place and slots of the windows of one size and kind."""
+    if len(w.code) < size:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+    h = window_hashes(w.code if template else w.literal, size)
+    n = np.diff(w.bounds)
+    of = np.repeat(np.arange(len(n)), n)[: len(h)]
+    ok = np.arange(len(h)) + size <= w.bounds[of + 1]
+    ok &= (n >= (MIN_ITEM if template else MIN_COPY))[of]
+    if template:
+        known = np.concatenate([[0], np.cumsum(~w.placeholder)])
+        ok &= known[size:] - known[:-size] >= min(MIN_LITERAL, size)
+    else:
+        h ^= _LITERAL
+    if bitmap is not None:
+        place = h & np.uint64(BITMAP_BITS - 1)
+        ok &= (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    at = np.flatnonzero(ok)
+    return of[at], h[at], at - w.bounds[of[at]], [tool.slots(w, a, w.placeholder[a : a + size]) if template else None for a in at.tolist()]
 
 
 def windows(df: DataFrame, keys: list[str], text: str, sizes: list[int] | None, bitmap: np.ndarray | None) -> DataFrame:
-    """keys, n (windows of the kind in the text), h, at, slots (null: a literal window).
+    """keys, n (windows of the kind in the text), size, h, at, slots (null: a literal window).
 
     With `sizes` all windows of these sizes that pass the bitmap; without, those of one size: WINDOW or the text's own if shorter (benchmark items).
     """
-    small_batches(df.sparkSession)
     rows = df.select(*keys, F.col(text).cast("string").alias("_text"))
     schema = ", ".join([f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys] + ["n int, size int, h long, at int, slots string"])
 
+    def of_documents(tool: Canonical, texts: list[str]) -> Iterator[tuple]:
+        w = tool.words(texts)
+        for size in sizes:
+            for template in (True, False) if size >= MIN_ITEM else (False,):
+                of, h, at, slots = _found(tool, w, size, template, bitmap)
+                yield of, np.zeros(len(of), dtype=np.int64), np.full(len(of), size), h, at, slots
+
+    def of_item(tool: Canonical, text: str, i: int) -> Iterator[tuple]:
+        w = tool.words([text])
+        size = min(WINDOW, len(w.code))
+        if size < MIN_COPY:
+            return
+        for template in (True, False) if size >= MIN_ITEM else (False,):
+            _, h, at, slots = _found(tool, w, size, template, None)
+            n = len(at)
+            if template and tool.could_be_name[w.number[0]] and not w.placeholder[0] and (~w.placeholder[:size]).sum() - 1 >= MIN_LITERAL:
+                first, named = w.code[:size].copy(), w.placeholder[:size].copy()
+                first[0], named[0] = _NAME, True
+                at, h, slots = np.append(at, 0), np.append(h, window_hashes(first, size)), [*slots, tool.slots(w, 0, named)]
+            yield np.full(len(at), i), np.full(len(at), n), np.full(len(at), size), h, at, slots
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Canonical()
-        for b in it:
-            of: list[np.ndarray] = []
-            cells: list[list] = [[], [], [], [], []]
-            for i, t in enumerate(b.column(len(keys)).to_pylist()):
-                if not t:
-                    continue
-                words, code, placeholder, literal = tool.words(t)
-                if len(code) < MIN_COPY:
-                    continue
-                known = np.concatenate([[0], np.cumsum(~placeholder)])
-                for size in [min(WINDOW, len(code))] if sizes is None else sizes:
-                    if size > len(code):
-                        continue
-                    for template in (True, False) if len(code) >= MIN_ITEM and size >= MIN_ITEM else (False,):
-                        h = window_hashes(code if template else literal, size)
-                        if template:
-                            ok = known[size:] - known[:-size] >= min(MIN_LITERAL, size)
-                        else:
-                            h ^= _LITERAL
-                            ok = np.ones(len(h), dtype=bool)
-                        if bitmap is not None:
-                            place = h & np.uint64(BITMAP_BITS - 1)
-                            ok &= (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                        at = np.flatnonzero(ok)
-                        n, h = len(at), h[at]
-                        slots = [_slots(words, placeholder, a, size) if template else None for a in at.tolist()]
-                        if sizes is None and template and _could_be_name(words[0]) and not placeholder[0] and known[size] - 1 >= MIN_LITERAL:
-                            first, named = code[:size].copy(), placeholder[:size].copy()
-                            first[0], named[0] = _NAME, True
-                            at, h, slots = np.append(at, 0), np.append(h, window_hashes(first, size)), [*slots, _slots(words, named, 0, size)]
-                        of.append(np.full(len(at), i))
-                        cells[0] += [n] * len(at)
-                        cells[1] += [size] * len(at)
-                        cells[2].append(h.view(np.int64))
-                        cells[3].append(at)
-                        cells[4] += slots
-            take = pa.array(np.concatenate(of) if of else [], pa.int64())
-            new = [pa.array(cells[0], pa.int32()), pa.array(cells[1], pa.int32()), *(pa.array(np.concatenate(c) if c else [], k) for c, k in ((cells[2], pa.int64()), (cells[3], pa.int32()))), pa.array(cells[4], pa.string())]
-            yield pa.RecordBatch.from_arrays([*[b.column(j).take(take) for j in range(len(keys))], *new], [*keys, "n", "size", "h", "at", "slots"])
+        for b in (x for whole in it for x in pieces.slices(whole, len(keys), pieces.CHUNK)):
+            texts = [t or "" for t in b.column(len(keys)).to_pylist()]
+            for of, n, size, h, at, slots in of_documents(tool, texts) if sizes is not None else chain.from_iterable(of_item(tool, t, i) for i, t in enumerate(texts)):
+                new = [pa.array(x, k) for x, (_, k) in zip((n, size, h.view(np.int64), at, slots), _ARROW, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[b.column(j).take(pa.array(of)) for j in range(len(keys))], *new], [*keys, *[k for k, _ in _ARROW]])
+            tool.forget()
 
     return rows.mapInArrow(batches, schema)
 
