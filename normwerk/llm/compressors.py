@@ -6,47 +6,66 @@ text would soon be its own dictionary and the given ones would count for nothing
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEVEL = 3
-DICT_BYTES = 112_640
+LEVEL = 6  # below it zstandard looks for matches so quickly that it misses short ones
+STRETCH = 256
+#: More labels than these (times the sample's rows a label, so many texts come to the driver) are taken for a mistake.
+MAX_LABELS = 500
 
 
-def sample_per_label(docs: DataFrame, ids: DataFrame, label: str, rows: int, chars: int) -> dict[str, list[str]]:
-    """Of at most `rows` documents of each label, those whose ids have the smallest hash, at most `chars` characters from the text's middle.
+def sample_per_label(docs: DataFrame, ids: DataFrame, label: str, rows: int) -> dict[str, list[str]]:
+    """The whole texts of at most `rows` documents of each label: those whose ids have the smallest hash.
 
-    `ids` has doc_id and `label`, `docs` has doc_id and text.  The choice is made among ids alone, of which Spark keeps the first
-    of each task and then of each of 64 salts (window group limits), so that no task gets more than 64 times `rows` of a label.  What is chosen is bounded,
-    so it can be broadcast to fetch the texts.  Null ids and labels don't count; of several texts with one id, the least is taken.
+    `ids` has doc_id and `label`, `docs` has doc_id and text.  From the number of ids of each label follows a hash below which more than
+    `rows` of them are, but not many more; those alone are brought together, and the choice is made among them.  What is chosen is bounded
+    by `rows` and MAX_LABELS, so it can be broadcast to fetch the texts.  Null ids and labels and empty texts don't count; of several texts with
+    one id, the least is taken.
     """
-    salt, order = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(64)), (F.xxhash64("doc_id"), "doc_id")
-    some, first = Window.partitionBy("_label", salt).orderBy(*order), Window.partitionBy("_label").orderBy(*order)
-    labelled = ids.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("string").alias("_label")).distinct()
-    few = labelled.withColumn("_n", F.row_number().over(some)).filter(F.col("_n") <= rows).drop("_n")  # the first of all are among the first of each salt
-    chosen = few.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= rows)
-    start = F.greatest(F.lit(1), F.expr(f"(length(text) - {chars}) div 2")).cast("int")
-    texts = docs.select("doc_id", "text").filter(F.length("text") > 0).join(F.broadcast(chosen), "doc_id")
+    h = F.xxhash64("doc_id")
+    labelled = ids.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("string").alias("_label"), h.alias("_h"))
+    counts = labelled.groupBy("_label").agg(F.approx_count_distinct("doc_id").alias("n")).limit(MAX_LABELS + 1).collect()
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} values of {label}")
+    if not counts:
+        return {}
+    # of 2^64 hashes, the share that holds twice `rows` of a label and some more: fewer than `rows` are out of the question
+    below = {r["_label"]: min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, (2 * rows + 64) / max(1, r["n"])))) for r in counts}
+    bound = F.create_map(*[F.lit(x) for k, v in below.items() for x in (k, v)])
+    few = sorted({(r["_label"], r["_h"], r["doc_id"]) for r in labelled.filter(F.col("_h") <= bound[F.col("_label")]).distinct().collect()})
+    chosen: dict[str, list[int]] = {}
+    for k, _, i in few:
+        if len(chosen.setdefault(k, [])) < rows:
+            chosen[k].append(i)
+    place = [(k, i, n) for k, some in chosen.items() for n, i in enumerate(some)]
+    some = docs.sparkSession.createDataFrame(place, f"_label string, doc_id {docs.schema['doc_id'].dataType.simpleString()}, _n int")
+    texts = docs.select("doc_id", "text").filter(F.length("text") > 0).join(F.broadcast(some), "doc_id").groupBy("_label", "_n").agg(F.min("text").alias("_text"))
     out: dict[str, list[str]] = {}
-    for r in texts.groupBy("_label", "_n").agg(F.min(F.substring(F.col("text"), start, F.lit(chars))).alias("_text")).orderBy("_label", "_n").collect():
+    for r in sorted(texts.collect(), key=lambda r: (r["_label"], r["_n"])):
         out.setdefault(r["_label"], []).append(r["_text"])
     return out
 
 
-def raw_dictionary(texts: list[str], size: int = DICT_BYTES) -> bytes:
-    """Raw content: an equal share of each text, so that each counts."""
-    parts, total = [], 0
-    share = max(256, size // max(1, len(texts)))
-    for t in texts:
-        b = t.encode()[:share]
-        parts.append(b)
-        total += len(b) + 1
-        if total >= size:
+def raw_dictionary(texts: list[str], size: int) -> bytes:
+    """Raw content of at most `size` bytes, to which every text gives: the whole of it, or an equal share in stretches at even distances over its whole length."""
+    raw = [t.encode("utf-8", "replace") for t in texts]
+    left, share = size, size
+    for n, b in enumerate(sorted(raw, key=len)):  # what short texts leave goes to the others
+        share = left // (len(raw) - n)
+        if len(b) >= share:
             break
+        left -= len(b) + 1
+    parts = []
+    for b in raw:
+        if len(b) < share:
+            parts.append(b)
+            continue
+        n = max(1, share // (STRETCH + 1))
+        cut = max(1, share // n - 1)
+        parts += [b[i * (len(b) - cut) // max(1, n - 1) :][:cut] for i in range(n)]
     return b"\n".join(parts)[:size]
 
 
@@ -69,7 +88,3 @@ class Sizes:
         raw = text.encode("utf-8", "replace")
         pieces = [raw[i : i + self.piece] for i in range(0, len(raw), self.piece)]
         return np.array([(len(p), *(len(t.compress(p)) for t in self.tools)) for p in pieces], dtype=np.float64).reshape(len(pieces), 1 + len(self.tools))
-
-
-def fold(text: str, folds: int) -> int:
-    return zlib.crc32(text.encode("utf-8", "replace")) % folds

@@ -1,13 +1,14 @@
 """Quality score from compressed sizes.
 
-Two zstandard raw-content dictionaries are built from texts labelled good and bad.  A text's score comes
-from the normalised difference of its compressed sizes under the two, with the plain compressed size
-(no dictionary) as the norm; a logistic calibration turns these into the probability of label 1.
+Two zstandard raw-content dictionaries are built from texts labelled good and bad.  A text's score comes from the normalised difference of
+its compressed sizes under the two, with the plain compressed size (no dictionary) as the norm: of the whole text, and the least and the largest of
+its pieces.  Nothing else is looked at, neither length nor how well a text compresses by itself.  A logistic calibration turns these differences into
+the probability of label 1.
 
-Fitting uses a bounded sample: at most SAMPLE_ROWS texts a label and SAMPLE_CHARS characters of each.  One half of it
-makes the dictionaries, the other half, scored with them, the calibration.  Scoring reads whole texts.
+Fitting uses a bounded sample: at most SAMPLE_ROWS texts a label, whole ones.  One half of it makes the dictionaries, of DICT_BYTES at most, to which
+each text gives stretches over its whole length; the other half, scored with them, makes the calibration.  Scoring reads whole texts.
 
-Defined results: null and empty texts have no pieces and get the features of an empty text, so all get one score between
+Defined results: null and empty texts have no pieces and the differences zero, so all get one score between
 0 and 1; with no label 0 or no label 1 in the sample every score is the share of label 1 (0.5 without labels).
 Repeated label rows of a document count once each; null labels don't count.  A column that has the name of the output is replaced.
 """
@@ -22,22 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from normwerk.llm.common import small_batches
 from normwerk.llm.compressors import Sizes, raw_dictionary, sample_per_label
 
 SAMPLE_ROWS = 1000
-SAMPLE_CHARS = 4096
-PIECE = 512
+DICT_BYTES = 1 << 20
+PIECE = 1024
 
 
 def features(sizes: np.ndarray) -> np.ndarray:
     """Of one text: sizes has a row per piece with bytes, plain, good and bad compressed size."""
     if not len(sizes):
-        return np.array([0.0, 0.0, 0.0, 0.7, 0.7, 0.7, 0.0])
-    total = sizes.sum(0)
-    full = sizes[: max(1, len(sizes) - 1)]  # the last piece is short and its ratios are noisy
-    diff, ratio = (full[:, 3] - full[:, 2]) / full[:, 1], full[:, 1] / full[:, 0]
-    return np.array([(total[3] - total[2]) / total[1], diff.min(), diff.max(), total[1] / total[0], ratio.min(), ratio.max(), np.log1p(total[0]) / 10])
+        return np.zeros(3)
+    total, each = sizes.sum(0), (sizes[:, 3] - sizes[:, 2]) / sizes[:, 1]
+    return np.array([(total[3] - total[2]) / total[1], each.min(), each.max()])
 
 
 def _expand(x: np.ndarray) -> np.ndarray:
@@ -72,16 +70,16 @@ class Calibration:
         return 1 / (1 + np.exp(-np.clip(self._matrix(x) @ self.w, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
     """A model from documents (doc_id, text) and labels (doc_id, quality: 0 or 1, others ignored)."""
     labelled = docs.select("doc_id").join(labels.filter(F.col("quality").isin(0, 1)).select("doc_id", "quality").distinct(), "doc_id")
-    sample = sample_per_label(docs, labelled, "quality", rows, chars)
+    sample = sample_per_label(docs, labelled, "quality", rows)
     good, bad = sample.get("1", []), sample.get("0", [])
     if len(good) < 4 or len(bad) < 4:
         return {"constant": len(good) / (len(good) + len(bad)) if good or bad else 0.5}
     counts = labelled.groupBy("quality").count().collect()
     n = {r["quality"]: r["count"] for r in counts}
-    dictionaries = [b"", raw_dictionary(good[::2]), raw_dictionary(bad[::2])]
+    dictionaries = [b"", raw_dictionary(good[::2], DICT_BYTES), raw_dictionary(bad[::2], DICT_BYTES)]
     tool = Sizes(dictionaries, PIECE)
     x = np.array([features(tool.of(t)) for t in good[1::2] + bad[1::2]])
     y = np.array([1.0] * len(good[1::2]) + [0.0] * len(bad[1::2]))
@@ -91,11 +89,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
 
 def score(df: DataFrame, model: dict, text: str = "text", out: str = "score") -> DataFrame:
     """`df` with `out`, the probability that a text's label is 1; only `text` is looked at."""
-    small_batches(df.sparkSession)
     df = df.drop(out)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
 
+    sent = df.sparkSession.sparkContext.broadcast(model)  # 2 MB; once an executor, not once a task
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         tool = None if "constant" in model else Sizes(model["dictionaries"], PIECE)
         for b in it:
             texts = b.column(b.schema.names.index(text)).to_pylist()
