@@ -7,12 +7,13 @@ Search: the 64 bits are three blocks, each padded with zeros to 23 bits.  The bi
 each word has exactly one anchor (code word) within distance 3.  Two fingerprints within 4 bits have two blocks in which they
 differ in at most 2 bits together, and so a point in between that is at most 1 bit from either.  That point's anchors are
 therefore within covering radius 3 in both blocks from either fingerprint, or within 3 + 1 in one of them.  Each fingerprint is
-replicated, for each of the three pairs of blocks, to all pairs of anchors within that distance (29 on average, 31 at most),
+replicated, for each of the three pairs of blocks, to all pairs of anchors within that distance (29 on average, 33 at most),
 and compared only with those that share a pair of anchors.  No link is missed.
 
 Hot keys: equal fingerprints are one row from the start.  A pair of anchors with more than HOT fingerprints is compared in cells, block of rows
 against block of rows, each its own group; a cell returns a spanning forest of its links, not the links.  Components come from
-alternating large-star and small-star rounds on the remaining links, which never gather a node's neighbours in one place.
+alternating large-star and small-star rounds on the remaining links: minima with partial sums, and joins whose hubs Spark splits, so no
+node's neighbours have to be in one place.
 
 Defined results: null and empty texts have fingerprint zero and link to each other.  Null ids take part, but the component's id is the smallest
 id that isn't null (null if there is none).  Rows that repeat come out as often as they came in.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from normwerk.llm.common import small_batches, stored
+from normwerk.llm.common import stored
 
 WORDS = 4
 SEED = 42
@@ -64,7 +65,6 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "_fp") -> DataFrame:
     """`df` with `text` replaced by `out`, the fingerprint as a signed long."""
-    small_batches(df.sparkSession)
     keep = [f for f in df.schema.fields if f.name not in (text, out)]
     schema = T.StructType([*keep, T.StructField(out, T.LongType())])
     names = [f.name for f in keep]
@@ -235,13 +235,14 @@ def components(edges: DataFrame, name: str = "simhash") -> DataFrame:
     state = None
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("v", "m").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # the least are stored, so that the joins are broadcast, or between two plain shuffles of which Spark splits a hub's part
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-least")
+        large = stored(both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}-large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        if now == state or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
 
