@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: shared-folder tables, row keys, batch sizes."""
+"""What the operators of this subpackage share: shared-folder tables and row keys."""
 
 from __future__ import annotations
 
@@ -8,10 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch.  Whole texts travel in batches, so Spark's default of 10,000 rows
-#: would hold gigabytes where documents are long.
-BATCH_ROWS = 512
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which driver and executors share.
@@ -42,14 +38,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small (see BATCH_ROWS); lowers the session's setting, never raises it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

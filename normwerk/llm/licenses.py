@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from normwerk.llm.common import small_batches
 
 # Phrases whose label is given
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -134,7 +133,6 @@ OUT = (("n_words", T.LongType(), pa.int64()), ("n_base", T.LongType(), pa.int64(
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """`df` without `text`, with the columns of OUT; row by row, whole texts."""
-    small_batches(df.sparkSession)
     new = [n for n, _, _ in OUT]
     keep = [f for f in df.schema.fields if f.name not in (text, *new)]
     schema = T.StructType(keep + [T.StructField(n, t) for n, t, _ in OUT])

@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from normwerk.llm.common import small_batches
 
 RATE = 8000  # samples (bytes) per second of one logical stream
 BLOCK = 4032  # bytes per packet
@@ -144,7 +143,6 @@ def decode(media: bytes) -> dict:
 
 def write_ogg(df: DataFrame, payload: str = "payload", n_bytes: str = "n_bytes", media: str = "media") -> DataFrame:
     """`df` with the binary column `payload` replaced by `media`, an Ogg file of it; `n_bytes` (kept) is stored in the file too."""
-    small_batches(df.sparkSession)
     df = df.drop(media)
     schema = T.StructType([f for f in df.schema.fields if f.name != payload] + [T.StructField(media, T.BinaryType())])
     keep = [f.name for f in df.schema.fields if f.name != payload]
@@ -187,7 +185,6 @@ _READ_ARROW = pa.struct(
 
 def read_ogg(df: DataFrame, media: str = "media", out: str = "ogg") -> DataFrame:
     """`df` with a struct column `out`: what `decode` finds in `media`."""
-    small_batches(df.sparkSession)
     df = df.drop(out)
     schema = T.StructType([*df.schema.fields, T.StructField(out, READ)])
 
