@@ -59,27 +59,46 @@ class Globs:
             self.last.append(at)
 
     def match(self, urls: list[np.ndarray]) -> np.ndarray:
-        """For each sequence of symbols, which rules match it."""
-        order = sorted(range(len(urls)), key=lambda i: -len(urls[i]))
-        lengths = np.array([len(urls[i]) for i in order] or [0])
-        state = np.zeros((len(urls), self.words), dtype=np.uint64)
-        done = np.zeros_like(state)
-        for t in range(lengths[0]):
-            n = int(np.searchsorted(-lengths, -t, side="left"))  # those longer than t
-            symbol = np.array([urls[i][t] for i in order[:n]])
+        return self.match_joined(np.concatenate([np.zeros(0, dtype=np.int64), *urls]), np.concatenate([[0], np.cumsum([len(u) for u in urls], dtype=np.int64)]))
+
+    def match_joined(self, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """For each sequence of symbols (they are joined; `bounds` has where each begins, and the end), which rules match it.
+
+        Sequences of about the same length are stepped through together, so that a very long one holds up no other.
+        """
+        lengths = np.diff(bounds)
+        done = np.zeros((len(lengths), self.words), dtype=np.uint64)
+        size = np.ceil(np.log2(np.maximum(lengths, 1)))
+        for k in np.unique(size):
+            at = np.flatnonzero(size == k)
+            done[at] = self._steps(symbols, bounds[at], lengths[at])
+        last = np.array(self.last, dtype=np.int64)
+        return (done[:, last // 64] >> (last % 64).astype(np.uint64)) & np.uint64(1) > 0
+
+    def _steps(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        state, done = (np.zeros((len(starts), self.words), dtype=np.uint64) for _ in range(2))
+        for t in range(int(lengths.max())):
+            symbol = np.where(t < lengths, symbols[np.minimum(starts + t, len(symbols) - 1)], PAD)
             if t == 0:
-                state[:n] = self.mask[symbol]  # the first literal of every rule is START, and no other is
+                state = self.mask[symbol]  # the first literal of every rule is START, and no other is
             else:
-                now = state[:n]
-                moved = now << np.uint64(1)
-                moved[:, 1:] |= now[:, :-1] >> np.uint64(63)
-                stay = np.where((symbol < START)[:, None], now & self.star, np.uint64(0))
-                state[:n] = moved & self.mask[symbol] | stay
-            done[:n] |= state[:n]
-        out = np.zeros((len(urls), len(self.last)), dtype=bool)
-        for k, at in enumerate(self.last):
-            out[order, k] = (done[:, at // 64] >> np.uint64(at % 64)) & np.uint64(1) > 0
-        return out
+                moved = state << np.uint64(1)
+                moved[:, 1:] |= state[:, :-1] >> np.uint64(63)
+                state = moved & self.mask[symbol] | np.where((symbol < START)[:, None], state & self.star, np.uint64(0))
+            done |= state
+        return done
+
+
+def url_symbols(hosts: list[bytes], paths: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """START, '.', host, SLASH, path, END of each URL, joined, and where each begins (with the end of the last)."""
+    h, p = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (hosts, paths))
+    bounds = np.concatenate([[0], np.cumsum(h + p + 4)])
+    out = np.empty(bounds[-1], dtype=np.int64)
+    out[bounds[:-1]], out[bounds[:-1] + 1], out[bounds[:-1] + 2 + h], out[bounds[1:] - 1] = START, ord("."), SLASH, END
+    for part, n, first in ((hosts, h, bounds[:-1] + 2), (paths, p, bounds[:-1] + 3 + h)):
+        before = np.cumsum(n) - n
+        out[np.repeat(first - before, n) + np.arange(n.sum())] = np.frombuffer(b"".join(part), dtype=np.uint8)
+    return out, bounds
 
 
 def _symbols(glob: str) -> list[int | None]:
@@ -112,7 +131,7 @@ def judge(df: DataFrame, url: str = "url") -> DataFrame:
         for b in it:
             at = b.schema.names.index
             hosts, paths = ([x.encode("utf-8", "replace") for x in b.column(at(c)).to_pylist()] for c in ("host", "path"))
-            found = tool.match([np.array([START, *b".", *h, SLASH, *p, END]) for h, p in zip(hosts, paths, strict=True)])
+            found = tool.match_joined(*url_symbols(hosts, paths))
             rules, verdicts = [], []
             n = found[:, len(HOST_RULES) :].sum(1)
             for i in range(len(hosts)):

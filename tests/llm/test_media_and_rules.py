@@ -140,3 +140,57 @@ def test_op9(spark, tmp_path):
 )
 def test_templates(text, label, yes):
     assert (label in licenses.scan_text(text)[5].split(",")) == yes
+
+
+def filled(markup, optional, words):
+    """A licence's wording with its optional parts or without, and so many words in each region."""
+    text = re.sub(r"\[\[(.*?)\]\]", lambda m: m[1] if optional else "", markup, flags=re.DOTALL)
+    return re.sub(r"\{\{(\d+),(\d+)\}\}", lambda m: " ".join(["Someone"] * words(int(m[1]), int(m[2]))), text)
+
+
+@pytest.mark.parametrize(("label", "markup"), licenses.LICENSES, ids=[x for x, _ in licenses.LICENSES])
+def test_whole_licenses(label, markup):
+    """Accepted with and without what is optional, in any region's bounds; not with a mandatory word changed, left out or added, or a region over its bound."""
+    found = lambda t: label in licenses.scan_text(f"Title 2020\n{t}\nthe end")[5].split(",")
+    least, most = (lambda a, b: a), (lambda a, b: b)
+    assert all(found(filled(markup, o, n)) for o in (False, True) for n in (least, most))
+    assert found(filled(markup, True, least).upper().replace(" ", "\n  "))
+    parts = re.split(r"(\[\[.*?\]\]|\{\{\d+,\d+\}\})", markup, flags=re.DOTALL)
+    plain = [i for i, x in enumerate(parts) if x[:2] not in ("[[", "{{") and len(licenses.words_of(x)) > 2]
+    for i in plain:
+        w = parts[i].split()
+        for k in {1, len(w) // 2}:
+            for new in ([*w[:k], "changed", *w[k + 1 :]], [*w[:k], *w[k + 1 :]], [*w[:k], "added", *w[k:]]):
+                other = "".join([*parts[:i], " " + " ".join(new) + " ", *parts[i + 1 :]])
+                if licenses.words_of(" ".join(new)) != licenses.words_of(parts[i]):
+                    assert not found(filled(other, False, most)), (i, k, new)
+    if "{{" in markup:
+        assert not found(filled(markup, False, lambda a, b: b + 1))
+
+
+def test_templates_equal_regular_expressions():
+    """A plain matcher: the same markup as a pattern over words."""
+    rng = random.Random(6)
+    for _ in range(200):
+        parts, pattern = ["a b"], r"a b"
+        for _ in range(rng.randint(1, 4)):
+            kind, w = rng.randrange(3), " ".join(rng.choice("abc") for _ in range(rng.randint(1, 2)))
+            n = rng.randint(0, 1), rng.randint(1, 3)
+            parts.append((w, f"[[{w}]]", "{{%d,%d}}" % n)[kind])
+            pattern += (f" {w}", f"(?: {w})?", r"(?: \w+){%d,%d}" % n)[kind]
+        tool = licenses.Template("x", " ".join(parts))
+        for _ in range(20):
+            words = ["a", "b", *[rng.choice("abc") for _ in range(rng.randint(0, 9))]]
+            assert tool.at([w.encode() for w in words], 0) == bool(re.match(pattern + r"(?!\w)", " ".join(words)))
+
+
+def test_urls_of_very_different_lengths(spark, tmp_path):
+    """One very long URL, an empty one and null between short ones; repeated rows and columns of the outputs' names."""
+    long = "https://Ads.example.org/" + "a/" * 50_000 + "login"
+    urls = ["https://x.com/fr/a", long, None, "", "no scheme", "https://x.com/fr/a", "https://y.net/tag/1/page/2"]
+    rows = [(i, u, "h", "r") for i, u in enumerate(urls)]
+    got = url_rules.judge(spark.createDataFrame(rows, "page_id long, url string, host string, rule string")).orderBy("page_id").collect()
+    assert [(r["host"], r["rule"], r["verdict"], r["n_globs"]) for r in got] == [
+        ("x.com", "com/fr/", "allow", 0), ("ads.example.org", "org/", "allow", 2), ("", None, "allow", 0), ("", None, "allow", 0), ("", None, "allow", 0), ("x.com", "com/fr/", "allow", 0), ("y.net", None, "block", 1),
+    ]
+    assert url_rules.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
