@@ -1,9 +1,9 @@
-"""License scans: phrases, and templates with optional and replaceable regions.
+"""License scans: phrases, and templates of whole licences and notices with optional and replaceable regions.
 
-A template is a line of words with [[optional words]] and {{least,most}}, a region that any words may fill.  It is compiled
-into a nondeterministic automaton over words; a text matches where its words run through it, so mandatory words must match exactly,
-in order, with nothing else between.  The automaton starts only at places where the template's first two words stand, which are found
-in the joined words at the speed of a byte search.
+A template is words with [[optional words]] and {{least,most}}, a region that any words may fill.  It is compiled
+into a nondeterministic automaton over words; a text matches where its words run through it from the first to the last, so mandatory words must match exactly,
+in order, with nothing else between.  The automaton starts only at places where the template's first words (up to the first region, ANCHOR at most) stand, which
+are found in the joined words at the speed of a byte search.
 
 Defined results: null and empty texts have no words, no labels (empty strings) and score 0.
 """
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from normwerk.llm.license_texts import LICENSES
+
 
 # Phrases whose label is given
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -29,10 +31,10 @@ TEMPLATES = (
     ("gpl-grant", "you can redistribute it and or modify it under the terms of the gnu {{1,3}} license"),
     ("bsd-grant", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("cc-notice", "licensed under [[a]] [[the]] [[creative commons]] cc by [[nc]] [[sa]] [[nd]] {{0,1}}"),
-    ("rights-reserved", "all rights reserved"),
     ("copyright-reserved", "copyright {{1,12}} all rights reserved"),
 )
 
+ANCHOR = 6
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -46,13 +48,13 @@ class Template:
 
     def __init__(self, label: str, markup: str):
         self.label, self.step, self.skip = label, [], []
-        at = self._state()
-        for part in re.findall(r"\[\[.*?\]\]|\{\{\d+,\d+\}\}|\S+", markup):
+        at, first, certain = self._state(), [], True
+        for part in re.split(r"(\[\[.*?\]\]|\{\{\d+,\d+\}\})", markup, flags=re.DOTALL):
             if part.startswith("[["):
-                first = at
-                for w in part[2:-2].split():
-                    at = self._word(at, w.encode())
-                self.skip[first].append(at)
+                here = at
+                for w in words_of(part[2:-2]):
+                    at = self._word(at, w)
+                self.skip[here].append(at)
             elif part.startswith("{{"):
                 least, most = map(int, part[2:-2].split(","))
                 loose = []
@@ -63,12 +65,15 @@ class Template:
                 for x in loose:
                     self.skip[x].append(at)
             else:
-                at = self._word(at, part.encode())
+                for w in words_of(part):
+                    at = self._word(at, w)
+                    if certain and len(first) < ANCHOR:
+                        first.append(w)
+                continue
+            certain = False
         self.end = at
         self.start = self._closed({0})
-        self.first = markup.split()[0].encode()
-        second = markup.split()[1]
-        self.anchor = b" %s%s" % (self.first, b" %s " % second.encode() if second[0] not in "[{" else b" ")
+        self.anchor = b" %s " % b" ".join(first)
 
     def _state(self) -> int:
         self.step.append([])
@@ -90,6 +95,7 @@ class Template:
         return frozenset(states)
 
     def at(self, words: list[bytes], place: int) -> bool:
+        """Whether the words from `place` on run through the automaton."""
         states = self.start
         while states:
             if self.end in states:
@@ -112,7 +118,7 @@ def _places(line: bytes, needle: bytes) -> Iterator[int]:
         at = line.find(needle, at + 1)
 
 
-COMPILED = tuple(Template(*t) for t in TEMPLATES)
+COMPILED = tuple(Template(*t) for t in TEMPLATES + LICENSES)
 
 
 def scan_text(text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
