@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from normwerk.sources.shared import stored
+
 SEVERITY_SHARES = {"major": 0.50, "minor": 0.35, "critical": 0.10, "recommendation": 0.05}
 
 
@@ -117,27 +118,15 @@ def clusters(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, cluster: the smallest id reachable over links (a, b).
 
     Minimum labels with pointer jumping: each round takes the smallest label among neighbours, then the label's label.  Each round is written to
-    the checkpoint folder.
+    the shared folder.
     """
-    spark = links.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="spark-normwerk-")
-
-    def kept(df: DataFrame) -> DataFrame:
-        path = f"{folder.rstrip('/')}/clusters-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    both = kept(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = kept(nodes.select("id", F.col("id").alias("cluster")))
+    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cluster-links")
+    labels = stored(nodes.select("id", F.col("id").alias("cluster")), "cluster-labels")
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("cluster").alias("_m"))
         step = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.col("cluster").alias("_old"), F.least("cluster", "_m").alias("cluster"))
         jump = step.select(F.col("id").alias("cluster"), F.col("cluster").alias("_j"))
-        new = kept(step.join(jump, "cluster", "left").select("id", "_old", F.least("cluster", "_j").alias("cluster")))
+        new = stored(step.join(jump, "cluster", "left").select("id", "_old", F.least("cluster", "_j").alias("cluster")), "cluster-labels")
         moved = new.filter("_old <> cluster").limit(1).count()
         labels = new.select("id", "cluster")
         if not moved:
