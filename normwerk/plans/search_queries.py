@@ -45,9 +45,9 @@ def text_search(spark, sf_dir):
 
 
 def batch_text_search(spark, sf_dir):
-    """Every conversation's first question's first three words against all texts."""
+    """The first question of every hundredth conversation, whole, against all texts."""
     c = bridge.table(spark, sf_dir, "conversations").filter((F.col("role") == "user") & (F.col("conv_id") % 100 == 0))
-    q = c.groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("query")).select("query_id", F.substring_index("query", " ", 3).alias("query"))
+    q = c.groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("query"))
     return search.batch_text_search(bridge.memory(spark, sf_dir), q, 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -160,7 +160,7 @@ ORACLE_SQL = {
     "vector_search_filtered": with_views(MEMORY_SQL, _QV, then=f"SELECT m.id, round({_SIM}, 6) AS sim FROM memory m, qv q WHERE m.embedding IS NOT NULL AND status = 'active' AND content_type = 'note' ORDER BY {_SIM} DESC, m.id LIMIT 5"),
     "text_search": with_views(MEMORY_SQL, _bm25("memory", _WORDS), then="SELECT id, round(score, 6) AS score FROM sc ORDER BY score DESC, id LIMIT 10"),
     "batch_text_search": with_views(MEMORY_SQL,
-        "q0 AS (SELECT conv_id AS query_id, array_to_string(string_split(min_by(text, turn), ' ')[1:3], ' ') AS query FROM conversations WHERE role = 'user' AND conv_id % 100 = 0 GROUP BY conv_id)",
+        "q0 AS (SELECT conv_id AS query_id, min_by(text, turn) AS query FROM conversations WHERE role = 'user' AND conv_id % 100 = 0 GROUP BY conv_id)",
         "q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+')) AS w FROM q0)", "need AS (SELECT query_id, count(*) AS need FROM q GROUP BY 1)",
         "tok AS (SELECT id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS t FROM memory)", "st AS (SELECT count(*) AS n_docs, avg(len(t)) AS mean_length FROM tok)",
         "x AS (SELECT id, len(t) AS length, unnest(t) AS w FROM tok)", "p AS (SELECT id, length, w, count(*) AS tf FROM x WHERE w IN (SELECT w FROM q) GROUP BY ALL)", "dfs AS (SELECT w, count(*) AS df FROM p GROUP BY w)",
