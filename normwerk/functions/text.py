@@ -347,11 +347,22 @@ def extract_fields(text: Column | str) -> Column:
     )
 
 
-def format_record(key: Column, fields: Column, types: tuple = rules.DOC_TYPES) -> Column:
-    """One line per document: the type's label, then the fields that its section shows."""
-    label = F.coalesce(*[F.when(key == k, lab) for k, lab, *_ in types], F.lit(types[-1][1]))
-    technical = F.coalesce(*[F.when(key == k, sec == "tech_conditions") for k, _, sec, *_ in types], F.lit(False))
-    return F.when(technical, F.format_string("%s %s № %s от %s: %s", label, fields["org_name"], fields["number"], fields["date"], fields["subject"])).otherwise(F.format_string("%s № %s от %s, %s", label, fields["number"], fields["date"], fields["org_name"]))
+def record_fields(text: Column | str) -> Column:
+    """The fields of single types, and whether the text is a sanitary conclusion."""
+    t = F.coalesce(_col(text), F.lit(""))
+    return F.struct(*[F.coalesce(strip(first_match(t, p, g)), F.lit(none)).alias(k) for k, p, g, none in rules.RECORD_FIELDS], t.rlike(rules.SANITARY[0]).alias("sanitary"))
+
+
+def format_record(key: Column, fields: Column, types: tuple = rules.RECORDS, more: Column | None = None) -> Column:
+    """One line per document, by the template of its type; `fields` come from extract_fields and `more` from record_fields (without it, single types' fields stay open)."""
+    template = F.coalesce(*[F.when(key == k, t) for k, t in types], F.lit(types[-1][1]))
+    if more is not None:
+        template = F.when((key == "согласование") & more["sanitary"], rules.SANITARY[1]).otherwise(template)
+    org = fields["org_name"]
+    values = {"org": org, "date": fields["date"], "number": fields["number"], "area": fields["area"], "year": fields["year"], "cad": fields["cadastral"], "subject": F.substring(fields["subject"], 1, 80)}
+    values["org_fmt"] = F.when(F.contains(org, F.lit("«")) | F.contains(org, F.lit('"')), org).otherwise(F.concat(F.lit("«"), org, F.lit("»")))
+    values |= {k: more[k] if more is not None else F.lit(none) for k, _, _, none in rules.RECORD_FIELDS}
+    return reduce(lambda t, kv: F.replace(t, F.lit("{" + kv[0] + "}"), kv[1]), values.items(), template)
 
 
 # --- logs, searching, privacy ---------------------------------------------------------------------
@@ -419,6 +430,15 @@ def anonymise(text: Column | str) -> tuple[Column, dict[str, Column]]:
     return t, n
 
 
+# A report's number, date and object
+REPORT = (("number", r"(?iuU)заключени\w*\s*(?:экспертизы\s*)?№\s*([\w\-/.]+)"), ("date", r"(?U)\b(\d{2}\.\d{2}\.\d{4})\b"), ("object", r"(?imuU)^\s*(?:наименование\s+)?объект\w*\s*[:—–-]\s*([^\n]+)"))
+
+
+def report_fields(text: Column | str) -> Column:
+    """struct(number, date, object) of a report; null for what isn't found."""
+    return F.struct(*[F.trim(first_match(_col(text), p, 1)).alias(k) for k, p in REPORT])
+
+
 def cut_section(text: Column | str, heading: str) -> Column:
     """What stands between a heading line and the next one (# or capitals alone)."""
     return first_match(_col(text), rf"(?msdu)^#*\s*{heading}[^\n]*\n(.*?)(?=^#|^\p{{Lu}}[\p{{Lu}} ]{{5,}}$|\z)", 1)

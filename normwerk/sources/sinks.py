@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from normwerk.functions.text import export_filename
-from normwerk.operators.tables import upsert
+from normwerk.operators.tables import first_by, upsert
+from normwerk.sources.shared import stored
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -26,7 +27,12 @@ def write_summary(summary: DataFrame, path: str) -> None:
     summary.coalesce(1).write.mode("overwrite").json(path)
 
 
-def append_rows(df: DataFrame, path: str) -> None:
+ERROR_CHARS = 2000
+
+
+def append_rows(df: DataFrame, path: str, error: str | None = None) -> None:
+    """`error` names a column of error texts, of which the journal keeps the first ERROR_CHARS characters."""
+    df = df.withColumn(error, F.substring(error, 1, ERROR_CHARS)) if error else df
     df.write.mode("append").parquet(path)
 
 
@@ -40,15 +46,14 @@ def merge_snapshot(new: DataFrame, path: str, key: str, buckets: int = 64, keep_
     Doing it twice with the same rows leaves the same table.
     """
     spark = new.sparkSession
+    new = first_by(new, [key], [F.xxhash64(*[F.col(c) for c in new.columns])])  # repeated keys: one row, always the same
     incoming = bucketed(new, key, buckets)
     touched = [r["bucket"] for r in incoming.select("bucket").distinct().collect()]  # at most `buckets` numbers
-    try:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
         old = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
-    except Exception as e:  # no snapshot yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    else:
         old = incoming.limit(0)
     merged = bucketed(upsert(old.drop("bucket"), new, key, keep_if_null), key, buckets)
-    staged = f"{path.rstrip('/')}.staged"
-    merged.write.mode("overwrite").parquet(staged)  # the old files are read before they go
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    # the old files are read before they go; the buckets are replaced when the write commits
+    stored(merged, "snapshot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from normwerk.functions import crossval, rules
 from normwerk.functions.text import is_bot, parse_access_line
 from normwerk.operators.tables import first_by, outside, validated
-from normwerk.sources.sinks import append_rows, merge_snapshot
+from normwerk.sources.sinks import merge_snapshot
 
 LATE = "1 day"
 
@@ -21,20 +21,30 @@ def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
 
 
 def sync(stream: DataFrame, path: str, key: str, updated: str, checkpoint: str, keep_if_null: tuple[str, ...] = ()) -> StreamingQuery:
-    """Upsert every micro-batch by key; in a batch the row updated last wins."""
-    return _run(stream, lambda b, _: merge_snapshot(first_by(b, [key], [F.desc(updated)]), path, key, keep_if_null=keep_if_null), checkpoint)
+    """Upsert every micro-batch by key; in a batch the row updated last wins, of those the one with the largest hash."""
+
+    def each(batch: DataFrame, _: int) -> None:
+        merge_snapshot(first_by(batch, [key], [F.desc(updated), F.xxhash64(*[F.col(c) for c in batch.columns]).desc()]), path, key, keep_if_null=keep_if_null)
+
+    return _run(stream, each, checkpoint)
 
 
 def intake(stream: DataFrame, memory_path: str, log_path: str, bad_path: str, checkpoint: str) -> StreamingQuery:
-    """Raw messages (message, classification JSON, ts): a memory row and a log row each; rows that break a constraint are kept apart."""
+    """Raw messages (message, classification JSON, ts): a memory row and a log row each; rows that break a constraint are kept apart.
+
+    Each batch overwrites its own partition (`batch`), so a batch that runs again leaves no row twice.
+    """
+
+    def put(df: DataFrame, path: str) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         p = batch.select("message", "ts", crossval.parse_classification(F.col("classification"), F.col("message")).alias("c"))
         memory = p.select(F.col("message").alias("content"), F.lower("c.type").alias("content_type"), F.col("c.summary").alias("summary"), F.col("c.tags").alias("tags"), F.lower("c.priority").alias("priority"), F.lit("active").alias("status"), "ts", F.lit(batch_id).alias("batch"))
         good, bad = validated(memory, [outside("content_type", rules.CONTENT_TYPES), outside("priority", rules.PRIORITIES)])
-        append_rows(good, memory_path)
-        append_rows(bad, bad_path)
-        append_rows(memory.select(F.lit("intake").alias("agent_id"), F.col("content_type").alias("action"), F.lit("success").alias("status"), "ts", "batch"), log_path)
+        put(good, memory_path)
+        put(bad, bad_path)
+        put(memory.select(F.lit("intake").alias("agent_id"), F.col("content_type").alias("action"), F.lit("success").alias("status"), "ts", "batch"), log_path)
 
     return _run(stream, each, checkpoint)
 
@@ -46,9 +56,12 @@ def daily_traffic(lines: DataFrame) -> DataFrame:
 
 
 def daily_activity(logs: DataFrame) -> DataFrame:
-    """day, agent_id, total, success, error."""
-    a = logs.withWatermark("created_at", LATE)
-    return a.groupBy(F.window("created_at", "1 day").alias("w"), "agent_id").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "success").alias("success"), F.count_if(F.col("status") == "error").alias("error")).select(F.to_date("w.start").alias("day"), "agent_id", "total", "success", "error")
+    """day, agent_id, total, success, error, and mean_ms where the logs have duration_ms."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    mean = {"mean_ms": F.round(F.avg("duration_ms")).cast("int")} if "duration_ms" in logs.columns else {}
+    counts = {"total": F.count("*"), "success": n("success"), "error": n("error")} | mean
+    a = logs.withWatermark("created_at", LATE).groupBy(F.window("created_at", "1 day").alias("w"), "agent_id").agg(*[c.alias(k) for k, c in counts.items()])
+    return a.select(F.to_date("w.start").alias("day"), "agent_id", *counts)
 
 
 def once(files: DataFrame, arrived: str = "arrived") -> DataFrame:
