@@ -97,9 +97,15 @@ def regional_drift(comments: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def quotes_checked(comments: DataFrame, reports: DataFrame) -> DataFrame:
-    """Comments with `found`: the quoted text is in its report."""
-    j = comments.join(reports.select("report_id", F.col("raw_text").alias("_report")), "report_id", "left")
-    return j.withColumn("found", F.coalesce(F.contains("_report", "raw_text"), F.lit(False))).drop("_report")
+    """Comments with `found`: the quoted text is in its report.
+
+    A report's comments are brought to it, not its text to each of them.
+    """
+    every = [F.col(f"`{c}`") for c in comments.columns]
+    mine = comments.groupBy("report_id").agg(F.collect_list(F.struct(*every)).alias("_c"))
+    j = mine.join(reports.select("report_id", F.col("raw_text").alias("_report")), "report_id", "left")
+    checked = F.transform("_c", lambda c: F.struct(c.alias("c"), F.coalesce(F.contains(F.col("_report"), c["raw_text"]), F.lit(False)).alias("found")))
+    return j.select(F.explode(checked).alias("_x")).select("_x.c.*", "_x.found")
 
 
 def counts_checked(comments: DataFrame, reports: DataFrame) -> DataFrame:

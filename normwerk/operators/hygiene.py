@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,8 +104,17 @@ def union_of_roots(*roots: DataFrame) -> DataFrame:
     return first_by(whole, ["name"], ["_root", "path"]).drop("_root")
 
 
-def numbered_in_sections(records: DataFrame, sections: tuple[str, ...] = rules.SECTIONS, section: str = "section", order: str = "id") -> DataFrame:
-    """section_no (unknown sections last) and number inside each section."""
+def numbered_in_sections(records: DataFrame, sections: tuple[str, ...] = rules.SECTIONS, section: str = "section", order: str = "id", rows_per_part: int = 100_000) -> DataFrame:
+    """section_no (unknown sections last) and number inside each section, by `order`, an integer.
+
+    A section is numbered in parts of `order`, each from where the counts of the parts before end; so a section that most records are in isn't ordered in one task.
+    """
     place = F.coalesce(*[F.when(F.col(section) == s, F.lit(i)) for i, s in enumerate(sections)], F.lit(len(sections)))
-    r = records.withColumn("section_no", place)
-    return r.withColumn("number", F.row_number().over(Window.partitionBy("section_no", section).orderBy(order)))
+    r = records.withColumns({"section_no": place, "_part": F.coalesce(F.floor(F.col(order) / rows_per_part), F.lit(-(2**62)))})
+    key = ["section_no", section, "_part"]
+    inside = Window.partitionBy(*key).orderBy(order)
+    before = Window.partitionBy("section_no", section).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = r.groupBy(*key).count().select(*[F.col(c).alias(f"_{c}") for c in key], F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+    numbered = r.withColumn("_n", F.row_number().over(inside)).join(counts, same)
+    return numbered.select(*records.columns, "section_no", (F.col("_before") + F.col("_n")).cast("int").alias("number"))

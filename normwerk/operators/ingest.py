@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ def with_content(rows: DataFrame, code: str = "doc_code") -> DataFrame:
 def pages(docs: DataFrame, total: str = "total") -> DataFrame:
     """doc_id, page_no, text, confidence, reason for every page from 1 to `total`; the last of repeated markers counts."""
     marked = docs.select("doc_id", total, F.size(t.split_pages("text")).alias("_n"), F.col("text").alias("_whole"), F.explode(F.sequence(F.lit(1), F.greatest(F.col(total), F.lit(1)))).alias("page_no"))
-    found = docs.select("doc_id", F.posexplode(t.split_pages("text")).alias("_at", "_p")).select("doc_id", "_at", F.element_at(F.split("_p", "\u0002"), 1).cast("int").alias("page_no"), F.btrim(F.element_at(F.split("_p", "\u0002"), 2)).alias("_t"))
+    found = docs.select("doc_id", F.posexplode(t.split_pages("text")).alias("_at", "_p")).select("doc_id", "_at", F.element_at(F.split("_p", "\u0002"), 1).cast("int").alias("page_no"), t.strip(F.element_at(F.split("_p", "\u0002"), 2)).alias("_t"))
     last = found.groupBy("doc_id", "page_no").agg(F.max_by("_t", "_at").alias("_t"))
     j = marked.join(last, ["doc_id", "page_no"], "left")
     none = F.col("_n") == 0
@@ -71,16 +73,34 @@ def rendered(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n").alias("text"))
 
 
-def run_counters(documents: DataFrame, clause_rows: DataFrame, errors: DataFrame) -> DataFrame:
-    """One row per run: documents, clauses, errors."""
-    n = lambda df, c: df.groupBy("run_id").agg(F.count("*").alias(c))
-    return n(documents, "documents").join(n(clause_rows, "clauses"), "run_id", "full_outer").join(n(errors, "errors"), "run_id", "full_outer").na.fill(0)
+def run_counters(documents: DataFrame, clause_rows: DataFrame, errors: DataFrame, pages: DataFrame | None = None, stored_rows: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """One row per run: documents, clauses, errors; with their tables also pages, inserted and updated (`stored_rows` has is_new) and duration_ms (`runs` has started_at, finished_at)."""
+    n = lambda df, **c: df.groupBy("run_id").agg(*[x.alias(k) for k, x in c.items()])
+    parts = [n(documents, documents=F.count("*")), n(clause_rows, clauses=F.count("*")), n(errors, errors=F.count("*"))]
+    if pages is not None:
+        parts.append(n(pages, pages=F.count("*")))
+    if stored_rows is not None:
+        parts.append(n(stored_rows, inserted=F.count_if("is_new"), updated=F.count_if(~F.col("is_new"))))
+    if runs is not None:
+        parts.append(runs.select("run_id", (F.unix_millis(F.col("finished_at").cast("timestamp")) - F.unix_millis(F.col("started_at").cast("timestamp"))).alias("duration_ms")))
+    return reduce(lambda a, b: a.join(b, "run_id", "full_outer"), parts).na.fill(0)
+
+
+def run_by_id(runs: DataFrame, run_id: object) -> DataFrame:
+    return runs.filter(F.col("run_id") == run_id).limit(1)
 
 
-def filled_headers(sheet: DataFrame, header: str, default: str) -> DataFrame:
+def filled_headers(sheet: DataFrame, header: str, default: str, rows_per_part: int = 100_000) -> DataFrame:
     """`sheet` (sheet, row_no, ...) with `complex`, the last header at or above each row.
 
-    Rows are ordered inside a sheet only.
+    Sheets are cut into parts of row numbers.  Headers are filled inside a part; a part that begins without one takes the last of the parts before, of which there is
+    one row each.  So no sheet has to be ordered in one task.
     """
-    w = Window.partitionBy("sheet").orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return sheet.withColumn("complex", F.coalesce(F.last(F.expr(header), ignorenulls=True).over(w), F.lit(default)))
+    part = F.floor(F.col("row_no") / rows_per_part)
+    rows = sheet.withColumns({"_part": part, "_header": F.expr(header)})
+    inside = Window.partitionBy("sheet", "_part").orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("sheet").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.groupBy("sheet", "_part").agg(F.max_by("_header", F.when(F.col("_header").isNotNull(), F.col("row_no"))).alias("_last"))
+    carried = last.select("sheet", "_part", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    filled = rows.withColumn("_own", F.last("_header", ignorenulls=True).over(inside)).join(carried, ["sheet", "_part"])
+    return filled.select(*sheet.columns, F.coalesce("_own", "_carried", F.lit(default)).alias("complex"))

@@ -42,7 +42,14 @@ def top(access: DataFrame, column: str, n: int, bots: bool) -> DataFrame:
     return access.filter(F.col("is_bot") == bots).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(n)
 
 
+def approximate_top(access: DataFrame, column: str, n: int, bots: bool, tracked: int = 10_000) -> DataFrame:
+    """As `top`, from one sketch of at most `tracked` values a task: nothing is shuffled by value, and counts of values that it tracks throughout are exact."""
+    best = access.filter(F.col("is_bot") == bots).agg(F.expr(f"approx_top_k({column}, {n}, {tracked})").alias("_t"))
+    return best.select(F.inline("_t")).select(F.col("item").alias("value"), F.col("count").alias("n"))
+
+
 def approximate_by_class(access: DataFrame) -> DataFrame:
+    """day, class, addresses (approximate, by sketches), requests."""
     return access.groupBy(F.to_date("ts").alias("day"), F.when(F.col("is_bot"), "bot").otherwise("human").alias("class")).agg(F.approx_count_distinct("ip").alias("ips"), F.count("*").alias("requests"))
 
 

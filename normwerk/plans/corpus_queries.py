@@ -218,7 +218,15 @@ _NORMAL = """s AS (SELECT doc_id, t, replace(replace(replace(replace(replace(rep
 e AS (SELECT *, replace(replace(replace(replace(replace(u, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"') AS v, len(regexp_extract_all(u, '&(?:nbsp|amp|gt|lt|quot);')) + len(regexp_extract_all(u, '&amp;(?:lt|gt|quot);')) AS ents FROM s),
 w AS (SELECT *, array_to_string(list_transform(string_split(v, chr(10)), lambda x: rtrim(x, ' ')), chr(10)) AS x, len(list_filter(string_split(v, chr(10)), lambda x: x <> rtrim(x, ' '))) AS trail FROM e),
 z AS (SELECT *, len(regexp_extract_all(x, '\\n{4,}')) AS blanks, trim(regexp_replace(x, '\\n{4,}', chr(10) || chr(10) || chr(10), 'g'), chr(10)) || chr(10) AS fin FROM w)"""
+_ENTITIES = ("&nbsp;", "&amp;", "&lt;", "&gt;", "&quot;", "&#39;", "&laquo;", "&raquo;")
+_CHARACTERS = (" ", "&", "<", ">", '"', "''", "«", "»")
+_WHITE = r"[ \t\r\f\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_PAGES_NORMAL = r"""e0 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(html, chr(13) || chr(10), chr(10)), chr(160), ' '), chr(9), '    '), '\[([^\]]+)\]\(%22[^)]*\)', '\1', 'g'),
+ '\[([^\]]+)\]\(\s*\)', '\1', 'g'), '(?i)<a\s+name="[^"]*"\s*>\s*</a>', '', 'g') AS t, 0 AS n FROM pages)""" + "".join(
+    f",\ne{i + 1} AS (SELECT page_id, replace(t, '{e.replace(chr(39), chr(39) * 2)}', '{c}') AS t, n + (length(t) - length(replace(t, '{e}', ''))) // {len(e)} AS n FROM e{i})" for i, (e, c) in enumerate(zip(_ENTITIES, _CHARACTERS, strict=True))
+)
 ORACLE_SQL = {
+    "normalized_pages": f"WITH {_PAGES_NORMAL} SELECT page_id, md5(trim(regexp_replace(regexp_replace(t, '(?m){_WHITE}+$', '', 'g'), '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'), chr(10)) || chr(10)) AS text_md5, CAST(n AS BIGINT) AS html_entities FROM e8",
     "clauses": with_views(CLAUSES_SQL, then="SELECT doc_id, no AS clause_no, no AS section_path, no AS section_top, ltrim(body, '~') AS body FROM clauses"),
     "clause_hashes": with_views(CLAUSES_SQL, then="SELECT CAST(doc_id AS VARCHAR) || '-' || no AS id, md5('SP 1' || chr(10) || 'п.' || no || chr(10) || no || chr(10) || ltrim(body, '~')) AS content_hash FROM clauses"),
     "rendered_documents": with_views(CLAUSES_SQL, then="SELECT doc_id, md5(string_agg('## п.' || no || chr(10) || chr(10) || ltrim(body, '~'), chr(10) || chr(10) ORDER BY n)) AS text_md5 FROM clauses GROUP BY doc_id"),

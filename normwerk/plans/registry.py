@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from normwerk.plans import corpus_queries, review_queries, search_queries, traffic_queries
+from normwerk.plans import corpus_queries, review_queries, search_queries, source_queries, traffic_queries
 
-_MODULES = (search_queries, traffic_queries, corpus_queries, review_queries)
+_MODULES = (search_queries, traffic_queries, corpus_queries, review_queries, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

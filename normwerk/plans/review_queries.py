@@ -37,9 +37,10 @@ def validate_reviews(spark, sf_dir):
 
 
 def citations(spark, sf_dir):
-    """Labels that may not be stored because their notes cite nothing (the Latin test notes cite nothing that the list knows)."""
-    cv = _cv(spark, sf_dir).filter(F.col("final_decision").isNotNull() & (F.col("final_decision") != "claude_was_right"))
-    return cv.select("id", crossval.has_citation(F.col("expert_notes")).alias("cited"))
+    """Labels that may be stored: notes that cite a norm, or none where the decision needs none; citations are put into every third note."""
+    cv = _cv(spark, sf_dir).filter(F.col("final_decision").isNotNull())
+    notes = F.when(F.col("id") % 3 == 0, F.concat(F.lit("см. СП 2.02, "), F.coalesce("expert_notes", F.lit("")))).otherwise(F.col("expert_notes"))
+    return cv.select("id", crossval.has_citation(notes).alias("cited"), export.may_store(F.col("final_decision"), notes).alias("storable"))
 
 
 def sft_rows(spark, sf_dir):
@@ -138,10 +139,9 @@ def quotes_checked(spark, sf_dir):
 
 
 def comment_clusters(spark, sf_dir):
-    """Vectors linked to their nearest five at 0.85 or more, and what they reach."""
+    """Components of all links of 0.45 or more among the vectors (the test vectors have few above)."""
     e = bridge.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    links = search.batch_vector_search(e, e.withColumnRenamed("id", "query_id"), 6, threshold=0.85).filter("query_id <> id").select(F.col("query_id").alias("a"), F.col("id").alias("b"))
-    return archetypes.clusters(links, e.select("id"))
+    return archetypes.clusters(search.similarity_links(e, 0.45), e.select("id"))
 
 
 def vote_consensus(spark, sf_dir):
@@ -212,6 +212,12 @@ ORACLE_SQL = {
         then="SELECT archetype_id, n_a, n_b, rank_a, rank_b, round(n_a / t_a - n_b / t_b, 6) AS difference, round((n_a / t_a - n_b / t_b) / sqrt((n_a + n_b) / (t_a + t_b) * (1 - (n_a + n_b) / (t_a + t_b)) * (1 / t_a + 1 / t_b)), 6) AS z FROM t"),
     "review_flags": with_views(COMMENTS_SQL, then="SELECT confidence < 0.75 AS needs_review, confidence < 0.4 AS unsure, count(*) AS n FROM comments GROUP BY 1, 2"),
     "quotes_checked": "SELECT l_orderkey AS report_id, count(*) AS extracted, count(*) AS numbered, TRUE AS complete, CASE WHEN l_orderkey % 7 = 0 THEN count(*) ELSE 0 END AS not_found FROM lineitem GROUP BY 1",
+    "citations": with_views(CV_SQL, then="SELECT id, id % 3 = 0 AS cited, final_decision = 'claude_was_right' OR id % 3 = 0 AS storable FROM cv WHERE final_decision IS NOT NULL"),
+    "comment_clusters": """WITH RECURSIVE l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.45),
+r(id, x) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.x) SELECT id, min(x) AS cluster FROM r GROUP BY id""",
+    "near_positions": with_views(VOTES_SQL, "k AS (SELECT p_name AS element, p_partkey % 500 AS request_id, min(p_partkey) AS k FROM part GROUP BY 1, 2)", "v AS (SELECT DISTINCT request_id, model, type, label AS element, CAST(substr(model, 7, 1) AS INTEGER) AS m FROM votes)",
+        "p AS (SELECT v.*, (k * 37 + m * 4) % 100 AS x, (k * 53 + m * 6) % 100 AS y FROM v JOIN k USING (element, request_id))",
+        then="SELECT a.request_id, count(*) AS pairs FROM p a JOIN p b ON a.request_id = b.request_id AND a.type = b.type AND a.model < b.model AND abs(a.x - b.x) <= 10 AND abs(a.y - b.y) <= 10 GROUP BY 1"),
     "vote_consensus": with_views(VOTES_SQL, _CONS, then="SELECT * FROM c"),
     "vote_levels": with_views(VOTES_SQL, _CONS, then="SELECT request_id, count(*) AS candidates, count(*) FILTER (WHERE models >= 3) AS high, count(*) FILTER (WHERE models = 2) AS medium, count(*) FILTER (WHERE models = 1) AS low, round(count(*) FILTER (WHERE models < 3) / count(*), 6) AS disagreement FROM c GROUP BY 1"),
     "majority_type": with_views(VOTES_SQL, "m AS (SELECT request_id, type, count(DISTINCT model) AS n FROM votes GROUP BY 1, 2)", then="SELECT request_id, type, n FROM m QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY n DESC, length(type) DESC, type DESC) = 1"),
