@@ -29,7 +29,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from normwerk.llm import pieces
@@ -227,22 +227,37 @@ def _bitmap(items: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def _probes(items: DataFrame) -> DataFrame:
+    """Windows of `items` of which every document that an item contaminates holds at least one.
+
+    A document needs a share MIN_SHARE of an item's windows, so it can't do without all of the others and one more: of these, those are taken that the fewest items have.
+    What many items share, such as the instructions of a question set, finds no pairs of documents and items, unless it is that share of an item by itself.
+    """
+    often = items.groupBy("h").agg(F.count("*").alias("_often"))
+    places = items.join(often, "h").groupBy("item_id", "literal", "at").agg(F.max("_often").alias("_often"), F.first("n").alias("_n"))
+    rank = F.row_number().over(Window.partitionBy("item_id", "literal").orderBy("_often", "at"))
+    chosen = places.withColumn("_r", rank).filter(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * MIN_SHARE - 1e-9) + 1).select("item_id", "literal", "at")
+    return items.join(chosen, ["item_id", "literal", "at"], "left_semi").select("item_id", "literal", "h").distinct()
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """doc_keys, item_id, n_windows, share for every document and item of which consistent windows cover MIN_SHARE."""
     keys = list(doc_keys)
-    items = stored(windows(benchmark.select("item_id", "text").distinct(), ["item_id"], "text", None, None), "benchmark-windows")
+    literal = F.col("slots").isNull().alias("literal")
+    items = windows(benchmark.select("item_id", "text").distinct(), ["item_id"], "text", None, None)
+    items = stored(items.select("*", literal), "benchmark-windows")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WINDOW of them
-    hits = windows(docs, keys, text, sizes, _bitmap(items))
-    b = items.select("item_id", "n", "h", F.col("at").alias("_b"), F.col("slots").alias("_bs"))
-    pairs = hits.select(*keys, "h", "at", "slots").join(b, "h")
+    hits = stored(windows(docs, keys, text, sizes, _bitmap(items)).select(*keys, "h", "at", "slots", literal), "document-windows")
+    candidates = hits.join(_probes(items), ["h", "literal"]).select(*keys, "item_id").distinct()
+    b = items.select("item_id", "n", "h", "literal", F.col("at").alias("_b"), F.col("slots").alias("_bs"))
+    pairs = candidates.join(b, "item_id").join(hits, [*keys, "h", "literal"])
     values = F.arrays_zip(F.split("_bs", "\x1f").alias("x"), F.split("slots", "\x1f").alias("y"))
-    literal = F.col("_bs").isNull()  # places of these need no distance: all are equal words
-    shift = F.when(~literal, F.col("at") - F.col("_b"))
-    by_shift = pairs.filter(literal == F.col("slots").isNull()).groupBy(*keys, "item_id", "n", literal.alias("_literal"), shift.alias("_shift")).agg(
+    shift = F.when(~F.col("literal"), F.col("at") - F.col("_b"))  # places of literal windows need no distance: all are equal words
+    by_shift = pairs.groupBy(*keys, "item_id", "n", "literal", shift.alias("_shift")).agg(
         F.collect_set("_b").alias("_places"), F.array_distinct(F.flatten(F.collect_set(values))).alias("_values")
     )
     consistent = F.size("_values") == F.size(F.array_distinct(F.transform("_values", lambda v: v["x"])))
-    covered = by_shift.filter(consistent).groupBy(*keys, "item_id", "n", "_literal").agg(F.size(F.array_distinct(F.flatten(F.collect_list("_places")))).cast("long").alias("n_windows"))
+    covered = by_shift.filter(consistent).groupBy(*keys, "item_id", "n", "literal").agg(F.size(F.array_distinct(F.flatten(F.collect_list("_places")))).cast("long").alias("n_windows"))
     share = F.col("n_windows") / F.col("n")
     best = covered.filter(share >= MIN_SHARE).groupBy(*keys, "item_id").agg(F.max(F.struct(F.round(share, 6).alias("share"), "n_windows")).alias("_m"))
     return best.select(*keys, "item_id", "_m.n_windows", "_m.share")

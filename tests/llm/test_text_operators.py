@@ -1,6 +1,7 @@
 """Tokens, packing, near duplicates, line templates, decontamination, classifiers and the pipeline against plain versions."""
 
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -400,3 +401,71 @@ def test_word_for_word_copies_are_found(spark):
     docs = [(1, "first. Compute 12 + 15 * 3 - 7 then rest"), (2, "Question: Who wrote the long poem about it"), (3, item.replace("until Anna", "until Rita")), (4, "please, Name 3 rivers of it"), (5, "Question: Where do 9 tall people from the north live now"), (6, "Compute 12 + 15 * 4 - 7")]
     got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, i) for i in range(1, 6)]
+
+
+def plain_contaminated(docs, items):
+    """Every window of every document against every window of every item, by words."""
+    token = re.compile(r"[.!?\n]+|[^\W_]+(?:['’.,][^\W_]+)*")
+
+    def words(t):
+        out, before = [], "."
+        for x in token.findall(t or ""):
+            if x[0] not in ".!?\n":
+                low, name = x.lower(), x[0].isupper() and x[1:] == x[1:].lower()
+                kind = "<number>" if x[0].isdigit() else "<name>" if name and before[0] not in ".!?\n" else "<unit>" if low in decontaminate.UNITS and not name and before[0].isdigit() else low
+                out.append((low, kind, name))
+            before = x
+        return out
+
+    found = set()
+    for item_id, text in set(items):
+        w = words(text)
+        size = min(decontaminate.WINDOW, len(w))
+        if size < decontaminate.MIN_COPY:
+            continue
+        places = range(len(w) - size + 1)
+        for doc_id, t in docs:
+            v = words(t)
+            at = range(len(v) - size + 1)
+            literal = {b for b in places for a in at if [x[0] for x in w[b : b + size]] == [x[0] for x in v[a : a + size]]}
+            if len(literal) >= decontaminate.MIN_SHARE * len(places) - 1e-9:
+                found.add((doc_id, item_id))
+            if size < decontaminate.MIN_ITEM:
+                continue
+            enough = lambda x: sum(k == low for low, k, _ in x) >= decontaminate.MIN_LITERAL
+            by_shift = defaultdict(lambda: (set(), set()))
+            n = sum(enough(w[b : b + size]) for b in places)
+            for b in places:
+                part = w[b : b + size]
+                forms = [part] + ([[(part[0][0], "<name>", True), *part[1:]]] if b == 0 and part[0][2] and part[0][1] == part[0][0] else [])
+                for form in forms:
+                    for a in at if enough(form) else ():
+                        if [x[1] for x in form] == [x[1] for x in v[a : a + size]]:
+                            covered, values = by_shift[a - b]
+                            covered.add(b)
+                            values |= {(x[0], y[0]) for x, y in zip(form, v[a : a + size], strict=True) if x[1] != x[0]}
+            covered = {b for c, values in by_shift.values() if len(values) == len({x for x, _ in values}) for b in c}
+            if n and len(covered) >= decontaminate.MIN_SHARE * n - 1e-9:
+                found.add((doc_id, item_id))
+    return found
+
+
+def test_matches_equal_all_windows_against_all(spark):
+    """Random texts with passages of items, some of which share long instructions, others values, others all words; nulls, empty texts, repeated rows."""
+    rng = random.Random(21)
+    bits = [*WORDS[:12], "Anna", "Tom", "Zoe", "5", "17", "3.5", "km", "h", "Alpha"]
+    some = lambda n: " ".join(rng.choice(bits) + rng.choice(["", "", "", ".", ","]) for _ in range(n))
+    told = "read this text with care and then give the one right answer to it please now"
+    items = [(i, f"{told if i % 3 else ''} {some(rng.choice([2, 3, 4, 5, 8, 12, 30]))}") for i in range(25)] + [(30, None), (31, ""), (0, "a b c d e f g")]
+    docs = [(i, some(rng.randrange(60))) for i in range(20)]
+    for i in range(20, 60):
+        w = rng.choice(items)[1] or ""
+        if rng.random() < 0.5:
+            w = w.replace("Anna", "Mary").replace("5", "8")
+        w = w.split()
+        a = rng.randrange(max(1, len(w) // 2))
+        docs.append((i, f"{some(5)} {' '.join(w[a:])} {some(5)}"))
+    docs += [(60, None), (61, ""), (62, told), (63, told), (20, docs[20][1])]
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = plain_contaminated(docs, items)
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(want) > 30
