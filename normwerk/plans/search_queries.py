@@ -45,10 +45,10 @@ def text_search(spark, sf_dir):
 
 
 def batch_text_search(spark, sf_dir):
-    """The first question of every hundredth conversation, whole, against all texts."""
-    c = bridge.table(spark, sf_dir, "conversations").filter((F.col("role") == "user") & (F.col("conv_id") % 100 == 0))
-    q = c.groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("query"))
-    return search.batch_text_search(bridge.memory(spark, sf_dir), q, 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    """Every hundredth text, whole, as a query against all texts: it finds itself, its copies and what holds all of its words."""
+    m = bridge.memory(spark, sf_dir)
+    q = m.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("content").alias("query"))
+    return search.batch_text_search(m, q, 5).select("query_id", "id", "score", "rank")
 
 
 def batch_vector_search(spark, sf_dir):
@@ -160,12 +160,12 @@ ORACLE_SQL = {
     "vector_search_filtered": with_views(MEMORY_SQL, _QV, then=f"SELECT m.id, round({_SIM}, 6) AS sim FROM memory m, qv q WHERE m.embedding IS NOT NULL AND status = 'active' AND content_type = 'note' ORDER BY {_SIM} DESC, m.id LIMIT 5"),
     "text_search": with_views(MEMORY_SQL, _bm25("memory", _WORDS), then="SELECT id, round(score, 6) AS score FROM sc ORDER BY score DESC, id LIMIT 10"),
     "batch_text_search": with_views(MEMORY_SQL,
-        "q0 AS (SELECT conv_id AS query_id, min_by(text, turn) AS query FROM conversations WHERE role = 'user' AND conv_id % 100 = 0 GROUP BY conv_id)",
+        "q0 AS (SELECT id AS query_id, content AS query FROM memory WHERE id % 100 = 0)",
         "q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+')) AS w FROM q0)", "need AS (SELECT query_id, count(*) AS need FROM q GROUP BY 1)",
         "tok AS (SELECT id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS t FROM memory)", "st AS (SELECT count(*) AS n_docs, avg(len(t)) AS mean_length FROM tok)",
         "x AS (SELECT id, len(t) AS length, unnest(t) AS w FROM tok)", "p AS (SELECT id, length, w, count(*) AS tf FROM x WHERE w IN (SELECT w FROM q) GROUP BY ALL)", "dfs AS (SELECT w, count(*) AS df FROM p GROUP BY w)",
-        "sc AS (SELECT query_id, id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean_length))), 9) AS score, count(*) AS c FROM p JOIN dfs USING (w) JOIN q USING (w), st GROUP BY ALL)",
-        then="SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM sc JOIN need USING (query_id) WHERE c = need QUALIFY rank <= 5"),
+        "sc AS (SELECT query_id, id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean_length))), 6) AS score, count(*) AS c FROM p JOIN dfs USING (w) JOIN q USING (w), st GROUP BY ALL)",
+        then="SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM sc JOIN need USING (query_id) WHERE c = need QUALIFY rank <= 5"),
     "batch_vector_search": "SELECT q.vec_id AS query_id, m.vec_id AS id, round(" + _SIM + ", 6) AS sim, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(" + _SIM + ", 12) DESC, m.vec_id) AS INTEGER) AS rank FROM embeddings m, embeddings q WHERE q.vec_id % 100 = 0 QUALIFY rank <= 5",
     "filtered_memory": with_views(MEMORY_SQL, then="SELECT id, content_type, related_project FROM memory WHERE status = 'active' AND priority = 'high'"),
     "list_documents": with_views(MEMORY_SQL, then="SELECT related_project, id FROM memory WHERE status = 'active' AND content_type = 'note' ORDER BY 1, 2 LIMIT 200"),

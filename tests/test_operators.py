@@ -164,3 +164,91 @@ def test_streams(spark, tmp_path):
     logs.write.parquet(f"{tmp_path}/logs")
     streams.to_table(streams.daily_activity(spark.readStream.schema(logs.schema).parquet(f"{tmp_path}/logs")), f"{tmp_path}/act", f"{tmp_path}/cp5").awaitTermination()
     assert (dt.date(2026, 1, 1), "a", 2, 1, 1) in rows(spark.read.parquet(f"{tmp_path}/act"))
+
+
+def test_parts_of_sheets_and_sections(spark):
+    """Small parts: headers carried over several of them, sections numbered across them; null and negative row numbers of sections too."""
+    rng = np.random.default_rng(3)
+    sheet = [(s, int(n), f"H{s}{n}" if rng.random() < 0.05 else None) for s in "ab" for n in rng.permutation(300) - 100]
+    got = {(r["sheet"], r["row_no"]): r["complex"] for r in ingest.filled_headers(spark.createDataFrame(sheet, "sheet string, row_no long, h string"), "h", "none", rows_per_part=7).collect()}
+    last = {}
+    for s, n, h in sorted(sheet):
+        last[s] = h or last.get(s, "none")
+        assert got[s, n] == last[s]
+    records = [(int(i), rng.choice(["KR", "OVIK", "odd"]).item() if i % 9 else None) for i in rng.permutation(200) - 50]
+    numbered = hygiene.numbered_in_sections(spark.createDataFrame(records, "id long, section string"), rows_per_part=11).collect()
+    for section in ("KR", "OVIK", "odd", None):
+        mine = sorted((r["id"], r["number"]) for r in numbered if r["section"] == section)
+        assert [n for _, n in mine] == list(range(1, len(mine) + 1)) and len(mine) == sum(s == section for _, s in records)
+
+
+def test_similarity_links_make_all_components(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 40)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 8))
+    m = np.repeat(centres, 5, axis=0) + rng.normal(scale=0.15, size=(150, 8))
+    m[7] = m[8] = m[100]  # equal vectors
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(500, None), (501, [0.0] * 8)], "id long, embedding array<double>").repartition(4)
+    n = m / np.linalg.norm(m, axis=1, keepdims=True)
+    label = list(range(150))
+    near = (n @ n.T) >= 0.95
+    while (new := [min(label[j] for j in np.flatnonzero(near[i])) for i in range(150)]) != label:
+        label = new
+    got = dict(rows(archetypes.clusters(search.similarity_links(df, 0.95), df.select("id"))))
+    assert got == dict(enumerate(label)) | {500: 500, 501: 501} and 10 < len(set(label)) < 140
+
+
+def test_batch_searches_in_blocks_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 16)
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(200, 6))
+    n = m / np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), "xyz"[i % 3]) for i, v in enumerate(m)], "id long, embedding array<double>, section string").repartition(3)
+    q = df.filter("id < 60").withColumnRenamed("id", "query_id")
+    got = {(r["query_id"], r["rank"]): r["id"] for r in search.batch_vector_search(df, q, 4, group="section").collect()}
+    assert got == {(i, k + 1): j for i in range(60) for k, j in enumerate(sorted((j for j in range(200) if j % 3 == i % 3), key=lambda j: (-(n[i] @ n[j]), j))[:4])}
+    assert search.batch_vector_search(df, q.limit(0), 4).count() == 0
+
+
+def test_batch_text_search(spark):
+    """Against all documents and queries; common words, repeated words, unknown words, null texts."""
+    rng = np.random.default_rng(6)
+    words = ["the"] * 20 + [f"w{i}" for i in range(30)]
+    docs = [(i, None if i == 9 else " ".join(["the", *rng.choice(words, 25)])) for i in range(80)]
+    queries = [(i, " ".join(rng.choice(words, 3))) for i in range(15)] + [(20, "the"), (21, "the unknown"), (22, ""), (23, "w1 W1, w1")]
+    got = {}
+    for r in search.batch_text_search(spark.createDataFrame(docs, "id long, content string"), spark.createDataFrame(queries, "query_id long, query string"), 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+    texts = {i: t.split() for i, t in docs if t}
+    mean = sum(map(len, texts.values())) / len(texts)
+    df = {w: sum(w in t for t in texts.values()) for w in words}
+    for i, q in queries:
+        want = set(q.lower().replace(",", "").split())
+        score = lambda t: sum(np.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w in want)  # noqa: E731, B023
+        best = sorted(((-round(score(t), 6), k) for k, t in texts.items() if want and want <= set(t)))[:5]
+        assert [(k, round(s, 6)) for _, k, s in sorted(got.get(i, []))] == [(k, round(-s, 6)) for s, k in best]
+        for one, query in ((got.get(i, []), q),) if want else ():
+            single = search.text_search(spark.createDataFrame(docs, "id long, content string"), query, 5).collect() if i in (0, 20, 21) else None
+            assert single is None or [r["id"] for r in single] == [k for _, k, _ in sorted(one)]
+
+
+def test_intermediate_tables(spark):
+    from normwerk.sources import shared
+
+    t = shared.stored(spark.range(5).toDF("id"), "five")
+    assert t.count() == 5
+    shared.clean_up(spark)
+    with pytest.raises(Exception, match="FILE|PATH|exist"):
+        spark.read.schema("id long").parquet(t.inputFiles()[0]).count()
+
+
+def test_replayed_batches_and_repeated_keys(spark, tmp_path):
+    raw = spark.createDataFrame([("m", '{"type": "NOTE", "priority": "high"}', dt.datetime(2026, 1, 1))], "message string, classification string, ts timestamp")
+    raw.write.parquet(f"{tmp_path}/raw")
+    for run in range(2):  # a new checkpoint: the same batch again
+        streams.intake(spark.readStream.schema(raw.schema).parquet(f"{tmp_path}/raw"), f"{tmp_path}/mem", f"{tmp_path}/log", f"{tmp_path}/bad", f"{tmp_path}/cp{run}").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/mem").count() == 1 and spark.read.parquet(f"{tmp_path}/log").count() == 1
+    new = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    for _ in range(2):
+        sinks.merge_snapshot(new, f"{tmp_path}/snap", "k", buckets=4)
+    assert [k for k, _ in rows(spark.read.parquet(f"{tmp_path}/snap").select("k", "v"))] == [1, 2]
