@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from normwerk.operators.tables import running_sum
 from normwerk.sources.shared import stored
 
 SEVERITY_SHARES = {"major": 0.50, "minor": 0.35, "critical": 0.10, "recommendation": 0.05}
@@ -65,13 +66,13 @@ def report_shares(comments: DataFrame, item: str, slice_by: str) -> DataFrame:
 def pareto(comments: DataFrame, until: float = 0.8) -> DataFrame:
     """archetype_id, n, running share, and whether it belongs to the smallest prefix that reaches `until`.
 
-    The running sum goes over archetypes, not comments.
+    The running sum goes over archetypes, not comments, and over ranges of them side by side.
     """
     n = comments.groupBy("archetype_id").agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("n"), "archetype_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum("n").over(Window.partitionBy())
-    run = F.sum("n").over(w)
-    return n.select("archetype_id", "n", (run / total).alias("running_share"), ((run - F.col("n")) / total < until).alias("in_core"))
+    summed = running_sum(n, "n", [F.desc("n"), F.col("archetype_id")], "_run")
+    total = comments.agg(F.count("*").alias("_total"))  # one row
+    run, of = F.col("_run"), F.col("_total")
+    return summed.crossJoin(F.broadcast(total)).select("archetype_id", "n", (run / of).alias("running_share"), ((run - F.col("n")) / of < until).alias("in_core"))
 
 
 def pareto_summary(p: DataFrame, target: float = 0.25) -> DataFrame:
@@ -86,13 +87,20 @@ def top_per_slice(comments: DataFrame, slice_by: str, n: int = 20) -> DataFrame:
 
 
 def regional_drift(comments: DataFrame, a: str, b: str) -> DataFrame:
-    """Per archetype: counts, shares and ranks in two regions, the difference of shares and the two-proportion z."""
-    c = comments.filter(F.col("region").isin(a, b)).groupBy("archetype_id", "region").agg(F.count("*").alias("n"))
-    wide = c.groupBy("archetype_id").agg(F.coalesce(F.sum(F.when(F.col("region") == a, F.col("n"))), F.lit(0)).alias("n_a"), F.coalesce(F.sum(F.when(F.col("region") == b, F.col("n"))), F.lit(0)).alias("n_b"))
-    every = Window.partitionBy()
-    t = wide.withColumns({"t_a": F.sum("n_a").over(every), "t_b": F.sum("n_b").over(every), "rank_a": F.rank().over(Window.orderBy(F.desc("n_a"))), "rank_b": F.rank().over(Window.orderBy(F.desc("n_b")))})
-    pa, pb, p = F.col("n_a") / F.col("t_a"), F.col("n_b") / F.col("t_b"), (F.col("n_a") + F.col("n_b")) / (F.col("t_a") + F.col("t_b"))
-    z = (pa - pb) / F.sqrt(p * (1 - p) * (1 / F.col("t_a") + 1 / F.col("t_b")))
+    """Per archetype: counts, shares and ranks in two regions, the difference of shares and the two-proportion z.
+
+    Ranks are made for distinct counts: one more than the number of archetypes with a larger one.
+    """
+    count = lambda region: F.count_if(F.col("region") == region)
+    t = stored(comments.filter(F.col("region").isin(a, b)).groupBy("archetype_id").agg(count(a).alias("n_a"), count(b).alias("n_b")), "drift")
+    totals = t.agg(F.sum("n_a").alias("t_a"), F.sum("n_b").alias("t_b"))  # one row
+    for c in ("a", "b"):
+        each = t.groupBy(f"n_{c}").agg(F.count("*").alias("_k"))
+        ranks = running_sum(each, "_k", [F.desc(f"n_{c}")], "_run").select(f"n_{c}", (F.col("_run") - F.col("_k") + 1).cast("int").alias(f"rank_{c}"))
+        t = t.join(ranks, f"n_{c}")
+    t = t.crossJoin(F.broadcast(totals))
+    pa, pb, p = F.try_divide("n_a", "t_a"), F.try_divide("n_b", "t_b"), (F.col("n_a") + F.col("n_b")) / (F.col("t_a") + F.col("t_b"))
+    z = F.try_divide(pa - pb, F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1), "t_a") + F.try_divide(F.lit(1), "t_b"))))  # null without a region's comments
     return t.select("archetype_id", "n_a", "n_b", "rank_a", "rank_b", F.round(pa - pb, 6).alias("difference"), F.round(z, 6).alias("z"))
 
 

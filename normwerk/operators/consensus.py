@@ -39,12 +39,9 @@ def majority(votes: DataFrame, field: str) -> DataFrame:
 
 
 def unanimous(votes: DataFrame, models: list[str], columns: list[str]) -> DataFrame:
-    """Rows that every model has."""
-    each = [votes.filter(F.col("model") == m).select(*columns) for m in models]
-    out = each[0]
-    for e in each[1:]:
-        out = out.intersect(e)
-    return out
+    """Rows that every model has: the models' intersection, from one pass."""
+    n = votes.filter(F.col("model").isin(*models)).groupBy(*columns).agg(F.countDistinct("model").alias("_n"))
+    return n.filter(F.col("_n") == len(set(models))).drop("_n")
 
 
 def degraded(parsed: DataFrame, of: int = 3) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from normwerk.sources.shared import stored
+
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key."""
@@ -84,3 +86,16 @@ def with_defaults(df: DataFrame, **defaults: object) -> DataFrame:
 def day_spine(first: str, last: str, spark) -> DataFrame:
     """One row per day, `day`."""
     return spark.sql(f"SELECT explode(sequence(DATE '{first}', DATE '{last}')) AS day")
+
+
+def running_sum(df: DataFrame, value: str, order: list[Column], out: str) -> DataFrame:
+    """`df` with `out`, the sum of `value` over the rows up to each in the order of all.
+
+    Rows go to ranges of the order, are summed inside their range, and start from the total of the ranges before; of these there is one row each.  The ranges
+    are stored, so that they are the same for both.
+    """
+    ranged = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranged.groupBy("_range").agg(F.sum(value).alias("_s")).select("_range", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ranged.withColumn("_own", F.sum(value).over(inside)).join(bases, "_range").select(*df.columns, (F.col("_own") + F.col("_base")).alias(out))
