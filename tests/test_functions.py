@@ -175,3 +175,21 @@ def test_prompt(spark):
 
 def test_rule_tables():
     assert len(rules.DOC_TYPES) == 19 and len(rules.SECTION_CODES) == 22 and len(rules.CITATIONS) == 12
+
+
+@pytest.mark.parametrize(
+    ("x", "line"),
+    [
+        ("Решение Акимата о предоставлении постоянного землепользования земельного участка 2,5 га № 7/1 от 01.02.2020", "о предоставлении права постоянного землепользования для [цели], площадью 2,5 га, от 01.02.2020 года — 7/1"),
+        ("Государственная лицензия № Л-12 от 03.04.2021 категории II", "категории II — Л-12 от 03.04.2021 года"),
+        ("Санитарно-эпидемиологическое заключение № С-5 от 06.07.2022, согласование", "санитарно-эпидемиологическое заключение [???] — С-5 от 06.07.2022 г."),
+        ("Отчёт: инженерно-геологические изыскания, лицензия № 55-А, 2019", "выполненный [???] в 2019 году (лицензия № 55-А)"),
+    ],
+)
+def test_records_of_single_types(spark, x, line):
+    assert line in one(spark, x, text.format_record(text.classify_doc(X)["key"], text.extract_fields(X), more=text.record_fields(X)))
+
+
+def test_report_fields(spark):
+    r = one(spark, "Заключение № 01-0123/24 от 05.06.2024\nОбъект: Школа на 300 мест\nтекст", text.report_fields(X))
+    assert tuple(r) == ("01-0123/24", "05.06.2024", "Школа на 300 мест") and tuple(one(spark, "пусто", text.report_fields(X))) == (None, None, None)
