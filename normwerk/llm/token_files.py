@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from normwerk.llm import pieces
 from normwerk.llm.tokens import encoder
 
+BROADCAST_FILES = 200_000  # of 16 bytes each
 LAYOUT = {
     "parquet.writer.version": "PARQUET_2_0",  # delta encoding where a dictionary doesn't pay
     "parquet.enable.dictionary": "true",
@@ -56,7 +57,13 @@ def write_token_files(df: DataFrame, path: str) -> None:
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens without reading ids; start counts the ids of all documents before."""
     meta = spark.read.parquet(path).select("doc_id", "part", "start_in_part", "n_tokens")
-    return meta.join(F.broadcast(_offsets(meta)), "part").select("doc_id", (F.col("_before") + F.col("start_in_part")).alias("start"), "n_tokens")
+    return _with_offsets(meta, meta).select("doc_id", (F.col("_before") + F.col("start_in_part")).alias("start"), "n_tokens")
+
+
+def _with_offsets(rows: DataFrame, whole: DataFrame) -> DataFrame:
+    """`rows` with `_before`, the ids of the files before; a row a file, sent to all tasks unless there are more than BROADCAST_FILES."""
+    offsets = _offsets(whole.select("part", "n_tokens"))
+    return rows.join(F.broadcast(offsets) if len(whole.inputFiles()) <= BROADCAST_FILES else offsets.hint("merge"), "part")
 
 
 def _offsets(meta: DataFrame) -> DataFrame:
@@ -87,5 +94,4 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], [f.name for f in schema])
 
     read = whole.select("doc_id", "part", "start_in_part", "ids").mapInArrow(batches, schema)
-    offsets = _offsets(whole.select("part", "n_tokens"))
-    return read.join(F.broadcast(offsets), "part").select("doc_id", (F.col("_before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
+    return _with_offsets(read, whole).select("doc_id", (F.col("_before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")

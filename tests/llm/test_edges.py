@@ -4,10 +4,11 @@ import random
 
 import numpy as np
 import pytest
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from normwerk.llm import compressors, langid, licenses, line_templates, near_copies, ogg, packing, pieces, quality, queries, simhash, tokens
+from normwerk.llm import compressors, langid, licenses, line_templates, near_copies, ogg, packing, pieces, quality, queries, simhash, token_files, tokens
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -144,3 +145,30 @@ def test_large_keys_of_several_components_are_compared_in_full(spark):
     links = near_copies._further_links(docs, ["doc_id"], nodes, banded, of).collect()
     pair = {r["node"] for r in prints.filter("doc_id in (0, 30)").collect()}
     assert [{r["a"], r["b"]} for r in links] == [pair]
+
+
+def test_layout_of_token_files(spark, tmp_path, monkeypatch):
+    """Encodings, row groups and page indexes as the files have them; more files than are broadcast give the same positions."""
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, prose(rng, 60)) for i in range(6000)], "doc_id long, text string")
+    monkeypatch.setitem(token_files.LAYOUT, "parquet.block.size", str(256 * 1024))
+    monkeypatch.setitem(token_files.LAYOUT, "parquet.page.row.count.limit", "200")
+    monkeypatch.setitem(token_files.LAYOUT, "parquet.page.size", str(8 * 1024))
+    token_files.write_token_files(docs, f"{tmp_path}/t")
+    groups = 0
+    for file in (tmp_path / "t").glob("part-*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        groups += meta.num_row_groups
+        for g in range(meta.num_row_groups):
+            columns = {(c := meta.row_group(g).column(i)).path_in_schema.split(".")[0]: c for i in range(meta.num_columns)}
+            assert all(c.has_offset_index and c.has_column_index and c.compression == "ZSTD" for c in columns.values())
+            assert {"RLE_DICTIONARY", "PLAIN_DICTIONARY", "DELTA_BINARY_PACKED"} & set(columns["ids"].encodings) and "DELTA_BINARY_PACKED" in columns["start_in_part"].encodings + columns["doc_id"].encodings
+            assert columns["doc_id"].statistics.min <= columns["doc_id"].statistics.max
+    assert groups > len(list((tmp_path / "t").glob("part-*.parquet")))
+    want = sorted(map(tuple, token_files.read_metadata(spark, f"{tmp_path}/t").collect()))
+    monkeypatch.setattr(token_files, "BROADCAST_FILES", 0)
+    assert sorted(map(tuple, token_files.read_metadata(spark, f"{tmp_path}/t").collect())) == want
+    n = [r[2] for r in want]
+    assert [r[1] for r in want] == np.concatenate([[0], np.cumsum(n)[:-1]]).tolist()
+    some = token_files.read_tokens(spark, f"{tmp_path}/t", 100, 103)
+    assert sorted((r["doc_id"], len(r["ids"])) for r in some.collect()) == [(i, n[i]) for i in range(100, 104)]
