@@ -27,7 +27,8 @@ def access_parsed(spark, sf_dir):
 
 
 def traffic_by_class(spark, sf_dir):
-    return traffic.by_class(_access(spark, sf_dir), DAY)
+    lines = traffic.of_day(bridge.access_lines(spark, sf_dir), DAY)
+    return traffic.by_class(traffic.parsed(lines)[0], DAY)
 
 
 def traffic_week(spark, sf_dir):
