@@ -14,7 +14,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as 8-bit samples in Ogg files; digests of what is read back."""
+    """Texts as 8-bit samples in Ogg files; digests of what is read back.  The column `media` is the store: its bytes are whole files."""
     raw = text_or_empty().cast("binary")
     padded = F.greatest(F.ceil(F.length(raw) / 64), F.lit(1)) * 64
     payload = F.concat(raw, F.repeat(F.lit("\0"), (padded - F.length(raw)).cast("int")).cast("binary"))
