@@ -20,8 +20,8 @@ from tokenizers import Tokenizer
 from normwerk.llm import pieces
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Distinct pieces that a worker remembers (about 150 MB); later ones are encoded where they stand.
-REMEMBERED = 2_000_000
+#: Distinct pieces that a worker remembers (about 80 MB); later ones are encoded where they stand.
+REMEMBERED = 1_000_000
 _LONG = 64  # longer pieces are not remembered
 _LETTER, _DIGIT, _SIGN, _QUOTE, _WHITE, _OTHER, _EDGE = range(7)
 _SPACE = ord(" ")
