@@ -17,7 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         at = spark.conf.get("normwerk.shared.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spark-normwerk-")
         spark.conf.set("normwerk.shared.dir", at)
