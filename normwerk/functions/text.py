@@ -221,6 +221,7 @@ COUNTED = (
     ("BROKEN_TOC", r"\[\s*[\d.]+\s+[^\]]+\]\(%22", "](%22", 0),
     ("BASE64_IMAGES", r"data:image/[^;]+;base64,", ";base64,", 0),
 )
+LONG_LINE = r"(?:\A|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]{3001}"  # tried once a line
 FENCE, TABLE_ROW, TABLE_RULE = r"\n---(?=\n)", r"(?md)^\|.*\|$", r"(?mdU)^\|[\s\-:|]+\|$"
 CYRILLIC = "[а-яА-ЯёЁ]"
 
@@ -236,7 +237,8 @@ def audit(text: Column | str, name: Column | str) -> Column:
         if pattern is None:
             return count_literal(t, holds)
         if issue == "VERY_LONG_LINE":
-            return F.when(F.length(t) > least, F.array_max(F.transform(F.split(t, pattern), F.length))).otherwise(0)
+            long = F.length(t) > least
+            return F.when(long & t.rlike(LONG_LINE), F.array_max(F.transform(F.split(t, pattern), F.length))).otherwise(0)
         return F.when(F.contains(t, F.lit(holds)), count_of(t, pattern)).otherwise(0)
 
     bare = F.contains(F.replace(t, F.lit("\r\n"), F.lit("")), F.lit("\n"))
@@ -288,7 +290,8 @@ def normalization(text: Column | str) -> Column:
             if pattern is None:
                 there, n, after = F.contains(t, F.lit(holds)), count_literal(t, holds), F.replace(t, F.lit(holds), F.lit(new))
             else:
-                there, n, after = F.contains(t, F.lit(holds)) if holds else t.rlike(pattern), count_of(t, pattern), F.regexp_replace(t, pattern, new)
+                white = F.contains(t, F.lit(" \n")) | F.endswith(t, F.lit(" ")) | t.rlike(r"(?U)[\s&&[^\n ]]")  # without these no line ends in white space
+                there, n, after = F.contains(t, F.lit(holds)) if holds else white, count_of(t, pattern), F.regexp_replace(t, pattern, new)
             return F.when(there, F.struct(after.alias("text"), *[(s[k] + n if k == step else s[k]).alias(k) for k in STEPS])).otherwise(s)
 
         state = bound(state, applied)
