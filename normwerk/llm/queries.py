@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normwerk.llm import decontaminate, langid, licenses, line_templates, ogg, packing, quality, simhash, token_files, url_rules
+from normwerk.llm import conversations, decontaminate, langid, licenses, line_templates, ogg, packing, quality, simhash, token_files, url_rules
 from normwerk.llm.common import crc_of_id, new_path, text_or_empty
 
 
@@ -84,12 +84,25 @@ def op10_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults: each row is left, dropped (0 copies), emptied, cut, repeated (2 copies) or given to the user, by a checksum of its place."""
+    word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(word("conv_id"), F.lit(":"), word("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(word("text"), ".!?", "")).otherwise(word("text"))
+    return rows.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(word("role")).alias("role"), text.alias("text"), F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1).alias("copies"))
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of damaged conversations, and the cheapest edits that mend them."""
+    return conversations.repair(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "copies")[0]
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_ogg, op2_quality_zstd, op3_langid_zstd, op4_token_parquet, op5_line_templates, op6_benchmark_templates, op7_best_fit_packing, op8_url_rules, op9_license_templates, op10_simhash_anchors, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_media_ogg, op2_quality_zstd, op3_langid_zstd, op4_token_parquet, op5_line_templates, op6_benchmark_templates, op7_best_fit_packing, op8_url_rules, op9_license_templates, op10_simhash_anchors, op11_conversation_repair, pipeline)}
 
 ORACLE_SQL = {"op5_line_templates": line_templates.ORACLE, "op8_url_rules": url_rules.ORACLE}
