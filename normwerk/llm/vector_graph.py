@@ -138,8 +138,9 @@ def _linked_back(x: np.ndarray, links: np.ndarray, new: np.ndarray, chosen: np.n
 
 
 def _inserted(x: np.ndarray, members: np.ndarray, entry: np.ndarray, width: int) -> np.ndarray:
-    """The links of one level (rows of nodes not among `members` stay empty); entry: for each member, an earlier one to start from, or -1."""
+    """The links of one level (rows of nodes not among `members` stay empty); entry: for each member, one to start from if it is there by then, or -1."""
     links = np.full((len(x), width), -1, dtype=np.int32)
+    there = np.zeros(len(x) + 1, dtype=bool)
     at = 0
     while at < len(members):
         some = members[at : at + min(BATCH, max(DEGREE, at // 2))]
@@ -148,13 +149,14 @@ def _inserted(x: np.ndarray, members: np.ndarray, entry: np.ndarray, width: int)
         ids, near = np.broadcast_to(some, near_own.shape).astype(np.int32), near_own.astype(np.float32)
         if at:
             start = entry[at : at + len(some)]
-            old_ids, old_near = beam(x, links, x[some], np.where(start >= 0, start, members[0]), EF_BUILD)
+            old_ids, old_near = beam(x, links, x[some], np.where(there[start], start, members[0]), EF_BUILD)
             ids, near = np.concatenate([old_ids, ids], axis=1), np.concatenate([old_near, near], axis=1)
         order = np.argsort(-near, axis=1, kind="stable")[:, :EF_BUILD]
         ids, near = np.take_along_axis(ids, order, 1), np.take_along_axis(near, order, 1)
         chosen = _chosen(x, np.where(np.isfinite(near), ids, -1), near, DEGREE)
         links[some, :DEGREE] = chosen
         _linked_back(x, links, some, chosen)
+        there[some] = True
         at += len(some)
     return links
 
