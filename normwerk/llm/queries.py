@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normwerk.llm import conversations, decontaminate, langid, licenses, line_templates, ogg, packing, quality, simhash, token_files, url_rules, vector_graph
+from normwerk.llm import conversations, decontaminate, langid, licenses, line_templates, ogg, packing, phrases, quality, simhash, token_files, url_rules, vector_graph
 from normwerk.llm.common import crc_of_id, new_path, text_or_empty
 
 
@@ -103,12 +103,17 @@ def op12_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_graph.search(rows, rows.filter("vec_id % 20 = 0"), 20)
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best collocations of each language."""
+    return phrases.collocations(documents(spark, sf_dir).select("text", "lang"), top=2000)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_ogg, op2_quality_zstd, op3_langid_zstd, op4_token_parquet, op5_line_templates, op6_benchmark_templates, op7_best_fit_packing, op8_url_rules, op9_license_templates, op10_simhash_anchors, op11_conversation_repair, op12_vector_graph, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_media_ogg, op2_quality_zstd, op3_langid_zstd, op4_token_parquet, op5_line_templates, op6_benchmark_templates, op7_best_fit_packing, op8_url_rules, op9_license_templates, op10_simhash_anchors, op11_conversation_repair, op12_vector_graph, op13_phrases, pipeline)}
 
-ORACLE_SQL = {"op5_line_templates": line_templates.ORACLE, "op8_url_rules": url_rules.ORACLE}
+ORACLE_SQL = {"op5_line_templates": line_templates.ORACLE, "op8_url_rules": url_rules.ORACLE, "op13_phrases": phrases.ORACLE}
