@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from normwerk.functions import crossval, rules
-from normwerk.operators import archetypes, consensus, export, search, tables
+from normwerk.operators import archetypes, consensus, export, tables, vectors
 from normwerk.plans import bridge
 from normwerk.plans.bridge import COMMENTS_SQL, CV_SQL, VOTES_SQL, with_views
 
@@ -141,7 +141,7 @@ def quotes_checked(spark, sf_dir):
 def comment_clusters(spark, sf_dir):
     """Components of all links of 0.45 or more among the vectors (the test vectors have few above)."""
     e = bridge.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return archetypes.clusters(search.similarity_links(e, 0.45), e.select("id"))
+    return archetypes.clusters(vectors.similarity_links(e, 0.45), e.select("id"))
 
 
 def vote_consensus(spark, sf_dir):

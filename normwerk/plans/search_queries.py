@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from normwerk.functions import rules
-from normwerk.operators import search, tables
+from normwerk.operators import search, tables, vectors
 from normwerk.plans import bridge
 from normwerk.plans.bridge import MEMORY_SQL, with_views
 
@@ -55,7 +55,7 @@ def batch_vector_search(spark, sf_dir):
     """Every hundredth vector against all."""
     e = bridge.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     q = e.filter(F.col("id") % 100 == 0).withColumnRenamed("id", "query_id")
-    return search.batch_vector_search(e, q, 5).select("query_id", "id", F.round("sim", 6).alias("sim"), "rank")
+    return vectors.batch_vector_search(e, q, 5).select("query_id", "id", F.round("sim", 6).alias("sim"), "rank")
 
 
 def filtered_memory(spark, sf_dir):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from normwerk.operators import archetypes, consensus, hygiene, ingest, search, tables
+from normwerk.operators import archetypes, consensus, hygiene, ingest, search, tables, vectors
 from normwerk.sources import readers, sinks
 from normwerk.streaming import streams
 
@@ -73,7 +73,7 @@ def test_vector_search(spark):
     want = [(i, s) for i, s in sorted(enumerate(n @ n[3]), key=lambda x: (-x[1], x[0])) if s > 0.2][:7]
     assert [r["id"] for r in got] == [i for i, _ in want] and np.allclose([r["sim"] for r in got], [s for _, s in want], atol=1e-6)
     q = df.filter("id < 30").withColumnRenamed("id", "query_id")
-    batch = {(r["query_id"], r["rank"]): r["id"] for r in search.batch_vector_search(df.filter("id < 500"), q, 3).collect()}
+    batch = {(r["query_id"], r["rank"]): r["id"] for r in vectors.batch_vector_search(df.filter("id < 500"), q, 3).collect()}
     assert batch == {(i, k + 1): j for i in range(30) for k, j in enumerate(sorted(range(500), key=lambda j: (-(n[i] @ n[j]), j))[:3])}
     sql = df.filter("id < 20").select("id", search.cosine(F.col("embedding"), F.array(*map(F.lit, m[3].tolist()))).alias("s"))
     assert all(abs(r["s"] - n[r["id"]] @ n[3]) < 1e-6 for r in sql.collect())
@@ -183,7 +183,7 @@ def test_parts_of_sheets_and_sections(spark):
 
 
 def test_similarity_links_make_all_components(spark, monkeypatch):
-    monkeypatch.setattr(search, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(vectors, "HELD_ROWS", 12)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(30, 8))
     m = np.repeat(centres, 5, axis=0) + rng.normal(scale=0.15, size=(150, 8))
@@ -194,20 +194,20 @@ def test_similarity_links_make_all_components(spark, monkeypatch):
     near = (n @ n.T) >= 0.95
     while (new := [min(label[j] for j in np.flatnonzero(near[i])) for i in range(150)]) != label:
         label = new
-    got = dict(rows(archetypes.clusters(search.similarity_links(df, 0.95), df.select("id"))))
+    got = dict(rows(archetypes.clusters(vectors.similarity_links(df, 0.95), df.select("id"))))
     assert got == dict(enumerate(label)) | {500: 500, 501: 501} and 10 < len(set(label)) < 140
 
 
 def test_batch_searches_in_blocks_and_groups(spark, monkeypatch):
-    monkeypatch.setattr(search, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(vectors, "HELD_ROWS", 16)
     rng = np.random.default_rng(5)
     m = rng.normal(size=(200, 6))
     n = m / np.linalg.norm(m, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, v.tolist(), "xyz"[i % 3]) for i, v in enumerate(m)], "id long, embedding array<double>, section string").repartition(3)
     q = df.filter("id < 60").withColumnRenamed("id", "query_id")
-    got = {(r["query_id"], r["rank"]): r["id"] for r in search.batch_vector_search(df, q, 4, group="section").collect()}
+    got = {(r["query_id"], r["rank"]): r["id"] for r in vectors.batch_vector_search(df, q, 4, group="section").collect()}
     assert got == {(i, k + 1): j for i in range(60) for k, j in enumerate(sorted((j for j in range(200) if j % 3 == i % 3), key=lambda j: (-(n[i] @ n[j]), j))[:4])}
-    assert search.batch_vector_search(df, q.limit(0), 4).count() == 0
+    assert vectors.batch_vector_search(df, q.limit(0), 4).count() == 0
 
 
 def test_batch_text_search(spark):
