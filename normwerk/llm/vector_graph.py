@@ -32,10 +32,10 @@ from normwerk.llm.common import row_key, stored
 SHARD_ROWS = 8192
 DEGREE = 16  # links that a new node gets; twice as many may end at a node of the last level
 EF_BUILD = 64
-EF = 160
+EF = 112
 QUERIES_A_TASK = 1 << 16
 #: Queries, or new nodes, whose beams move together, and nodes that each expands at once.
-BATCH, WIDTH = 256, 4
+BATCH, WIDTH = 256, 16
 _ORDINARY = 1 << 24  # levels are drawn from so many values
 
 
