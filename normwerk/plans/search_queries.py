@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from normwerk.functions import rules
-from normwerk.operators import search, tables, vectors
+from normwerk.operators import search, tables, text_index, vectors
 from normwerk.plans import bridge
 from normwerk.plans.bridge import MEMORY_SQL, with_views
 
@@ -45,12 +45,44 @@ def text_search(spark, sf_dir):
 
 
 def batch_text_search(spark, sf_dir):
-    """Every hundredth text, whole, as a query against all texts: it finds itself, its copies and what holds all of its words."""
+    """Every hundredth text, whole, as a query against a stored index of all texts: it finds itself, its copies and what holds all of its words."""
+    m = bridge.memory(spark, sf_dir)
+    q = m.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("content").alias("query"))
+    return text_index.batch_text_search(text_index.build(m), q, 5).select("query_id", "id", "score", "rank")
+
+
+def batch_text_search_scan(spark, sf_dir):
+    """The same without an index, from the texts themselves."""
     m = bridge.memory(spark, sf_dir)
     q = m.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("content").alias("query"))
     return search.batch_text_search(m, q, 5).select("query_id", "id", "score", "rank")
 
 
+def _index_of_changed(spark, rows):
+    """An index of `rows` that was built from others: of every third text only a part, every fifth missing, and some more."""
+    i = F.col("id")
+    before = rows.filter(i % 5 != 0).withColumn("content", F.when(i % 3 == 0, F.substring("content", 1, 40)).otherwise(F.col("content")))
+    index = text_index.build(before.select("id", "content").unionByName(rows.filter(i % 5 == 1).select((-i - 1).alias("id"), "content")))
+    text_index.update(index, rows, removed=rows.select((-i - 1).alias("id")))
+    return index
+
+
+def text_search_updated(spark, sf_dir):
+    """From an index that was brought up to date with changed, new and removed texts."""
+    return text_index.text_search(_index_of_changed(spark, bridge.memory(spark, sf_dir)), TEXT).select("id", F.round("score", 6).alias("score"))
+
+
+def text_search_compacted(spark, sf_dir):
+    """The same after its generations were written as one."""
+    return text_index.text_search(text_index.compacted(_index_of_changed(spark, bridge.memory(spark, sf_dir))), TEXT).select("id", F.round("score", 6).alias("score"))
+
+
+def hybrid_search_indexed(spark, sf_dir):
+    m = bridge.memory(spark, sf_dir)
+    index = text_index.build(m.filter(F.col("embedding").isNotNull()))
+    return text_index.hybrid_search(index, m, _query_vector(spark, sf_dir), TEXT).select("id", F.round("rrf", 9).alias("rrf"), "content_type", "status")
+
+
 def batch_vector_search(spark, sf_dir):
     """Every hundredth vector against all."""
     e = bridge.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
@@ -133,7 +165,7 @@ def missing_from_vectors(spark, sf_dir):
     return m.join(ids, "id", "left_semi").groupBy(F.element_at("tags", 1).alias("lang")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (hybrid_search, vector_search, vector_search_filtered, vector_search_builtin, text_search, batch_text_search, batch_vector_search, filtered_memory, list_documents, get_document, idea_bank, by_project, by_tag, by_pattern, pending_embedding, recent, type_summary, embedding_completeness, corpus_totals, validate_memory, memory_with_defaults, missing_from_vectors)}
+QUERIES = {f.__name__: f for f in (hybrid_search, vector_search, vector_search_filtered, vector_search_builtin, text_search, batch_text_search, batch_text_search_scan, text_search_updated, text_search_compacted, hybrid_search_indexed, batch_vector_search, filtered_memory, list_documents, get_document, idea_bank, by_project, by_tag, by_pattern, pending_embedding, recent, type_summary, embedding_completeness, corpus_totals, validate_memory, memory_with_defaults, missing_from_vectors)}
 
 _SIM = "list_cosine_similarity(CAST(m.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
 _QV = f"qv AS (SELECT embedding FROM embeddings WHERE vec_id = {QUERY_ID})"
@@ -185,3 +217,4 @@ ORACLE_SQL = {
     "missing_from_vectors": "SELECT lang, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) GROUP BY lang",
 }
 ORACLE_SQL["vector_search_builtin"] = ORACLE_SQL["vector_search"]
+ORACLE_SQL |= {"batch_text_search_scan": ORACLE_SQL["batch_text_search"], "text_search_updated": ORACLE_SQL["text_search"], "text_search_compacted": ORACLE_SQL["text_search"], "hybrid_search_indexed": ORACLE_SQL["hybrid_search"]}
