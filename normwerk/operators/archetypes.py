@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normwerk.operators.tables import running_sum
@@ -104,6 +104,31 @@ def regional_drift(comments: DataFrame, a: str, b: str) -> DataFrame:
     return t.select("archetype_id", "n_a", "n_b", "rank_a", "rank_b", F.round(pa - pb, 6).alias("difference"), F.round(z, 6).alias("z"))
 
 
+# The normal distribution's upper tail, as density times a polynomial in 1 / (1 + 0.2316419 z), to 8e-8
+TAIL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+
+
+def two_sided(z: str) -> Column:
+    """The chance of at least |z| either way."""
+    t = 1 / (1 + 0.2316419 * F.abs(z))
+    powers = sum((c * F.pow(t, F.lit(i + 1.0)) for i, c in enumerate(TAIL)), F.lit(0.0))
+    return F.when(F.col(z).isNotNull(), F.least(F.lit(1.0), 2 * F.exp(-F.col(z) * F.col(z) / 2) * 0.3989422804014327 * powers))
+
+
+def significant(drift: DataFrame, rate: float = 0.05, z: str = "z") -> DataFrame:
+    """`drift` with p (two-sided, of `z`), q and significant: q, the least false-discovery rate at which the row is found, is at most `rate`.
+
+    Step-up: with m rows, q is the least of p m / rank over the rows with as large a p.  Ranks and minima run over ranges of p side by side.  Rows without z have no p,
+    don't count and aren't significant.
+    """
+    rows = stored(drift.withColumn("p", F.round(two_sided(z), 9)), "significance")
+    m = rows.agg(F.count("p").alias("_m"))  # one row
+    each = rows.filter("p is not null").groupBy("p").agg(F.count("*").alias("_c"))
+    ranks = running_sum(each, "_c", [F.col("p")], "_rank").crossJoin(F.broadcast(m)).withColumn("_ratio", F.col("p") * F.col("_m") / F.col("_rank"))
+    q = running_sum(ranks, "_ratio", [F.desc("p")], "q", least=True).select("p", F.round("q", 9).alias("q"))
+    return rows.join(q, "p", "left").select(*drift.columns, "p", "q", F.coalesce(F.col("q") <= rate, F.lit(False)).alias("significant"))
+
+
 def quotes_checked(comments: DataFrame, reports: DataFrame) -> DataFrame:
     """Comments with `found`: the quoted text is in its report.
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from normwerk.functions import rules, text
-from normwerk.operators.tables import first_by
+from normwerk.operators.tables import first_by, numbered, running_sum
+from normwerk.sources.shared import stored
 
 NAME_ISSUES = ("CYRILLIC_FILENAME", "SPACES_IN_FILENAME")
 
@@ -47,20 +48,29 @@ def normalization_totals(norm: DataFrame) -> DataFrame:
 
 
 def renamed(files: DataFrame) -> DataFrame:
-    """name, new_name: safe names, numbered -2, -3, ... where they collide without regard to case; names that are safe already come first.
+    """`files` (path, name) with new_name: safe names, numbered -2, -3, ... where they collide without regard to case; names that are safe already come first.
 
-    A numbered name that another file has already is numbered again, once, with the first's suffix kept.
+    The first file of each safe name keeps it.  The others get the numbers, in order, that no safe name has: `stem-k` has one way to be read as stem and number, so names of
+    different stems can't meet, and all names differ.  Files of one name are numbered by ranges, whatever their count; so are the numbers that are taken, and the two are
+    brought together by a running count.
     """
-
-    def numbered(df: DataFrame, column: str) -> DataFrame:
-        w = Window.partitionBy(F.lower(column)).orderBy(F.col(column) != F.col("name"), "name", "path")
-        ext = F.regexp_extract(column, r"(?s)^.*[^.](\.[^.]+)$", 1)
-        stem = F.substring(F.col(column), F.lit(1), F.length(column) - F.length(ext))
-        rank = F.row_number().over(w)
-        return df.withColumn("_r", rank).withColumn("_next", F.when(F.col("_r") == 1, F.col(column)).otherwise(F.concat(stem, F.lit("-"), F.col("_r").cast("string"), ext))).drop(column, "_r").withColumnRenamed("_next", column)
-
-    once = numbered(files.withColumn("new_name", text.safe_filename("name")), "new_name")
-    return numbered(once, "new_name")
+    ext = lambda c: F.regexp_extract(c, r"(?s)^.*[^.](\.[^.]+)$", 1)
+    safe = files.withColumn("_safe", text.safe_filename("name")).withColumn("_key", F.lower("_safe"))
+    ranked = stored(numbered(safe, "_key", [F.col("_safe") != F.col("name"), F.col("name"), F.col("path")], "_r"), "renamed")
+    # names that read as another name's stem and a number: each leaves `_pos` free numbers below it
+    names = ranked.filter("_r = 1").select("_key", ext("_key").alias("_ext"))
+    stem = F.substring("_key", F.lit(1), F.length("_key") - F.length("_ext"))
+    read = names.select(F.regexp_extract(stem, r"(?s)^(.*)-([1-9]\d{0,17})$", 1).alias("_stem"), F.regexp_extract(stem, r"(?s)^(.*)-([1-9]\d{0,17})$", 2).try_cast("long").alias("_k"), "_ext")
+    several = ranked.filter("_r > 1").select("_key").distinct()
+    taken = read.filter("_k >= 2").select(F.concat("_stem", "_ext").alias("_key"), "_k").join(several, "_key", "left_semi")
+    gaps = numbered(taken, "_key", [F.col("_k")], "_j").select("_key", (F.col("_k") - 1 - F.col("_j")).alias("_pos"), F.lit(1).alias("_t"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("name"))
+    wanted = ranked.filter("_r > 1").select("_key", (F.col("_r") - 1).alias("_pos"), F.lit(0).alias("_t"), "path", "name")
+    run = stored(running_sum(wanted.unionByName(gaps), "_t", [F.col("_key"), F.col("_pos"), F.col("_t")], "_run"), "renamed-numbers")
+    first = run.groupBy("_key").agg(F.min(F.col("_run") - F.col("_t")).alias("_first"))
+    number = run.filter("_t = 0").join(first, "_key").select("_key", (F.col("_pos") + 1).alias("_r"), (F.col("_pos") + 1 + F.col("_run") - F.col("_first")).alias("_number"))
+    plain_stem = F.substring("_safe", F.lit(1), F.length("_safe") - F.length(ext("_safe")))
+    new = F.when(F.col("_number").isNull(), F.col("_safe")).otherwise(F.concat(plain_stem, F.lit("-"), F.col("_number").cast("string"), ext("_safe")))
+    return ranked.join(number, ["_key", "_r"], "left").select(*files.columns, new.alias("new_name"))
 
 
 def match_catalogue(files: DataFrame, catalogue: DataFrame) -> DataFrame:

@@ -88,14 +88,28 @@ def day_spine(first: str, last: str, spark) -> DataFrame:
     return spark.sql(f"SELECT explode(sequence(DATE '{first}', DATE '{last}')) AS day")
 
 
-def running_sum(df: DataFrame, value: str, order: list[Column], out: str) -> DataFrame:
-    """`df` with `out`, the sum of `value` over the rows up to each in the order of all.
+def running_sum(df: DataFrame, value: str, order: list[Column], out: str, least: bool = False) -> DataFrame:
+    """`df` with `out`, the sum of `value` (or its least value) over the rows up to each in the order of all.
 
     Rows go to ranges of the order, are summed inside their range, and start from the total of the ranges before; of these there is one row each.  The ranges
     are stored, so that they are the same for both.
     """
+    total = F.min if least else F.sum
     ranged = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = ranged.groupBy("_range").agg(F.sum(value).alias("_s")).select("_range", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    bases = ranged.groupBy("_range").agg(total(value).alias("_s")).select("_range", total("_s").over(before).alias("_base"))
     inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranged.withColumn("_own", F.sum(value).over(inside)).join(bases, "_range").select(*df.columns, (F.col("_own") + F.col("_base")).alias(out))
+    both = F.least("_own", "_base") if least else F.col("_own") + F.coalesce("_base", F.lit(0))
+    return ranged.withColumn("_own", total(value).over(inside)).join(bases, "_range").select(*df.columns, both.alias(out))
+
+
+def numbered(df: DataFrame, key: str, order: list[Column], out: str) -> DataFrame:
+    """`df` with `out`, the number from 1 of each row among those of its key (not null), by `order`.
+
+    Rows go to ranges of key and order, so a key that a third of all rows have is numbered in many; each range starts from the counts of the ranges before.
+    """
+    ranged = stored(df.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range that a key lies in
+    bases = ranged.groupBy(key, "_range").agg(F.count("*").alias("_n")).select(key, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_range", key).orderBy(*order)
+    return ranged.withColumn("_own", F.row_number().over(inside)).join(bases, [key, "_range"]).select(*df.columns, (F.col("_own") + F.col("_base")).alias(out))

@@ -23,13 +23,17 @@ def of_day(lines: DataFrame, day: str) -> DataFrame:
 
 
 def by_class(access: DataFrame, day: str) -> DataFrame:
-    """class (all, human, bot), distinct addresses, requests of one day.
+    """class (all, human, bot), distinct addresses, requests of one day; `all` is there without requests too.
 
-    Distinct addresses come from a first grouping by class and address, so a busy address is summed where it is read.
+    One pass: requests are summed by address where they are read, an address counts for each class that it has requests of.
     """
-    a = access.filter(F.to_date("ts") == F.lit(day).cast("date")).groupBy(F.when(F.col("is_bot"), "bot").otherwise("human").alias("class"), "ip").agg(F.count("*").alias("n"))
-    each = a.groupBy("class").agg(F.count("*").alias("ips"), F.sum("n").alias("requests"))
-    return each.unionByName(a.agg(F.lit("all").alias("class"), F.countDistinct("ip").alias("ips"), F.coalesce(F.sum("n"), F.lit(0)).alias("requests")))
+    n = lambda c: F.count_if(c).alias
+    bot = F.coalesce(F.col("is_bot"), F.lit(False))
+    each = access.filter(F.to_date("ts") == F.lit(day).cast("date")).groupBy("ip").agg(n(~bot)("_human"), n(bot)("_bot"))
+    sums = [(name, F.count_if((c > 0) & F.col("ip").isNotNull() if name == "all" else c > 0), F.coalesce(F.sum(c), F.lit(0))) for name, c in (("all", F.col("_human") + F.col("_bot")), ("human", F.col("_human")), ("bot", F.col("_bot")))]
+    row = each.agg(*[c.alias(f"{name}_{i}") for name, *cs in sums for i, c in enumerate(cs)])
+    classes = F.array(*[F.struct(F.lit(name).alias("class"), F.col(f"{name}_0").alias("ips"), F.col(f"{name}_1").alias("requests")) for name, *_ in sums])
+    return row.select(F.inline(classes)).filter("class = 'all' or requests > 0")
 
 
 def daily(access: DataFrame, first: str, last: str) -> DataFrame:

@@ -152,6 +152,14 @@ def safe_names(spark, sf_dir):
     return hygiene.renamed(bridge.files(spark, sf_dir).select("path", "name")).select("path", "new_name")
 
 
+def colliding_names(spark, sf_dir):
+    """New names of files whose safe names are other files' numbered ones."""
+    k, group = F.col("p_partkey"), (F.col("p_partkey") % 7).cast("string")
+    name = F.concat(bridge.pick(("n", "N", "n", "n", "n", "N"), k % 6), group, bridge.pick(("", "", "-2", "-3", "-2-2", "-5"), k % 6), F.lit(".md"))
+    files = bridge.table(spark, sf_dir, "part").select(F.lpad(k.cast("string"), 12, "0").alias("path"), name.alias("name"))
+    return hygiene.renamed(files).select("path", "new_name")
+
+
 def _dirty(spark, sf_dir):
     """Documents with defects put in by their number, so that every rule has something to find."""
     i, x = F.col("doc_id"), F.col("text")
@@ -198,7 +206,7 @@ def anonymised(spark, sf_dir):
     return bridge.table(spark, sf_dir, "documents").select("doc_id", n["email"].cast("bigint").alias("emails"), F.regexp_count(new, F.lit("<email>")).cast("bigint").alias("marks"))
 
 
-QUERIES = {f.__name__: f for f in (clauses, clause_hashes, rendered_documents, documents_with_clauses, unfinished_inputs, latest_runs, recent_runs, changed_clauses, upsert_orders, upsert_keeping, upsert_counts, upsert_parts, page_tiers, page_fallbacks, run_counters, catalogue_headers, catalogue_matches, catalogue_missing, files_unlisted, files_per_complex, top_missing, linked_folders, changed_links, union_of_roots, safe_names, audit_summary, worst_files, normalization_totals, normalized_pages, documents_per_section, numbered_records, document_types, anonymised)}
+QUERIES = {f.__name__: f for f in (clauses, clause_hashes, rendered_documents, documents_with_clauses, unfinished_inputs, latest_runs, recent_runs, changed_clauses, upsert_orders, upsert_keeping, upsert_counts, upsert_parts, page_tiers, page_fallbacks, run_counters, catalogue_headers, catalogue_matches, catalogue_missing, files_unlisted, files_per_complex, top_missing, linked_folders, changed_links, union_of_roots, safe_names, colliding_names, audit_summary, worst_files, normalization_totals, normalized_pages, documents_per_section, numbered_records, document_types, anonymised)}
 
 _SIDES = """o AS (SELECT o_orderkey, o_orderstatus, o_totalprice AS price FROM orders), old AS (SELECT * FROM o WHERE o_orderkey % 3 <> 0),
 new AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN 'N' END AS o_orderstatus, price + 1 AS price FROM o WHERE o_orderkey % 2 = 0)"""
@@ -255,6 +263,11 @@ SELECT CASE WHEN k % 11 = 0 THEN 'x' || CAST(k AS VARCHAR) ELSE a || '/' || b EN
     "changed_links": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_type END AS new FROM part WHERE p_partkey % 3 = 0",
     "union_of_roots": with_views(FILES_SQL, then="SELECT name, 'r' || CAST(root AS VARCHAR) || '/' || CAST(k AS VARCHAR) || '/' || name AS path FROM files QUALIFY row_number() OVER (PARTITION BY name ORDER BY root DESC, path) = 1"),
     "safe_names": with_views(FILES_SQL, "n AS (SELECT name, 'r' || CAST(root AS VARCHAR) || '/' || CAST(k AS VARCHAR) || '/' || name AS path, CASE WHEN sig IS NULL THEN 'Zakon-' || CAST(k AS VARCHAR) ELSE 'SP-RK-' || sig END AS stem FROM files)", "r AS (SELECT *, row_number() OVER (PARTITION BY lower(stem) ORDER BY name, path) AS r FROM n)", then="SELECT path, stem || CASE WHEN r > 1 THEN '-' || CAST(r AS VARCHAR) ELSE '' END || '.md' AS new_name FROM r"),
+    "colliding_names": """WITH f AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 12, '0') AS path, CASE p_partkey % 6 WHEN 1 THEN 'N' WHEN 5 THEN 'N' ELSE 'n' END || CAST(p_partkey % 7 AS VARCHAR) || CASE p_partkey % 6 WHEN 2 THEN '-2' WHEN 3 THEN '-3' WHEN 4 THEN '-2-2' WHEN 5 THEN '-5' ELSE '' END AS stem FROM part),
+g AS (SELECT *, lower(stem) AS key, row_number() OVER (PARTITION BY lower(stem) ORDER BY stem, path) AS r FROM f), t AS (SELECT DISTINCT key FROM g),
+c AS (SELECT key, unnest(range(2, n + 20)) AS number FROM (SELECT key, count(*) AS n FROM g GROUP BY key)),
+free AS (SELECT key, number, row_number() OVER (PARTITION BY key ORDER BY number) AS i FROM c WHERE key || '-' || CAST(number AS VARCHAR) NOT IN (SELECT key FROM t))
+SELECT path, stem || CASE WHEN r = 1 THEN '' ELSE '-' || CAST(number AS VARCHAR) END || '.md' AS new_name FROM g LEFT JOIN free ON free.key = g.key AND free.i = g.r - 1""",
     "audit_summary": f"WITH {_DIRTY} SELECT issue, count(DISTINCT path) AS files FROM i GROUP BY 1 UNION ALL SELECT 'CLEAN', count(*) FROM dirty WHERE path NOT IN (SELECT path FROM i WHERE issue <> 'SPACES_IN_FILENAME')",
     "worst_files": f"WITH {_DIRTY} SELECT path, CAST(count(*) AS INTEGER) AS n FROM i WHERE issue <> 'SPACES_IN_FILENAME' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "normalization_totals": f"""WITH {_DIRTY}, {_NORMAL}, k AS (SELECT z.*, multi, n.nbsp, n.tabs, n.crlf FROM z JOIN n USING (doc_id) WHERE fin <> z.t)

@@ -104,6 +104,15 @@ def axis_frequencies(spark, sf_dir):
     return archetypes.frequencies(_comments(spark, sf_dir), AXES, [["section"], ["object_type", "region"], [*AXES], []])
 
 
+SIX_AXES = ("section", "object_type", "severity", "region", "clause_id", "branch")
+
+
+def six_axis_frequencies(spark, sf_dir):
+    """By each of the six axes, and by three of them together; the report's number stands for its branch."""
+    c = _comments(spark, sf_dir).withColumn("branch", F.col("report_id") % 14)
+    return archetypes.frequencies(c, SIX_AXES, [*([a] for a in SIX_AXES), ["section", "region", "branch"]])
+
+
 def report_shares(spark, sf_dir):
     return archetypes.report_shares(_comments(spark, sf_dir), "archetype_id", "object_type")
 
@@ -124,18 +133,23 @@ def regional_drift(spark, sf_dir):
     return archetypes.regional_drift(_comments(spark, sf_dir), "ASIA", "EUROPE")
 
 
+def drift_significance(spark, sf_dir):
+    """Which archetypes' shares differ between two regions, at a false-discovery rate of a half (the test rows are all but alike)."""
+    return archetypes.significant(regional_drift(spark, sf_dir), 0.5).select("archetype_id", "z", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"), "significant")
+
+
 def review_flags(spark, sf_dir):
     c = _comments(spark, sf_dir)
     return c.select(archetypes.needs_review("confidence").alias("needs_review"), (F.col("confidence") < 0.4).alias("unsure")).groupBy("needs_review", "unsure").agg(F.count("*").alias("n"))
 
 
 def quotes_checked(spark, sf_dir):
-    """Line items' quotes against a report text built from their order; every 7th quote is false."""
+    """Line items' quotes against a report text built from their order; every 7th report's quotes are false, and of every 11th the first item wasn't extracted."""
     l = bridge.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.col("l_linenumber").alias("n"), F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.lit(" fails;")).alias("q"))
     reports = l.groupBy("report_id").agg(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat(F.col("n").cast("string"), F.lit(". "), F.col("q"))))).alias("raw_text"))
-    said = l.select("report_id", "n", F.when(F.col("report_id") % 7 == 0, F.concat(F.lit("no "), F.col("q"))).otherwise(F.col("q")).alias("raw_text"))
+    said = l.filter((F.col("report_id") % 11 != 0) | (F.col("n") != 1)).select("report_id", "n", F.when(F.col("report_id") % 7 == 0, F.concat(F.lit("no "), F.col("q"))).otherwise(F.col("q")).alias("raw_text"))
     per = archetypes.quotes_checked(said, reports).groupBy("report_id").agg(F.count_if(~F.col("found")).alias("not_found"))
-    return archetypes.counts_checked(said, reports).join(per, "report_id").select("report_id", "extracted", "numbered", "complete", "not_found")
+    return archetypes.counts_checked(said, reports).join(per, "report_id", "left").select("report_id", "extracted", "numbered", "complete", F.coalesce("not_found", F.lit(0)).alias("not_found"))
 
 
 def comment_clusters(spark, sf_dir):
@@ -169,7 +183,7 @@ def near_positions(spark, sf_dir):
     return consensus.position_consensus(placed).groupBy("request_id").agg(F.count("*").alias("pairs"))
 
 
-QUERIES = {f.__name__: f for f in (labelled_rows, next_unlabelled, labelling_stats, label_buckets, validate_reviews, citations, sft_rows, dpo_rows, critic_rows, training_set, export_summary, review_fields, comment_jobs, archetypes_promoted, archetype_statistics, severity_check, only_major_reports, axis_frequencies, report_shares, pareto, pareto_summary, top_archetypes, regional_drift, review_flags, quotes_checked, comment_clusters, vote_consensus, vote_levels, majority_type, unanimous_votes, near_positions)}
+QUERIES = {f.__name__: f for f in (labelled_rows, next_unlabelled, labelling_stats, label_buckets, validate_reviews, citations, sft_rows, dpo_rows, critic_rows, training_set, export_summary, review_fields, comment_jobs, archetypes_promoted, archetype_statistics, severity_check, only_major_reports, axis_frequencies, six_axis_frequencies, report_shares, pareto, pareto_summary, top_archetypes, regional_drift, drift_significance, review_flags, quotes_checked, comment_clusters, vote_consensus, vote_levels, majority_type, unanimous_votes, near_positions)}
 
 _LAB = "l AS (SELECT *, CASE WHEN marked AND level <> 'certain' THEN level END AS conf FROM cv WHERE final_decision IS NOT NULL AND expert_verdict IS NOT NULL)"
 
@@ -211,7 +225,8 @@ ORACLE_SQL = {
     "regional_drift": with_views(COMMENTS_SQL, "w AS (SELECT archetype_id, count(*) FILTER (WHERE region = 'ASIA') AS n_a, count(*) FILTER (WHERE region = 'EUROPE') AS n_b FROM comments WHERE region IN ('ASIA', 'EUROPE') GROUP BY 1)", "t AS (SELECT *, sum(n_a) OVER ()::DOUBLE AS t_a, sum(n_b) OVER ()::DOUBLE AS t_b, CAST(rank() OVER (ORDER BY n_a DESC) AS INTEGER) AS rank_a, CAST(rank() OVER (ORDER BY n_b DESC) AS INTEGER) AS rank_b FROM w)",
         then="SELECT archetype_id, n_a, n_b, rank_a, rank_b, round(n_a / t_a - n_b / t_b, 6) AS difference, round((n_a / t_a - n_b / t_b) / sqrt((n_a + n_b) / (t_a + t_b) * (1 - (n_a + n_b) / (t_a + t_b)) * (1 / t_a + 1 / t_b)), 6) AS z FROM t"),
     "review_flags": with_views(COMMENTS_SQL, then="SELECT confidence < 0.75 AS needs_review, confidence < 0.4 AS unsure, count(*) AS n FROM comments GROUP BY 1, 2"),
-    "quotes_checked": "SELECT l_orderkey AS report_id, count(*) AS extracted, count(*) AS numbered, TRUE AS complete, CASE WHEN l_orderkey % 7 = 0 THEN count(*) ELSE 0 END AS not_found FROM lineitem GROUP BY 1",
+    "quotes_checked": "WITH x AS (SELECT l_orderkey AS report_id, count(*) AS numbered, count(*) FILTER (WHERE l_orderkey % 11 <> 0 OR l_linenumber <> 1) AS extracted FROM lineitem GROUP BY 1) SELECT report_id, extracted, numbered, extracted >= numbered AS complete, CASE WHEN report_id % 7 = 0 THEN extracted ELSE 0 END AS not_found FROM x",
+    "six_axis_frequencies": with_views(COMMENTS_SQL, "c AS (SELECT *, report_id % 14 AS branch FROM comments)", then="SELECT section, object_type, severity, region, clause_id, branch, count(*) AS n, CAST(grouping_id(section, object_type, severity, region, clause_id, branch) AS BIGINT) AS axes_used FROM c GROUP BY GROUPING SETS ((section), (object_type), (severity), (region), (clause_id), (branch), (section, region, branch))"),
     "citations": with_views(CV_SQL, then="SELECT id, id % 3 = 0 AS cited, final_decision = 'claude_was_right' OR id % 3 = 0 AS storable FROM cv WHERE final_decision IS NOT NULL"),
     "comment_clusters": """WITH RECURSIVE l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.45),
 r(id, x) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.x) SELECT id, min(x) AS cluster FROM r GROUP BY id""",
@@ -223,3 +238,9 @@ r(id, x) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM r
     "majority_type": with_views(VOTES_SQL, "m AS (SELECT request_id, type, count(DISTINCT model) AS n FROM votes GROUP BY 1, 2)", then="SELECT request_id, type, n FROM m QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY n DESC, length(type) DESC, type DESC) = 1"),
     "unanimous_votes": with_views(VOTES_SQL, then="SELECT DISTINCT request_id, type, label FROM votes GROUP BY ALL HAVING count(DISTINCT model) = 3"),
 }
+
+_TAIL = " + ".join(f"({c}) * pow(t, {i + 1})" for i, c in enumerate(archetypes.TAIL))
+ORACLE_SQL["drift_significance"] = f"""WITH d AS ({ORACLE_SQL["regional_drift"]}), t AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM d),
+p AS (SELECT archetype_id, z, CASE WHEN z IS NOT NULL THEN round(least(1.0, 2 * exp(-z * z / 2) * 0.3989422804014327 * ({_TAIL})), 9) END AS p FROM t), r AS (SELECT *, count(*) OVER (ORDER BY p) AS rank, count(*) OVER () AS m FROM p WHERE p IS NOT NULL),
+q AS (SELECT *, round(min(p * m / rank) OVER (ORDER BY p DESC), 9) AS q FROM r)
+SELECT p.archetype_id, p.z, round(p.p, 6) AS p, round(q, 6) AS q, coalesce(q <= 0.5, FALSE) AS significant FROM p LEFT JOIN q ON q.archetype_id = p.archetype_id"""

@@ -179,6 +179,16 @@ def classifications(spark, sf_dir):
     return bridge.table(spark, sf_dir, "documents").select("doc_id", c.alias("c")).select("doc_id", "c.type", "c.summary", "c.priority", F.array_join("c.tags", ",").alias("tags"), "c.feasibility", "c.impact")
 
 
+def report_texts(spark, sf_dir):
+    """A report's number, date, object and one section, from texts built from parts."""
+    k = _s(F.col("p_partkey"))
+    named = F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("Наименование объекта: Дом "), k, F.lit("\n"))).otherwise("")
+    section = F.when(F.col("p_partkey") % 4 != 0, F.concat(F.lit("# Выводы\nТекст "), k, F.lit("\n"))).otherwise("")
+    t = F.concat(F.lit("ЗАКЛЮЧЕНИЕ № 12/п-"), k, F.lit(" от 01.02.2026\n"), named, F.lit("# Введение\nО нём.\n"), section, F.lit("# Приложения\nНет."))
+    r = bridge.table(spark, sf_dir, "part").select("p_partkey", text.report_fields(t).alias("f"), text.cut_section(t, "Выводы").alias("conclusions"))
+    return r.select("p_partkey", "f.number", "f.date", "f.object", "conclusions")
+
+
 def degraded_requests(spark, sf_dir):
     """Requests of which not all three models' answers can be read."""
     k = F.col("p_partkey")
@@ -222,12 +232,16 @@ def activity_stream(spark, sf_dir):
 
 
 def sync_stream(spark, sf_dir):
-    """Orders as updates of 97 rows each: the last stays."""
+    """Orders as updates of 97 rows each, in four batches whose times overlap, the last of them twice: the update with the latest time stays, unless it says that the row is gone."""
     k = F.col("o_orderkey")
-    updates = bridge.table(spark, sf_dir, "orders").select((k % 97).alias("id"), k.alias("version"), F.timestamp_seconds(k).alias("updated"))
-    out = new_path(spark, "stream-target")
-    streams.sync(_stream(spark, updates, "stream-updates"), out, "id", "updated", f"{out}-checkpoint").awaitTermination()
-    return spark.read.parquet(out).select("id", "version")
+    value = F.when(k % 4 != 0, k)
+    updates = bridge.table(spark, sf_dir, "orders").select((k % 97).alias("id"), k.alias("version"), value.alias("note"), (k % 5 == 0).alias("gone"), F.timestamp_seconds(k).alias("updated"))
+    out, files = new_path(spark, "stream-target"), new_path(spark, "stream-updates")
+    updates.repartition(4, F.pmod(F.xxhash64("version"), F.lit(4))).write.parquet(files)
+    stream = spark.readStream.schema(updates.schema).option("maxFilesPerTrigger", 1).parquet(files)
+    streams.sync(stream, out, "id", "updated", f"{out}-checkpoint", keep_if_null=("note",), deleted="gone").awaitTermination()
+    sinks.merge_ordered(updates.filter(F.pmod(F.xxhash64("version"), F.lit(4)) == 3), out, "id", "updated", 0, ("note",), "gone")  # old updates once more
+    return sinks.read_ordered(spark, out, "gone").select("id", "version", "note")
 
 
 def intake_stream(spark, sf_dir):
@@ -247,7 +261,7 @@ def once_stream(spark, sf_dir):
     return _result(spark, streams.once(_stream(spark, files, "stream-files")), "stream-once").select("sha256")
 
 
-QUERIES = {f.__name__: f for f in (sections_written, corpus_files, tables_read, access_files, catalogue_files, jsonl_written, summary_written, ideas_read, properties_flat, snapshot_merged, errors_appended, one_run, run_figures, doc_codes, pages_split, record_lines, embed_inputs, classifications, degraded_requests, approximate_agents, approximate_traffic, traffic_stream, activity_stream, sync_stream, intake_stream, once_stream)}
+QUERIES = {f.__name__: f for f in (sections_written, corpus_files, tables_read, access_files, catalogue_files, jsonl_written, summary_written, ideas_read, properties_flat, snapshot_merged, errors_appended, one_run, run_figures, doc_codes, pages_split, record_lines, embed_inputs, classifications, report_texts, degraded_requests, approximate_agents, approximate_traffic, traffic_stream, activity_stream, sync_stream, intake_stream, once_stream)}
 
 _NUMBER = "printf('%d.%02d-%03d-%d', p_partkey % 5 + 1, p_partkey % 30 + 1, p_partkey % 400 + 100, p_partkey % 25 + 1999)"
 _PREFIX = bridge.sql_pick(PREFIXES, "p_partkey % 3")
@@ -281,7 +295,8 @@ SELECT t.doc_id, CAST(page_no AS INTEGER) AS page_no, coalesce(b, '') AS text, C
     "approximate_traffic": with_views(ACCESS_SQL, then="SELECT CAST(ts AS DATE) AS day, CASE WHEN is_bot THEN 'bot' ELSE 'human' END AS class, count(*) AS requests FROM access GROUP BY 1, 2"),
     "traffic_stream": with_views(ACCESS_SQL, "d AS (SELECT CAST(ts AS DATE) AS day, CASE WHEN is_bot THEN 'bot' ELSE 'human' END AS class, count(*) AS requests FROM access GROUP BY 1, 2)", then=f"SELECT * FROM d WHERE {_CLOSED.format(ts='ts', table='access')}"),
     "activity_stream": with_views(AGENT_LOGS_SQL, "d AS (SELECT CAST(created_at AS DATE) AS day, agent_id, count(*) AS total, count(*) FILTER (WHERE status = 'success') AS success, count(*) FILTER (WHERE status = 'error') AS error, CAST(floor(avg(duration_ms) + 0.5) AS INTEGER) AS mean_ms FROM agent_logs GROUP BY 1, 2)", then=f"SELECT * FROM d WHERE {_CLOSED.format(ts='created_at', table='agent_logs')}"),
-    "sync_stream": "SELECT o_orderkey % 97 AS id, max(o_orderkey) AS version FROM orders GROUP BY 1",
+    "sync_stream": "SELECT o_orderkey % 97 AS id, max(o_orderkey) AS version, max(o_orderkey) FILTER (WHERE o_orderkey % 4 <> 0) AS note FROM orders GROUP BY 1 HAVING max(o_orderkey) % 5 <> 0",
+    "report_texts": f"SELECT p_partkey, '12/п-' || {_K} AS number, '01.02.2026' AS date, CASE WHEN p_partkey % 3 <> 0 THEN 'Дом ' || {_K} END AS object, CASE WHEN p_partkey % 4 <> 0 THEN 'Текст ' || {_K} || chr(10) END AS conclusions FROM part",
     "intake_stream": """WITH m AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'note' WHEN doc_id % 5 = 0 THEN 'nonsense' WHEN doc_id % 2 = 0 THEN 'task' ELSE 'note' END AS content_type FROM documents)
 SELECT CASE WHEN content_type = 'nonsense' THEN 'bad' ELSE 'memory' END AS kept_in, content_type, count(*) AS n FROM m GROUP BY 1, 2 UNION ALL SELECT 'log', content_type, count(*) FROM m GROUP BY 2""",
     "once_stream": "SELECT DISTINCT md5(CAST(c_custkey % 53 AS VARCHAR)) AS sha256 FROM customer",

@@ -10,8 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from normwerk.functions import crossval, rules
 from normwerk.functions.text import is_bot, parse_access_line
-from normwerk.operators.tables import first_by, outside, validated
-from normwerk.sources.sinks import merge_snapshot
+from normwerk.operators.tables import outside, validated
+from normwerk.sources.sinks import merge_ordered
 
 LATE = "1 day"
 
@@ -20,11 +20,11 @@ def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def sync(stream: DataFrame, path: str, key: str, updated: str, checkpoint: str, keep_if_null: tuple[str, ...] = ()) -> StreamingQuery:
-    """Upsert every micro-batch by key; in a batch the row updated last wins, of those the one with the largest hash."""
+def sync(stream: DataFrame, path: str, key: str, updated: str, checkpoint: str, keep_if_null: tuple[str, ...] = (), deleted: str | None = None) -> StreamingQuery:
+    """Upsert by key into a snapshot (see sinks.merge_ordered, read_ordered): the row with the largest (`updated`, batch) stands, also if an older one comes in a later batch or a batch runs again."""
 
-    def each(batch: DataFrame, _: int) -> None:
-        merge_snapshot(first_by(batch, [key], [F.desc(updated), F.xxhash64(*[F.col(c) for c in batch.columns]).desc()]), path, key, keep_if_null=keep_if_null)
+    def each(batch: DataFrame, batch_id: int) -> None:
+        merge_ordered(batch, path, key, updated, batch_id, keep_if_null, deleted)
 
     return _run(stream, each, checkpoint)
 

@@ -1,6 +1,7 @@
 """Operators, sources, sinks and streams."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
@@ -96,6 +97,59 @@ def test_renaming(spark):
     assert len({x.lower() for x in got.values()}) == 4 and got["4"] == "Zh.md" and got["2"] != "A-b.md"
 
 
+def plain_renaming(names):
+    """Names in order of (already safe, name, path): the first of each keeps it, others take the least free number."""
+    taken = {n.lower() for n in names}
+    out, seen = {}, set()
+    for i in sorted(range(len(names)), key=lambda i: (names[i], i)):
+        n = names[i]
+        if n.lower() in seen:
+            stem, ext = (n[: n.rindex(".")], n[n.rindex(".") :]) if "." in n[1:] else (n, "")
+            k = 2
+            while f"{stem}-{k}{ext}".lower() in taken:
+                k += 1
+            n = f"{stem}-{k}{ext}"
+            taken.add(n.lower())
+        seen.add(n.lower())
+        out[f"{i:04d}"] = n
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_renaming_to_free_numbers(spark, seed):
+    rng = np.random.default_rng(seed)
+    names = ["a.md", "A.md", "a-2.md", "a-2-2.md"] if not seed else [f"{x}{s}{e}" for x, s, e in zip(rng.choice(["a", "A", "b"], 400), rng.choice(["", "", "", "-2", "-3", "-5", "-02", "-2-2", "-7"], 400), rng.choice([".md", ".md", ""], 400))]
+    df = spark.createDataFrame([(f"{i:04d}", n) for i, n in enumerate(names)], "path string, name string").repartition(5)
+    got = dict(rows(hygiene.renamed(df).select("path", "new_name")))
+    assert len({n.lower() for n in got.values()}) == len(names) and got == plain_renaming(names)
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 0, 1), (1, 2, 0, 1, 2)])
+def test_ordered_sync_whatever_the_order_of_batches(spark, tmp_path, order):
+    """Older updates that come later, repeated batches, equal times, marks of deletion, values that stay where the update has none."""
+    t = lambda d: dt.datetime(2026, 1, d)
+    batches = [[(1, "a", "x", False, t(1)), (2, "b", "y", False, t(5)), (3, "c", "z", False, t(2)), (None, "n", None, False, None)], [(1, "d", None, False, t(4)), (2, "e", "w", False, t(3)), (3, "f", None, True, t(9)), (1, "g", "q", False, t(2))], [(2, "h", None, False, t(5)), (3, "i", "r", False, t(4)), (4, "j", "s", True, t(1)), (None, "m", "o", False, t(1))]]
+    for b in order:
+        sinks.merge_ordered(spark.createDataFrame(batches[b], "id int, s string, keep string, gone boolean, updated timestamp"), f"{tmp_path}/x", "id", "updated", b, ("keep",), "gone", buckets=3)
+    got = sinks.read_ordered(spark, f"{tmp_path}/x", "gone")
+    assert got.columns == ["id", "s", "keep", "updated"]
+    assert sorted(rows(got.select("id", "s", "keep")), key=repr) == sorted([(1, "d", "q"), (2, "h", "y"), (None, "m", "o")], key=repr)
+
+
+def test_significance(spark):
+    rng = np.random.default_rng(3)
+    z = [*rng.normal(size=60).round(2).tolist(), 4.0, -4.0, 3.5, 3.5, None]
+    got = {r["archetype_id"]: r for r in archetypes.significant(spark.createDataFrame(list(enumerate(z)), "archetype_id int, z double").repartition(3), 0.05).collect()}
+    p = {i: round(math.erfc(abs(x) / math.sqrt(2)), 9) for i, x in enumerate(z) if x is not None}
+    for i, r in got.items():
+        if z[i] is None:
+            assert r["p"] is None and r["q"] is None and r["significant"] is False
+            continue
+        q = min(y * len(p) / sum(v <= y for v in p.values()) for y in p.values() if y >= p[i])
+        assert r["p"] == pytest.approx(p[i], abs=2e-7) and r["q"] == pytest.approx(q, abs=2e-5) and r["significant"] == (q <= 0.05)
+    assert sum(r["significant"] for r in got.values()) >= 4
+
+
 def test_consensus(spark):
     v = spark.createDataFrame([(1, m, "T", 10.0 + 4 * i, 99.0) for i, m in enumerate("abc")] + [(1, "a", "T", 60.0, 60.0)], "request_id int, model string, type string, x double, y double").withColumn("element", F.monotonically_increasing_id())
     assert consensus.position_consensus(v).count() == 3
@@ -147,7 +201,7 @@ def test_streams(spark, tmp_path):
     snap = spark.createDataFrame([(1, "a", dt.datetime(2026, 1, 1)), (1, "b", dt.datetime(2026, 1, 2)), (2, "c", dt.datetime(2026, 1, 1))], "id int, s string, updated timestamp")
     snap.write.parquet(f"{tmp_path}/snap")
     streams.sync(spark.readStream.schema(snap.schema).parquet(f"{tmp_path}/snap"), f"{tmp_path}/target", "id", "updated", f"{tmp_path}/cp2").awaitTermination()
-    assert dict(rows(spark.read.parquet(f"{tmp_path}/target").select("id", "s"))) == {1: "b", 2: "c"}
+    assert dict(rows(sinks.read_ordered(spark, f"{tmp_path}/target").select("id", "s"))) == {1: "b", 2: "c"}
 
     raw = spark.createDataFrame([("hello", '{"type": "NOTE", "priority": "high"}', dt.datetime(2026, 1, 1)), ("bad", "not json", dt.datetime(2026, 1, 1)), ("odd", '{"type": "nonsense"}', dt.datetime(2026, 1, 1))], "message string, classification string, ts timestamp")
     raw.write.parquet(f"{tmp_path}/raw")
