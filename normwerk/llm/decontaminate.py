@@ -16,8 +16,8 @@ Before the join, document windows are looked up in a bitmap of BITMAP_BITS bits
 fixed, so it can be sent to every task, and it only saves shuffling windows that can't match.
 
 Defined results: null and empty texts match nothing.  An item shorter than WINDOW words is one window of its own length; one of fewer
-than MIN_ITEM words, or whose windows hold fewer than MIN_LITERAL words that aren't placeholders, is only found word for word, and one of fewer than
-MIN_COPY words not at all.  Equal documents get equal results.
+than MIN_ITEM words, or whose windows hold fewer than MIN_LITERAL words that aren't placeholders, is only found word for word: one of a single word in every document that has the
+word.  Items with null ids and several texts under one id are items of their own.  Equal documents get equal results.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from normwerk.llm.common import row_key, stored
 
 WINDOW = 8
 MIN_ITEM = 5
-MIN_COPY = 3
+MIN_COPY = 1
 MIN_LITERAL = 4
 MIN_SHARE = 0.3
 BITMAP_BITS = 1 << 24
@@ -234,41 +234,45 @@ def _probes(items: DataFrame) -> DataFrame:
     What many items share, such as the instructions of a question set, finds no pairs of documents and items, unless it is that share of an item by itself.
     """
     often = items.groupBy("h").agg(F.count("*").alias("_often"))
-    places = items.join(often, "h").groupBy("item_id", "literal", "at").agg(F.max("_often").alias("_often"), F.first("n").alias("_n"))
-    rank = F.row_number().over(Window.partitionBy("item_id", "literal").orderBy("_often", "at"))
-    chosen = places.withColumn("_r", rank).filter(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * MIN_SHARE - 1e-9) + 1).select("item_id", "literal", "at")
-    return items.join(chosen, ["item_id", "literal", "at"], "left_semi").select("item_id", "literal", "h").distinct()
+    places = items.join(often, "h").groupBy("_item", "literal", "at").agg(F.max("_often").alias("_often"), F.first("n").alias("_n"))
+    rank = F.row_number().over(Window.partitionBy("_item", "literal").orderBy("_often", "at"))
+    chosen = places.withColumn("_r", rank).filter(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * MIN_SHARE - 1e-9) + 1).select("_item", "literal", "at")
+    return items.join(chosen, ["_item", "literal", "at"], "left_semi").select("_item", "literal", "h").distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """doc_keys, item_id, n_windows, share for every document and item of which consistent windows cover MIN_SHARE."""
+    """doc_keys, item_id, n_windows, share for every document and item id of which consistent windows cover MIN_SHARE.
+
+    Each pair of id and text is an item of its own; of several under one id, null included, the largest share is given.
+    """
     keys = list(doc_keys)
     literal = F.col("slots").isNull().alias("literal")
-    items = windows(benchmark.select("item_id", "text").distinct(), ["item_id"], "text", None, None)
+    texts = stored(benchmark.select("item_id", "text").distinct().withColumn("_item", F.monotonically_increasing_id()), "benchmark-items")
+    items = windows(texts.select("_item", "text"), ["_item"], "text", None, None)
     items = stored(items.select("*", literal), "benchmark-windows")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WINDOW of them
     hits = stored(windows(docs, keys, text, sizes, _bitmap(items)).select(*keys, "h", "at", "slots", literal), "document-windows")
-    candidates = hits.join(_probes(items), ["h", "literal"]).select(*keys, "item_id").distinct()
-    b = items.select("item_id", "n", "h", "literal", F.col("at").alias("_b"), F.col("slots").alias("_bs"))
-    pairs = candidates.join(b, "item_id").join(hits, [*keys, "h", "literal"])
+    candidates = hits.join(_probes(items), ["h", "literal"]).select(*keys, "_item").distinct()
+    b = items.select("_item", "n", "h", "literal", F.col("at").alias("_b"), F.col("slots").alias("_bs"))
+    pairs = candidates.join(b, "_item").join(hits, [*keys, "h", "literal"])
     values = F.arrays_zip(F.split("_bs", "\x1f").alias("x"), F.split("slots", "\x1f").alias("y"))
     shift = F.when(~F.col("literal"), F.col("at") - F.col("_b"))  # places of literal windows need no distance: all are equal words
-    by_shift = pairs.groupBy(*keys, "item_id", "n", "literal", shift.alias("_shift")).agg(
+    by_shift = pairs.groupBy(*keys, "_item", "n", "literal", shift.alias("_shift")).agg(
         F.collect_set("_b").alias("_places"), F.array_distinct(F.flatten(F.collect_set(values))).alias("_values")
     )
     consistent = F.size("_values") == F.size(F.array_distinct(F.transform("_values", lambda v: v["x"])))
-    covered = by_shift.filter(consistent).groupBy(*keys, "item_id", "n", "literal").agg(F.size(F.array_distinct(F.flatten(F.collect_list("_places")))).cast("long").alias("n_windows"))
+    covered = by_shift.filter(consistent).groupBy(*keys, "_item", "n", "literal").agg(F.size(F.array_distinct(F.flatten(F.collect_list("_places")))).cast("long").alias("n_windows"))
     share = F.col("n_windows") / F.col("n")
-    best = covered.filter(share >= MIN_SHARE).groupBy(*keys, "item_id").agg(F.max(F.struct(F.round(share, 6).alias("share"), "n_windows")).alias("_m"))
+    best = covered.filter(share >= MIN_SHARE).join(texts.select("_item", "item_id"), "_item").groupBy(*keys, "item_id").agg(F.max(F.struct(F.round(share, 6).alias("share"), "n_windows")).alias("_m"))
     return best.select(*keys, "item_id", "_m.n_windows", "_m.share")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row per document: doc_id, contaminated, n_items, item_ids (ascending)."""
+    """A row per document: doc_id, contaminated, n_items, item_ids (ascending); a null id counts as one and isn't listed."""
     keyed = docs.select("doc_id", *row_key("doc_id", "text"), "text")
-    found = matches(keyed, benchmark, doc_keys=("_k1", "_k2")).groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    found = matches(keyed, benchmark, doc_keys=("_k1", "_k2")).groupBy("_k1", "_k2").agg(F.count("*").alias("_n"), F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     return keyed.select("doc_id", "_k1", "_k2").join(found, ["_k1", "_k2"], "left").select(
-        "doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids")
+        "doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids")
     )
 
 

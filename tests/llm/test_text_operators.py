@@ -469,3 +469,15 @@ def test_matches_equal_all_windows_against_all(spark):
     got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     want = plain_contaminated(docs, items)
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(want) > 30
+
+
+def test_items_of_one_and_two_words_without_ids_and_with_one_id(spark):
+    """Found at word borders; an id's texts and null ids are told apart."""
+    rng = random.Random(21)
+    long = [" ".join(rng.choice(WORDS) for _ in range(20)) for _ in range(3)]
+    items = [(1, "zyzzyva"), (2, "Quark soup"), (None, long[0]), (3, long[1]), (3, long[2]), (4, None), (4, ""), (None, "sole")]
+    docs = [(1, "a Zyzzyva, here"), (2, "zyzzyvas"), (3, "quark  soup."), (4, "quark and soup"), (5, "x " + long[0]), (6, long[1] + " y"), (7, long[2]), (8, long[2] + " " + long[1]), (9, "soup quark"), (10, "the sole thing " + long[0])]
+    df, b = spark.createDataFrame([(i, t, "en") for i, t in docs], "doc_id long, text string, lang string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: (r["contaminated"], r["n_items"], list(r["item_ids"])) for r in decontaminate.contaminated(df, b).collect()}
+    assert got == {1: (True, 1, [1]), 2: (False, 0, []), 3: (True, 1, [2]), 4: (False, 0, []), 5: (True, 1, []), 6: (True, 1, [3]), 7: (True, 1, [3]), 8: (True, 1, [3]), 9: (False, 0, []), 10: (True, 1, [])}
+    assert sorted(r["doc_id"] for r in decontaminate.clean(df, b).collect()) == [2, 4, 9]
