@@ -90,6 +90,17 @@ def batch_vector_search(spark, sf_dir):
     return vectors.batch_vector_search(e, q, 5).select("query_id", "id", F.round("sim", 6).alias("sim"), "rank")
 
 
+def approximate_vectors(spark, sf_dir):
+    """Every hundredth vector against a stored index: how many were asked, and whether nine tenths or more of the exact results were found."""
+    e = bridge.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    q = e.filter(F.col("id") % 100 == 0).withColumnRenamed("id", "query_id")
+    index = vectors.hyperplane_index(e.filter("id % 2 = 0"))
+    index.add(e.filter("id % 2 <> 0"))
+    exact, found = vectors.batch_vector_search(e, q, 5), vectors.approximate_vector_search(index, q, 5).select("query_id", "id", F.lit(True).alias("_f"))
+    both = exact.join(found, ["query_id", "id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), (F.count("_f") >= 0.9 * F.count("*")).alias("recalled"))
+
+
 def filtered_memory(spark, sf_dir):
     return tables.optional_filters(bridge.memory(spark, sf_dir), content_type=None, status="active", priority="high").select("id", "content_type", "related_project")
 
@@ -165,7 +176,7 @@ def missing_from_vectors(spark, sf_dir):
     return m.join(ids, "id", "left_semi").groupBy(F.element_at("tags", 1).alias("lang")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (hybrid_search, vector_search, vector_search_filtered, vector_search_builtin, text_search, batch_text_search, batch_text_search_scan, text_search_updated, text_search_compacted, hybrid_search_indexed, batch_vector_search, filtered_memory, list_documents, get_document, idea_bank, by_project, by_tag, by_pattern, pending_embedding, recent, type_summary, embedding_completeness, corpus_totals, validate_memory, memory_with_defaults, missing_from_vectors)}
+QUERIES = {f.__name__: f for f in (hybrid_search, vector_search, vector_search_filtered, vector_search_builtin, text_search, batch_text_search, batch_text_search_scan, text_search_updated, text_search_compacted, hybrid_search_indexed, batch_vector_search, approximate_vectors, filtered_memory, list_documents, get_document, idea_bank, by_project, by_tag, by_pattern, pending_embedding, recent, type_summary, embedding_completeness, corpus_totals, validate_memory, memory_with_defaults, missing_from_vectors)}
 
 _SIM = "list_cosine_similarity(CAST(m.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
 _QV = f"qv AS (SELECT embedding FROM embeddings WHERE vec_id = {QUERY_ID})"
@@ -218,3 +229,4 @@ ORACLE_SQL = {
 }
 ORACLE_SQL["vector_search_builtin"] = ORACLE_SQL["vector_search"]
 ORACLE_SQL |= {"batch_text_search_scan": ORACLE_SQL["batch_text_search"], "text_search_updated": ORACLE_SQL["text_search"], "text_search_compacted": ORACLE_SQL["text_search"], "hybrid_search_indexed": ORACLE_SQL["hybrid_search"]}
+ORACLE_SQL["approximate_vectors"] = "SELECT count(*) AS queries, TRUE AS recalled FROM embeddings WHERE vec_id % 100 = 0"

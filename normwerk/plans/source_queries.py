@@ -201,9 +201,31 @@ def approximate_agents(spark, sf_dir):
     return traffic.approximate_top(traffic.parsed(bridge.access_lines(spark, sf_dir))[0], "ua", 3, bots=False)
 
 
+def _close(found, access, days=None):
+    """`found` with its approximate addresses replaced by whether they are within a twentieth, or two, of the exact number."""
+    kind = F.when(F.col("is_bot"), "bot").otherwise("human").alias("class")
+    a = access if days is None else access.filter(F.to_date("ts").between(*[F.lit(d).cast("date") for d in days]))
+    key = [k for k in ("day", "class") if k in found.columns]
+    exact = a.select(F.to_date("ts").alias("day"), kind, "ip").distinct().groupBy(*key).agg(F.count_distinct("ip").alias("_exact"))
+    near = F.abs(F.col("ips") - F.col("_exact")) <= F.greatest(F.col("_exact") * 0.05, F.lit(2))
+    return found.join(exact, key).withColumn("ips_close", near).drop("ips", "_exact")
+
+
 def approximate_traffic(spark, sf_dir):
-    a = traffic.approximate_by_class(traffic.parsed(bridge.access_lines(spark, sf_dir))[0])
-    return a.select("day", "class", "requests")
+    access = traffic.parsed(bridge.access_lines(spark, sf_dir))[0]
+    return _close(traffic.approximate_by_class(access), access)
+
+
+SKETCHED = ("2024-01-05", "2024-01-20")
+
+
+def sketched_traffic(spark, sf_dir):
+    """A range of days from stored daily sketches: requests, addresses, the commonest agent."""
+    access = traffic.parsed(bridge.access_lines(spark, sf_dir))[0]
+    days = stored(traffic.daily_sketches(access), "sketches")
+    found = traffic.sketched(days, *SKETCHED, n=20)
+    best = F.array_sort("agents", lambda x, y: F.when(x["n"] != y["n"], F.when(x["n"] > y["n"], -1).otherwise(1)).when(x["value"] < y["value"], -1).otherwise(1))[0]
+    return _close(found.withColumns({"agent": best["value"], "agent_n": best["n"]}).drop("agents"), access, SKETCHED)
 
 
 # --- streams, run to the end of what is there -----------------------------------------------------
@@ -224,7 +246,7 @@ def _result(spark, stream, name):
 def traffic_stream(spark, sf_dir):
     """Requests by day and class of the days that are complete."""
     lines = _stream(spark, bridge.access_lines(spark, sf_dir), "stream-lines")
-    return _result(spark, streams.daily_traffic(lines), "stream-traffic").select("day", "class", "requests")
+    return _close(_result(spark, streams.daily_traffic(lines), "stream-traffic"), traffic.parsed(bridge.access_lines(spark, sf_dir))[0])
 
 
 def activity_stream(spark, sf_dir):
@@ -261,7 +283,7 @@ def once_stream(spark, sf_dir):
     return _result(spark, streams.once(_stream(spark, files, "stream-files")), "stream-once").select("sha256")
 
 
-QUERIES = {f.__name__: f for f in (sections_written, corpus_files, tables_read, access_files, catalogue_files, jsonl_written, summary_written, ideas_read, properties_flat, snapshot_merged, errors_appended, one_run, run_figures, doc_codes, pages_split, record_lines, embed_inputs, classifications, report_texts, degraded_requests, approximate_agents, approximate_traffic, traffic_stream, activity_stream, sync_stream, intake_stream, once_stream)}
+QUERIES = {f.__name__: f for f in (sections_written, corpus_files, tables_read, access_files, catalogue_files, jsonl_written, summary_written, ideas_read, properties_flat, snapshot_merged, errors_appended, one_run, run_figures, doc_codes, pages_split, record_lines, embed_inputs, classifications, report_texts, degraded_requests, approximate_agents, approximate_traffic, sketched_traffic, traffic_stream, activity_stream, sync_stream, intake_stream, once_stream)}
 
 _NUMBER = "printf('%d.%02d-%03d-%d', p_partkey % 5 + 1, p_partkey % 30 + 1, p_partkey % 400 + 100, p_partkey % 25 + 1999)"
 _PREFIX = bridge.sql_pick(PREFIXES, "p_partkey % 3")
@@ -292,8 +314,10 @@ SELECT t.doc_id, CAST(page_no AS INTEGER) AS page_no, coalesce(b, '') AS text, C
     "classifications": "SELECT doc_id, CASE WHEN bad THEN 'NOTE' ELSE 'TASK' END AS type, 'message ' || CAST(doc_id AS VARCHAR) AS summary, CASE WHEN bad THEN 'medium' ELSE 'high' END AS priority, CASE WHEN bad THEN 'unclassified' ELSE 'a,b' END AS tags, CASE WHEN NOT bad AND doc_id % 10 <> 0 THEN CAST(doc_id % 10 AS INTEGER) END AS feasibility, CAST(NULL AS INTEGER) AS impact FROM (SELECT doc_id, doc_id % 5 = 0 AS bad FROM documents)",
     "degraded_requests": "SELECT p_partkey // 3 AS request_id, count(*) FILTER (WHERE p_partkey % 7 <> 0) AS ok_count, count(*) FILTER (WHERE p_partkey % 7 <> 0) < 3 AS degraded, count(*) FILTER (WHERE p_partkey % 7 <> 0) = 0 AS failed FROM part GROUP BY 1",
     "approximate_agents": with_views(ACCESS_SQL, then="SELECT ua AS value, count(*) AS n FROM access WHERE NOT is_bot GROUP BY 1 ORDER BY n DESC, value LIMIT 3"),
-    "approximate_traffic": with_views(ACCESS_SQL, then="SELECT CAST(ts AS DATE) AS day, CASE WHEN is_bot THEN 'bot' ELSE 'human' END AS class, count(*) AS requests FROM access GROUP BY 1, 2"),
-    "traffic_stream": with_views(ACCESS_SQL, "d AS (SELECT CAST(ts AS DATE) AS day, CASE WHEN is_bot THEN 'bot' ELSE 'human' END AS class, count(*) AS requests FROM access GROUP BY 1, 2)", then=f"SELECT * FROM d WHERE {_CLOSED.format(ts='ts', table='access')}"),
+    "approximate_traffic": with_views(ACCESS_SQL, then="SELECT CAST(ts AS DATE) AS day, CASE WHEN is_bot THEN 'bot' ELSE 'human' END AS class, count(*) AS requests, TRUE AS ips_close FROM access GROUP BY 1, 2"),
+    "sketched_traffic": with_views(ACCESS_SQL, "s AS (SELECT CASE WHEN is_bot THEN 'bot' ELSE 'human' END AS class, ua FROM access WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20')", "u AS (SELECT class, ua, count(*) AS n, sum(count(*)) OVER (PARTITION BY class) AS requests FROM s GROUP BY 1, 2)",
+        then="SELECT class, CAST(requests AS BIGINT) AS requests, ua AS agent, n AS agent_n, TRUE AS ips_close FROM u QUALIFY row_number() OVER (PARTITION BY class ORDER BY n DESC, ua) = 1"),
+    "traffic_stream": with_views(ACCESS_SQL, "d AS (SELECT CAST(ts AS DATE) AS day, CASE WHEN is_bot THEN 'bot' ELSE 'human' END AS class, count(*) AS requests, TRUE AS ips_close FROM access GROUP BY 1, 2)", then=f"SELECT * FROM d WHERE {_CLOSED.format(ts='ts', table='access')}"),
     "activity_stream": with_views(AGENT_LOGS_SQL, "d AS (SELECT CAST(created_at AS DATE) AS day, agent_id, count(*) AS total, count(*) FILTER (WHERE status = 'success') AS success, count(*) FILTER (WHERE status = 'error') AS error, CAST(floor(avg(duration_ms) + 0.5) AS INTEGER) AS mean_ms FROM agent_logs GROUP BY 1, 2)", then=f"SELECT * FROM d WHERE {_CLOSED.format(ts='created_at', table='agent_logs')}"),
     "sync_stream": "SELECT o_orderkey % 97 AS id, max(o_orderkey) AS version, max(o_orderkey) FILTER (WHERE o_orderkey % 4 <> 0) AS note FROM orders GROUP BY 1 HAVING max(o_orderkey) % 5 <> 0",
     "report_texts": f"SELECT p_partkey, '12/п-' || {_K} AS number, '01.02.2026' AS date, CASE WHEN p_partkey % 3 <> 0 THEN 'Дом ' || {_K} END AS object, CASE WHEN p_partkey % 4 <> 0 THEN 'Текст ' || {_K} || chr(10) END AS conclusions FROM part",

@@ -2,12 +2,13 @@
 
 import datetime as dt
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from normwerk.operators import archetypes, consensus, hygiene, ingest, search, tables, vectors
+from normwerk.operators import archetypes, consensus, hygiene, ingest, search, tables, traffic, vectors
 from normwerk.sources import readers, sinks
 from normwerk.streaming import streams
 
@@ -306,3 +307,19 @@ def test_replayed_batches_and_repeated_keys(spark, tmp_path):
     for _ in range(2):
         sinks.merge_snapshot(new, f"{tmp_path}/snap", "k", buckets=4)
     assert [k for k, _ in rows(spark.read.parquet(f"{tmp_path}/snap").select("k", "v"))] == [1, 2]
+
+
+def test_sketches_of_days_make_any_range(spark):
+    rng = np.random.default_rng(8)
+    rows_ = [(dt.datetime(2026, 1, int(d), 5), f"10.0.{i // 250}.{i % 250}", f"agent {a}", bool(a % 5 == 0)) for d, i, a in zip(rng.integers(1, 11, 20_000), rng.zipf(1.3, 20_000) % 6000, rng.zipf(1.5, 20_000) % 40)]
+    df = spark.createDataFrame(rows_, "ts timestamp, ip string, ua string, is_bot boolean").repartition(3)
+    days = traffic.daily_sketches(df)
+    parts = days.filter("day < '2026-01-05'").unionByName(days.filter("day >= '2026-01-05'"))  # as appended day by day
+    for first, last in ((1, 10), (3, 3), (4, 7)):
+        got = {r["class"]: r for r in traffic.sketched(parts, f"2026-01-{first:02d}", f"2026-01-{last:02d}", 3).collect()}
+        for name, bot in (("bot", True), ("human", False)):
+            some = [r for r in rows_ if r[3] == bot and first <= r[0].day <= last]
+            exact = len({r[1] for r in some})
+            agents = Counter(r[2] for r in some)
+            assert got[name]["requests"] == len(some) and abs(got[name]["ips"] - exact) <= max(2, 0.04 * exact)
+            assert [a["n"] for a in got[name]["agents"]] == [n for _, n in agents.most_common(3)] and all(agents[a["value"]] == a["n"] for a in got[name]["agents"])

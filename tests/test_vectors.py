@@ -80,3 +80,22 @@ def test_pivots_leave_out_cells(spark, monkeypatch):
     assert own.sum() == 640 and len(row) == 640
     row, cell, own = vectors._places(pa.array(m.tolist()), np.full(640, 16), pivots, math.acos(-1.0))
     assert len(row) > 640 * 8  # every earlier cell: all pairs
+
+
+@pytest.mark.parametrize(("kind", "hot"), [("groups", 4096), ("even", 4096), ("groups", 30)])
+def test_approximate_search_recalls(spark, kind, hot):
+    """Near neighbours come from buckets, the others from the exact join; so do queries of buckets that are too large."""
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(1500, 16))
+    if kind == "groups":
+        m = m[rng.integers(0, 90, 1500)] + rng.normal(scale=0.1, size=(1500, 16))
+    df = frame(spark, [*((i, v.tolist()) for i, v in enumerate(m)), *((i + 5000, v) for i, v in ODD)])
+    q = df.filter("id < 100 or id >= 5000").withColumnRenamed("id", "query_id")
+    index = vectors.hyperplane_index(df.filter("id % 3 <> 0"), a_bucket=32)
+    index.add(df.filter("id % 3 = 0"))
+    want = {(r["query_id"], r["id"]): (r["rank"], r["sim"]) for r in vectors.batch_vector_search(df.filter("id < 5000"), q.filter("query_id < 5000"), 5).collect()}
+    got = {(r["query_id"], r["id"]): (r["rank"], r["sim"]) for r in vectors.approximate_vector_search(index, q, 5, hot=hot).collect()}
+    assert len(got) == len(want) == 500 and len(got.keys() & want.keys()) >= 0.97 * len(want)
+    if kind == "even" or hot < 100:
+        assert got.keys() == want.keys()
+    assert all(got[x][1] == pytest.approx(want[x][1], abs=1e-9) for x in got.keys() & want.keys())
