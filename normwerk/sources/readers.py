@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from normwerk.sources.keyset import KeysetSource
+
 DUMP = "memory array<struct<id string, content string, content_type string, summary string, tags array<string>, source string, priority string, status string, related_project string, created_at string>>, projects array<struct<id string, name string, description string, status string, agents array<string>>>, agent_logs array<struct<agent_id string, action string, status string, duration_ms int, created_at string>>"
 
 
@@ -14,11 +18,24 @@ def read_corpus(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFr
     return raw.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.sha2("content", 256).alias("sha256"))
 
 
-def read_table(spark: SparkSession, url: str, table: str, key: str | None = None, partitions: int = 8, bounds: tuple[int, int] | None = None, properties: dict[str, str] | None = None) -> DataFrame:
-    """A remote table over JDBC, in ranges of its key that are read side by side; a Parquet path in place of a JDBC URL is read as such."""
+def register(spark: SparkSession) -> None:
+    """Make the `keyset` format known to the session, and let comparisons be sent along to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(KeysetSource)
+
+
+def read_table(spark: SparkSession, url: str, table: str, key: str = "id", partitions: int = 8, bounds: tuple[int, int] | None = None, properties: dict[str, str] | None = None, schema: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
+    """A remote table, in ranges of its key that are read side by side where `bounds` (the least and the largest, for integers) are given.
+
+    http(s) URLs are read page by page (see sources.keyset; `schema` has the columns), jdbc URLs by the database's driver; any other is a path of Parquet files.
+    """
+    if url.startswith(("http://", "https://")):
+        register(spark)
+        cuts = [bounds[0] + (bounds[1] - bounds[0]) * i // partitions for i in range(1, partitions)] if bounds else []
+        return spark.read.format("keyset").schema(schema).options(url=url, table=table, key=key, bounds=json.dumps(sorted(set(cuts))), **(options or {})).load()
     if not url.startswith("jdbc:"):
         return spark.read.parquet(f"{url.rstrip('/')}/{table}.parquet")
-    if key is None or bounds is None:
+    if bounds is None:
         return spark.read.jdbc(url, table, properties=properties)
     return spark.read.jdbc(url, table, column=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions, properties=properties)
 
