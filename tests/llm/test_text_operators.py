@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+import zstandard
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -481,3 +482,73 @@ def test_items_of_one_and_two_words_without_ids_and_with_one_id(spark):
     got = {r["doc_id"]: (r["contaminated"], r["n_items"], list(r["item_ids"])) for r in decontaminate.contaminated(df, b).collect()}
     assert got == {1: (True, 1, [1]), 2: (False, 0, []), 3: (True, 1, [2]), 4: (False, 0, []), 5: (True, 1, []), 6: (True, 1, [3]), 7: (True, 1, [3]), 8: (True, 1, [3]), 9: (False, 0, []), 10: (True, 1, [])}
     assert sorted(r["doc_id"] for r in decontaminate.clean(df, b).collect()) == [2, 4, 9]
+
+
+def plain_sizes(text, dictionaries, level):
+    """Bytes of each piece of 1,024 under each dictionary, by the library alone."""
+    plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    raw = text.encode("utf-8", "replace")
+    out = []
+    for a in range(0, len(raw), 1024):
+        row = [len(raw[a : a + 1024])]
+        for d in dictionaries:
+            more = {"dict_data": zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if len(d) >= 8 else {}
+            row.append(len(zstandard.ZstdCompressor(level=level, **plain, **more).compress(raw[a : a + 1024])))
+        out.append(row)
+    return out
+
+
+def test_quality_equals_a_plain_loop(spark):
+    """Sizes, differences and the calibrated score of every text; the calibration is the least of its loss."""
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.choice([5, 80, 900]))) if i % 3 else "".join(rng.choice("XYZ!$ ") for _ in range(rng.choice([20, 3000]))) for i in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0) if i % 17 else int(i % 3 == 0)) for i in range(120)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    extra = [(200, ""), (201, None), (202, "é" * 5000), (203, texts[0]), (204, texts[0])]
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs.unionByName(spark.createDataFrame(extra, docs.schema)), model).collect()}
+    x = {}
+    for i, t in [*enumerate(texts), *extra]:
+        rows = plain_sizes(t or "", model["dictionaries"], 6)
+        total = [sum(r[j] for r in rows) for j in range(4)]
+        each = [(r[3] - r[2]) / r[1] for r in rows]
+        x[i] = [(total[3] - total[2]) / total[1], min(each), max(each)] if rows else [0.0] * 3
+    c = model["calibration"]
+
+    def chance(v):
+        z = [max(-4.0, min(4.0, (a - m) / s)) for a, m, s in zip(v, c.mean, c.scale)]
+        terms = [1.0, *z, *(z[i] * z[j] for i in range(3) for j in range(i, 3))]
+        return 1 / (1 + np.exp(-sum(w * t for w, t in zip(c.w, terms))))
+
+    for i, v in x.items():
+        p = chance(v)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(np.log(p / (1 - p)) + model["shift"]))), abs=1e-9)
+    assert got[203] == got[204] == got[0]
+    y = np.array([i % 3 > 0 for i in range(160)], dtype=float)
+    m = np.array([x[i] for i in range(160)])
+    best = quality.Calibration(m, y)
+    loss = lambda w: -np.sum(y * np.log(p := np.clip(1 / (1 + np.exp(-np.clip(best._matrix(m) @ w, -30, 30))), 1e-15, 1 - 1e-15)) + (1 - y) * np.log(1 - p)) + 0.5 * np.sum(w[1:] ** 2)
+    steps = np.random.default_rng(0).normal(scale=0.05, size=(200, len(best.w)))
+    assert all(loss(best.w) <= loss(best.w + d) + 1e-9 for d in steps)
+
+
+def test_language_equals_a_plain_loop(spark):
+    rng = random.Random(15)
+    vocabulary = {k: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(40)] for k, letters in (("aa", "abcdefgh"), ("bb", "ghijklmn"), ("cc", "mnopqrst"))}
+    docs = [(i, " ".join(rng.choice(vocabulary[k]) for _ in range(rng.choice([4, 60, 700]))), k) for i, k in enumerate(["aa", "bb", "cc"] * 30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    texts = [*(t for _, t, _ in docs), *(f"{docs[i][1]} {docs[i + 1][1]}" for i in range(20)), None, "", "12 34", "Q", docs[0][1].upper()]
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model).orderBy("i").collect()
+    kinds = set()
+    for t, r in zip(texts, got, strict=True):
+        if not t or not any(c.isalpha() for c in t):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        rows = plain_sizes(f" {t.lower()} ", [d for _, d in model], langid.LEVEL)
+        sizes = [sum(x[j] for x in rows) for j in range(1, 4)]
+        best = min(range(3), key=sizes.__getitem__)
+        margin = sorted(sizes)[1] - sizes[best]
+        assert r["lang_pred"] == model[best][0] and r["score"] == pytest.approx(1 - 0.5 ** min(margin, 60)) and r["rejected"] == (margin < max(1, 0.002 * sizes[best]))
+        kinds.add(r["rejected"])
+    assert kinds == {True, False}
