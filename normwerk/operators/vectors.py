@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from normwerk.operators.archetypes import clusters
 from normwerk.sources.shared import new_path, stored
 
 #: Of the block that a cell holds; rows that stream past it before there is another cell; tasks of a join.
@@ -262,22 +263,27 @@ def _places(lists: pa.Array, length: np.ndarray, pivots: list[np.ndarray], reach
     return tuple(np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (rows, cells, own))
 
 
-def similarity_links(df: DataFrame, threshold: float) -> DataFrame:
-    """a, b: links among the rows of `df` (id, embedding), enough of them to make all components of pairs of at least the threshold.
+def _directed(df: DataFrame) -> DataFrame:
+    """Rows of `df` (id, embedding) whose vector has a direction."""
+    good = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists("embedding", lambda e: e != 0)
+    return df.filter(F.coalesce(good, F.lit(False)))
+
+
+def _distinct(df: DataFrame) -> DataFrame:
+    """id (the least), v, length, w (how many) of each distinct vector, stored."""
+    return stored(df.groupBy("embedding").agg(F.min("id").cast("long").alias("id"), F.count("*").alias("w")).select("id", F.col("embedding").alias("v"), F.size("embedding").alias("length"), "w"), "distinct-vectors")
+
+
+def _near_cells(rows: DataFrame, threshold: float) -> tuple[DataFrame, int]:
+    """Cells (cell, side, id, v, w) in which each pair of `rows` (id, v, length, w; stored) of at least the threshold comes together once, and how many cells there are.
 
-    Equal vectors are one row first.  Rows go to the cell of their nearest pivot (of at most PIVOTS, those with the smallest hashes) and to those cells in which, by the triangle
+    Rows go to the cell of their nearest pivot (of at most PIVOTS, those with the smallest hashes) and to those cells in which, by the triangle
     inequality of angles, a partner can lie; vectors in groups meet few others, and at worst, with a low threshold, every row meets all.  A cell's own rows are held in blocks, so
     one that a third of all rows are in is many tasks.
     """
-    good = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists("embedding", lambda e: e != 0)
-    kept = df.filter(F.coalesce(good, F.lit(False)))
-    rows = stored(kept.groupBy("embedding").agg(F.min("id").cast("long").alias("id")).select("id", F.col("embedding").alias("v"), F.size("embedding").alias("length")), "distinct-vectors")
-    copies = kept.join(rows.select(F.col("id").alias("_first"), F.col("v").alias("embedding")), "embedding").filter("id <> _first").select(F.col("id").cast("long").alias("a"), F.col("_first").alias("b"))
     n, width = rows.agg(F.count("*"), F.max("length")).first()
-    if not n:
-        return copies
     held = _held_rows(width)
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, -(-n // held))).select("v").collect()  # bounded by PIVOTS
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, -(-n // held)))).select("v").collect()  # bounded by PIVOTS
     pivots = [np.array(r["v"], dtype=np.float64) / np.linalg.norm(np.array(r["v"], dtype=np.float64)) for r in chosen]
     reach = math.acos(max(-1.0, min(1.0, threshold)))
 
@@ -307,10 +313,91 @@ def similarity_links(df: DataFrame, threshold: float) -> DataFrame:
             for i in range(0, len(which), 4096):
                 some = slice(i, i + 4096)
                 taken = pa.array(row[which[some]])
-                yield pa.RecordBatch.from_arrays([pa.array((start[which] + j)[some]), pa.array(side[some].astype(np.int32)), pa.array(ids[row[which[some]]]), b.column("v").take(taken)], ["cell", "side", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array((start[which] + j)[some]), pa.array(side[some].astype(np.int32)), *(b.column(c).take(taken) for c in ("id", "v", "w"))], ["cell", "side", "id", "v", "w"])
+
+    return rows.mapInArrow(dealt, f"cell long, side int, id long, v {rows.schema['v'].dataType.simpleString()}, w long"), total
+
+
+def similarity_links(df: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links among the rows of `df` (id, embedding), enough of them to make all components of pairs of at least the threshold.
+
+    Equal vectors are one row first; see `_near_cells` for what is compared.
+    """
+    kept = _directed(df)
+    rows = _distinct(kept)
+    copies = kept.join(rows.select(F.col("id").alias("_first"), F.col("v").alias("embedding")), "embedding").filter("id <> _first").select(F.col("id").cast("long").alias("a"), F.col("_first").alias("b"))
+    if rows.isEmpty():
+        return copies
+    cells, n = _near_cells(rows, threshold)
+    return joined(cells, n, lambda: _Links(threshold), "a long, b long").unionByName(copies).distinct()
+
 
-    cells = rows.mapInArrow(dealt, f"cell long, side int, id long, v {rows.schema['v'].dataType.simpleString()}")
-    return joined(cells, total, lambda: _Links(threshold), "a long, b long").unionByName(copies).distinct()
+class _Counts:
+    """How many rows of at least the threshold each row has, copies counted: for what is held among itself and for both sides of what streams past."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.parts = threshold, []
+        self.unit: np.ndarray | None = None
+
+    def hold(self, part: pa.RecordBatch) -> None:
+        self.parts.append(part)
+
+    def _near(self, unit: np.ndarray) -> np.ndarray:
+        return (np.round(unit @ self.unit.T, 12) >= self.threshold).astype(np.int64)
+
+    def _ready(self) -> None:
+        held = pa.Table.from_batches(self.parts).combine_chunks().to_batches()[0] if self.parts else None
+        self.ids, self.w = (held.column(c).to_numpy() if held else np.zeros(0, dtype=np.int64) for c in ("id", "w"))
+        self.unit, self.parts = (units(held.column("v"))[0] if held else np.zeros((0, 1))), []
+        self.n = np.concatenate([self._near(self.unit[i : i + _AT_ONCE]) @ self.w for i in range(0, len(self.ids), _AT_ONCE)] or [self.w])
+
+    def meet(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if self.unit is None:
+            self._ready()
+        for i in range(0, part.num_rows if len(self.ids) else 0, _AT_ONCE):
+            some = part.slice(i, _AT_ONCE)
+            near = self._near(units(some.column("v"))[0])
+            self.n += some.column("w").to_numpy() @ near
+            yield self._batch(some.column("id").to_numpy(), near @ self.w)
+
+    @staticmethod
+    def _batch(ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids[n > 0]), pa.array(n[n > 0])], ["id", "n"])
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.unit is None:
+            self._ready()
+        yield self._batch(self.ids, self.n)
+
+
+def neighbour_counts(df: DataFrame, threshold: float) -> DataFrame:
+    """id, n: how many rows of `df` (id, embedding) are at least so similar, itself among them; rows without a direction are left out.
+
+    A pair is compared once and counts for both; vectors with copies count as often as there are such.
+    """
+    kept = _directed(df)
+    rows = _distinct(kept)
+    if rows.isEmpty():
+        return kept.select(F.col("id").cast("long").alias("id"), F.lit(0).cast("long").alias("n"))
+    cells, cell_count = _near_cells(rows, threshold)
+    n = joined(cells, cell_count, lambda: _Counts(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    of = rows.join(n, "id").select(F.col("v").alias("embedding"), "n")
+    return kept.join(of, "embedding").select(F.col("id").cast("long").alias("id"), "n")
+
+
+def density_clusters(df: DataFrame, threshold: float, least: int = 3) -> DataFrame:
+    """id, cluster, core of every row of `df` (id, embedding; distinct ids).
+
+    A core row has at least `least` rows of at least the threshold, itself among them.  Core rows that are so similar are of one cluster, named by its smallest id; other rows belong to the cluster of their most
+    similar core row, of equal ones that with the smallest id, if there is one so similar, and to none (null) otherwise.  So clusters join only where rows lie densely, and not by a chain of single ones.
+    """
+    rows = df.select(F.col("id").cast("long").alias("id"), "embedding")
+    counted = stored(rows.join(neighbour_counts(rows, threshold).filter(F.col("n") >= least), "id", "left").select("id", "embedding", F.col("n").isNotNull().alias("core")), "density")
+    core = counted.filter("core").select("id", "embedding")
+    of = stored(clusters(similarity_links(core, threshold), core), "density-clusters")
+    near = batch_vector_search(core, counted.filter(~F.col("core")).select(F.col("id").alias("query_id"), "embedding"), 1, threshold)
+    border = near.join(of, "id").select(F.col("query_id").alias("id"), "cluster")
+    return counted.select("id", "core").join(of.unionByName(border), "id", "left").select("id", "cluster", "core")
 
 
 # --- approximate ----------------------------------------------------------------------------------

@@ -158,6 +158,12 @@ def comment_clusters(spark, sf_dir):
     return archetypes.clusters(vectors.similarity_links(e, 0.45), e.select("id"))
 
 
+def density_clusters(spark, sf_dir):
+    """Vectors with two others of 0.4 or more lie densely; clusters of such, with what is near them."""
+    e = bridge.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return vectors.density_clusters(e, 0.4, 3)
+
+
 def vote_consensus(spark, sf_dir):
     return consensus.label_consensus(bridge.votes(spark, sf_dir))
 
@@ -183,7 +189,7 @@ def near_positions(spark, sf_dir):
     return consensus.position_consensus(placed).groupBy("request_id").agg(F.count("*").alias("pairs"))
 
 
-QUERIES = {f.__name__: f for f in (labelled_rows, next_unlabelled, labelling_stats, label_buckets, validate_reviews, citations, sft_rows, dpo_rows, critic_rows, training_set, export_summary, review_fields, comment_jobs, archetypes_promoted, archetype_statistics, severity_check, only_major_reports, axis_frequencies, six_axis_frequencies, report_shares, pareto, pareto_summary, top_archetypes, regional_drift, drift_significance, review_flags, quotes_checked, comment_clusters, vote_consensus, vote_levels, majority_type, unanimous_votes, near_positions)}
+QUERIES = {f.__name__: f for f in (labelled_rows, next_unlabelled, labelling_stats, label_buckets, validate_reviews, citations, sft_rows, dpo_rows, critic_rows, training_set, export_summary, review_fields, comment_jobs, archetypes_promoted, archetype_statistics, severity_check, only_major_reports, axis_frequencies, six_axis_frequencies, report_shares, pareto, pareto_summary, top_archetypes, regional_drift, drift_significance, review_flags, quotes_checked, comment_clusters, density_clusters, vote_consensus, vote_levels, majority_type, unanimous_votes, near_positions)}
 
 _LAB = "l AS (SELECT *, CASE WHEN marked AND level <> 'certain' THEN level END AS conf FROM cv WHERE final_decision IS NOT NULL AND expert_verdict IS NOT NULL)"
 
@@ -244,3 +250,9 @@ ORACLE_SQL["drift_significance"] = f"""WITH d AS ({ORACLE_SQL["regional_drift"]}
 p AS (SELECT archetype_id, z, CASE WHEN z IS NOT NULL THEN round(least(1.0, 2 * exp(-z * z / 2) * 0.3989422804014327 * ({_TAIL})), 9) END AS p FROM t), r AS (SELECT *, count(*) OVER (ORDER BY p) AS rank, count(*) OVER () AS m FROM p WHERE p IS NOT NULL),
 q AS (SELECT *, round(min(p * m / rank) OVER (ORDER BY p DESC), 9) AS q FROM r)
 SELECT p.archetype_id, p.z, round(p.p, 6) AS p, round(q, 6) AS q, coalesce(q <= 0.5, FALSE) AS significant FROM p LEFT JOIN q ON q.archetype_id = p.archetype_id"""
+ORACLE_SQL["density_clusters"] = """WITH RECURSIVE s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 12) AS sim FROM embeddings a, embeddings b),
+l AS (SELECT * FROM s WHERE sim >= 0.4), core AS (SELECT a AS id FROM l GROUP BY a HAVING count(*) >= 3),
+k AS (SELECT a, b FROM l WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+r(id, x) AS (SELECT id, id FROM core UNION SELECT r.id, k.b FROM r JOIN k ON k.a = r.x), c AS (SELECT id, min(x) AS cluster FROM r GROUP BY id),
+e AS (SELECT a AS id, b FROM l WHERE a NOT IN (SELECT id FROM core) AND b IN (SELECT id FROM core) QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) = 1)
+SELECT vec_id AS id, coalesce(c.cluster, d.cluster) AS cluster, c.id IS NOT NULL AS core FROM embeddings LEFT JOIN c ON c.id = vec_id LEFT JOIN e ON e.id = vec_id LEFT JOIN c d ON d.id = e.b"""

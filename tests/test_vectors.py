@@ -99,3 +99,27 @@ def test_approximate_search_recalls(spark, kind, hot):
     if kind == "even" or hot < 100:
         assert got.keys() == want.keys()
     assert all(got[x][1] == pytest.approx(want[x][1], abs=1e-9) for x in got.keys() & want.keys())
+
+
+@pytest.mark.parametrize(("threshold", "groups", "held"), [(0.97, 12, 25), (0.9, 30, 4096), (0.5, 8, 30)])
+def test_density_clusters(spark, monkeypatch, threshold, groups, held):
+    monkeypatch.setattr(vectors, "HELD_ROWS", held)
+    rng = np.random.default_rng(groups)
+    m = np.concatenate([points(rng, 120, groups), rng.normal(size=(60, 6))])
+    m[::4] = m[0] + rng.normal(scale=0.02, size=(45, 6))
+    m[5] = m[9] = m[77]
+    n = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sim = np.round(n @ n.T, 12)
+    near = sim >= threshold
+    core = near.sum(1) >= 4
+    label = {i: i for i in range(180) if core[i]}
+    while (new := {i: min(label[j] for j in label if near[i, j]) for i in label}) != label:
+        label = new
+    for i in range(180):
+        if not core[i]:
+            some = [j for j in label if near[i, j] and core[j]]
+            label[i] = label[min(some, key=lambda j: (-sim[i, j], j))] if some else None
+    df = frame(spark, [*((i, v.tolist()) for i, v in enumerate(m)), *ODD[:5]])
+    got = {r["id"]: (r["cluster"], r["core"]) for r in vectors.density_clusters(df, threshold, 4).collect()}
+    assert got == {i: (label[i], bool(core[i])) for i in range(180)} | {i: (None, False) for i, _ in ODD[:5]}
+    assert {c for c, _ in got.values()} >= {None} or threshold < 0.9
