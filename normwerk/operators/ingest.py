@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from normwerk.functions import text as t
-from normwerk.operators.tables import first_by
+from normwerk.operators.tables import first_by, running_sum
+from normwerk.sources.shared import stored
 
 
 def clauses(docs: DataFrame, least: int = 30) -> DataFrame:
@@ -64,15 +65,27 @@ def fallback_reasons(page_rows: DataFrame) -> DataFrame:
 
 
 def rendered(rows: DataFrame) -> DataFrame:
-    """doc_id, text: a document's clauses in natural order of their sections, each under its heading.
-
-    A document is one row here.  Where documents outgrow a row, write the clauses with `repartition("doc_id")` and
-    `sortWithinPartitions` instead.
-    """
+    """doc_id, text: a document's clauses in natural order of their sections, each under its heading.  A document is one row here; see `rendered_parts` for larger ones."""
     parts = F.sort_array(F.collect_list(F.struct(t.section_key("section_path").alias("k"), F.col("pos"), F.concat(F.lit("## п."), F.col("clause_no"), F.lit("\n\n"), F.col("body")).alias("t"))))
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n").alias("text"))
 
 
+def rendered_parts(rows: DataFrame, size: int = 1 << 20) -> DataFrame:
+    """doc_id, part (from 0, with gaps where a clause is longer than `size`), start, text: the rendered documents in parts of whole clauses, of about `size` characters.
+
+    `start` is the part's first character in the document; parts one after another are the text of `rendered`.  Clauses are ordered and their places added up over ranges, so
+    neither a document nor the clauses of one have to meet in one task.
+    """
+    text = F.concat(F.lit("## п."), F.col("clause_no"), F.lit("\n\n"), F.col("body"), F.lit("\n\n"))
+    each = rows.select("doc_id", t.section_key("section_path").alias("_k"), "pos", text.alias("_t")).withColumn("_n", F.length("_t").cast("long"))
+    placed = stored(running_sum(each, "_n", [F.col("doc_id"), F.col("_k"), F.col("pos"), F.col("_t")], "_end"), "rendered-places")
+    first = placed.groupBy("doc_id").agg(F.min(F.col("_end") - F.col("_n")).alias("_first"), F.max("_end").alias("_last"))
+    start = placed.join(first, "doc_id").withColumn("start", F.col("_end") - F.col("_n") - F.col("_first"))
+    own = F.when(F.col("_end") == F.col("_last"), F.substring("_t", F.lit(1), (F.col("_n") - 2).cast("int"))).otherwise(F.col("_t"))  # nothing follows the last clause
+    parts = start.groupBy("doc_id", F.floor(F.col("start") / size).alias("part")).agg(F.min("start").alias("start"), F.sort_array(F.collect_list(F.struct("start", own.alias("t")))).alias("_p"))
+    return parts.select("doc_id", "part", "start", F.array_join(F.transform("_p", lambda x: x["t"]), "").alias("text"))
+
+
 def run_counters(documents: DataFrame, clause_rows: DataFrame, errors: DataFrame, pages: DataFrame | None = None, stored_rows: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
     """One row per run: documents, clauses, errors; with their tables also pages, inserted and updated (`stored_rows` has is_new) and duration_ms (`runs` has started_at, finished_at)."""
     n = lambda df, **c: df.groupBy("run_id").agg(*[x.alias(k) for k, x in c.items()])

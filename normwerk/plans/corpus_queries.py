@@ -26,6 +26,16 @@ def rendered_documents(spark, sf_dir):
     return ingest.rendered(ingest.clauses(bridge.clause_texts(spark, sf_dir))).select("doc_id", F.md5("text").alias("text_md5"))
 
 
+def rendered_in_parts(spark, sf_dir):
+    """Documents in parts of about 500 characters, put together again."""
+    parts = ingest.rendered_parts(ingest.clauses(bridge.clause_texts(spark, sf_dir)), 500)
+    whole = parts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "text"))).alias("p"))
+    joined = F.array_join(F.transform("p", lambda x: x["text"]), "")
+    follows = F.forall(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.col("p")[i]["start"] == F.col("p")[i - 1]["start"] + F.length(F.col("p")[i - 1]["text"]))
+    gapless = F.when(F.size("p") == 1, True).otherwise(follows)
+    return whole.filter(gapless).select("doc_id", F.md5(joined).alias("text_md5"))
+
+
 def documents_with_clauses(spark, sf_dir):
     """How many orders are rendered and how many have no clause."""
     c = bridge.table(spark, sf_dir, "lineitem").filter("l_quantity > 40").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
@@ -206,7 +216,7 @@ def anonymised(spark, sf_dir):
     return bridge.table(spark, sf_dir, "documents").select("doc_id", n["email"].cast("bigint").alias("emails"), F.regexp_count(new, F.lit("<email>")).cast("bigint").alias("marks"))
 
 
-QUERIES = {f.__name__: f for f in (clauses, clause_hashes, rendered_documents, documents_with_clauses, unfinished_inputs, latest_runs, recent_runs, changed_clauses, upsert_orders, upsert_keeping, upsert_counts, upsert_parts, page_tiers, page_fallbacks, run_counters, catalogue_headers, catalogue_matches, catalogue_missing, files_unlisted, files_per_complex, top_missing, linked_folders, changed_links, union_of_roots, safe_names, colliding_names, audit_summary, worst_files, normalization_totals, normalized_pages, documents_per_section, numbered_records, document_types, anonymised)}
+QUERIES = {f.__name__: f for f in (clauses, clause_hashes, rendered_documents, rendered_in_parts, documents_with_clauses, unfinished_inputs, latest_runs, recent_runs, changed_clauses, upsert_orders, upsert_keeping, upsert_counts, upsert_parts, page_tiers, page_fallbacks, run_counters, catalogue_headers, catalogue_matches, catalogue_missing, files_unlisted, files_per_complex, top_missing, linked_folders, changed_links, union_of_roots, safe_names, colliding_names, audit_summary, worst_files, normalization_totals, normalized_pages, documents_per_section, numbered_records, document_types, anonymised)}
 
 _SIDES = """o AS (SELECT o_orderkey, o_orderstatus, o_totalprice AS price FROM orders), old AS (SELECT * FROM o WHERE o_orderkey % 3 <> 0),
 new AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN 'N' END AS o_orderstatus, price + 1 AS price FROM o WHERE o_orderkey % 2 = 0)"""
@@ -281,3 +291,4 @@ SELECT unnest(['crlf','nbsp','tabs','url_junk','empty_links','word_anchors','htm
 SELECT doc_id, CASE WHEN top <= 0 THEN 'other' WHEN other = top THEN 'other' WHEN en = top THEN 'en' WHEN de = top THEN 'de' ELSE 'fr' END AS key, CASE WHEN top <= 0 THEN 0.1::DOUBLE ELSE round_even(least(top / total, 1), 2) END AS confidence FROM b""",
     "anonymised": r"SELECT doc_id, len(regexp_extract_all(text, '[a-zA-Z0-9_.+\-]+@[a-zA-Z0-9_\-]+(?:\.[a-zA-Z0-9_\-]+)+')) AS emails, len(regexp_extract_all(text, '[a-zA-Z0-9_.+\-]+@[a-zA-Z0-9_\-]+(?:\.[a-zA-Z0-9_\-]+)+')) AS marks FROM documents",
 }
+ORACLE_SQL["rendered_in_parts"] = ORACLE_SQL["rendered_documents"]
