@@ -388,3 +388,56 @@ def repair(df: DataFrame, copies: str | None = None) -> tuple[DataFrame, DataFra
         F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
     )
     return report, repaired_rows(rows, segments)
+
+
+#: Of the query op11: damage (with a checksum made in SQL), faults and the least edits, row by row.
+ORACLE = r"""
+WITH RECURSIVE bits(n, k, c) AS (
+  SELECT CAST(n AS BIGINT), 0, CAST(n AS BIGINT) FROM range(256) t(n)
+  UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+), tab AS (
+  SELECT list(c ORDER BY n) AS tab FROM bits WHERE k = 8
+), raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS place FROM conversations
+), kinds AS (
+  SELECT raw.*, xor(list_reduce(list_concat([4294967295], list_transform(string_split(place, ''), lambda s: CAST(ascii(s) AS BIGINT))), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) % 20 AS kind FROM raw, tab
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged
+), found AS (
+  SELECT *, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    coalesce(substr(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1, 1) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au'), FALSE) AND i > 1 AS illegal FROM numbered
+), judged AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM found
+), follow(s, t, name) AS (
+  VALUES ('', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')
+), inserts AS (
+  SELECT s, s AS t, '' AS letters, CAST([] AS VARCHAR[]) AS lines FROM follow
+  UNION ALL SELECT s, t, 'I', [name || ':'] FROM follow
+  UNION ALL SELECT x.s, y.t, 'II', [x.name || ':', y.name || ':'] FROM follow x JOIN follow y ON y.s = x.t
+), steps AS (
+  SELECT s, s AS t, 'D' AS letters, 3 AS cost, CAST([] AS VARCHAR[]) AS lines, 'D' AS op, '' AS name FROM follow
+  UNION ALL SELECT i.s, k.t, i.letters || 'K', 2 * length(i.letters), i.lines, 'K', k.t FROM inserts i JOIN (SELECT s, t FROM follow UNION ALL SELECT '', 's') k ON k.s = i.t
+  UNION ALL SELECT i.s, f.t, i.letters || 'R', 2 * length(i.letters) + 2, i.lines, 'R', f.name FROM inserts i JOIN follow f ON f.s = i.t
+), ways(conv_id, i, s, cost, audit, lines) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), '', 0, '', CAST([] AS VARCHAR[]) FROM judged
+  UNION ALL
+  SELECT conv_id, i, t, cost, audit, lines FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, t ORDER BY cost, audit) AS o FROM (
+    SELECT w.conv_id, w.i + 1 AS i, p.t, w.cost + p.cost + CASE WHEN p.op <> 'D' AND j.fault = 'truncated' THEN 1 ELSE 0 END AS cost, w.audit || p.letters AS audit,
+      list_concat(w.lines, p.lines, CASE p.op WHEN 'K' THEN [j.role || ':' || j.text] WHEN 'R' THEN [p.name || ':' || j.text] ELSE [] END) AS lines
+    FROM ways w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1 JOIN steps p ON p.s = w.s AND (p.op = 'D' OR j.fault NOT IN ('blank', 'duplicate')) AND (p.op <> 'K' OR p.name = substr(j.role, 1, 1))
+  )) WHERE o = 1
+), facts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE illegal) AS illegal FROM judged GROUP BY conv_id
+), ends AS (
+  SELECT w.conv_id, w.cost + 2 * length(e.letters) AS cost, w.audit || e.letters AS audit, list_concat(w.lines, e.lines) AS lines
+  FROM ways w JOIN facts f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.i JOIN inserts e ON e.s = w.s AND e.t IN ('', 'a')
+  QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + 2 * length(e.letters), w.audit || e.letters) = 1
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

@@ -116,4 +116,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_media_ogg, op2_quality_zstd, op3_langid_zstd, op4_token_parquet, op5_line_templates, op6_benchmark_templates, op7_best_fit_packing, op8_url_rules, op9_license_templates, op10_simhash_anchors, op11_conversation_repair, op12_vector_graph, op13_phrases, pipeline)}
 
-ORACLE_SQL = {"op5_line_templates": line_templates.ORACLE, "op8_url_rules": url_rules.ORACLE, "op13_phrases": phrases.ORACLE}
+ORACLE_SQL = {"op5_line_templates": line_templates.ORACLE, "op8_url_rules": url_rules.ORACLE, "op11_conversation_repair": conversations.ORACLE, "op13_phrases": phrases.ORACLE}

@@ -5,7 +5,9 @@ import itertools
 import random
 import re
 import zlib
+from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +144,12 @@ def test_query(spark, tmp_path):
         of += [(t, role, "" if k == 1 else re.sub("[.!?]", "", text) if k == 2 else text)] * {0: 0, 3: 2}.get(k, 1)
     got = {r["conv_id"]: tuple(r)[1:] for r in queries.op11_conversation_repair(spark, str(tmp_path)).collect()}
     assert got == {c: plain_report(conv) for c, conv in convs.items()} and any(not conv for conv in convs.values())
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_query_equals_its_sql(spark):
+    con = duckdb.connect()
+    con.sql("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.01/conversations.parquet'")
+    want = con.sql(conversations.ORACLE)
+    got = queries.op11_conversation_repair(spark, "/root/testdata/sf0.01")
+    assert got.columns == list(want.columns) and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
