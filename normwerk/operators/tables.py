@@ -16,24 +16,27 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str])
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def _matched(old: DataFrame, new: DataFrame, key: str, how: str = "full_outer") -> DataFrame:
+    """Old rows and the new ones with their key, whose columns begin with `_n_`; null keys are one key, as any other value is."""
+    n = new.select(F.col(key).alias("_key"), F.lit(True).alias("_new"), *[F.col(c).alias(f"_n_{c}") for c in new.columns if c != key])
+    return old.join(n, F.col(key).eqNullSafe(F.col("_key")), how).withColumn(key, F.coalesce(key, "_key"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, keep_if_null: Sequence[str] = ()) -> DataFrame:
-    """Incoming rows replace all columns of the old row with their key, nulls included, but for the columns named."""
-    n = new.select(F.col(key), F.lit(True).alias("_new"), *[F.col(c).alias(f"_n_{c}") for c in new.columns if c != key])
-    j = old.join(n, key, "full_outer")
+    """Incoming rows replace all columns of the old row with their key (null is a key too), nulls included, but for the columns named.  Keys are distinct on either side."""
     pick = lambda c: F.when(F.col("_new"), F.coalesce(f"_n_{c}", c) if c in keep_if_null else F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c)
-    return j.select(key, *[pick(c) if f"_n_{c}" in n.columns else F.col(c) for c in old.columns if c != key])
+    return _matched(old, new, key).select(key, *[pick(c) if c in new.columns else F.col(c) for c in old.columns if c != key])
 
 
 def upsert_coalescing(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Incoming values that aren't null replace the old ones."""
-    n = new.select(F.col(key), *[F.col(c).alias(f"_n_{c}") for c in new.columns if c != key])
-    return old.join(n, key, "full_outer").select(key, *[F.coalesce(f"_n_{c}", c).alias(c) if f"_n_{c}" in n.columns else F.col(c) for c in old.columns if c != key])
+    return _matched(old, new, key).select(key, *[F.coalesce(f"_n_{c}", c).alias(c) if c in new.columns else F.col(c) for c in old.columns if c != key])
 
 
 def upsert_counts(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """One row: inserted, updated."""
-    known = old.select(F.col(key), F.lit(True).alias("_old")).distinct()
-    return new.select(key).distinct().join(known, key, "left").agg(F.count_if(F.col("_old").isNull()).alias("inserted"), F.count_if(F.col("_old").isNotNull()).alias("updated"))
+    both = _matched(new.select(key).distinct(), old.select(key).distinct(), key, "left")
+    return both.agg(F.count_if(F.col("_new").isNull()).alias("inserted"), F.count_if(F.col("_new").isNotNull()).alias("updated"))
 
 
 def unchanged_skipped(new: DataFrame, old: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -151,6 +151,17 @@ def test_significance(spark):
     assert sum(r["significant"] for r in got.values()) >= 4
 
 
+def test_null_keys_are_one_key(spark, tmp_path):
+    old = spark.createDataFrame([(1, "a", "x"), (None, "n", "y")], "id int, s string, t string")
+    new = spark.createDataFrame([(None, "m", None), (2, "b", None)], "id int, s string, t string")
+    assert sorted(rows(tables.upsert(old, new, "id", ["t"])), key=repr) == sorted([(1, "a", "x"), (None, "m", "y"), (2, "b", None)], key=repr)
+    assert sorted(rows(tables.upsert_coalescing(old, new, "id")), key=repr) == sorted([(1, "a", "x"), (None, "m", "y"), (2, "b", None)], key=repr)
+    assert rows(tables.upsert_counts(old, new, "id")) == [(1, 1)]
+    for _ in range(3):  # replays add nothing
+        sinks.merge_snapshot(new, f"{tmp_path}/snap", "id")
+    assert spark.read.parquet(f"{tmp_path}/snap").count() == 2
+
+
 def test_consensus(spark):
     v = spark.createDataFrame([(1, m, "T", 10.0 + 4 * i, 99.0) for i, m in enumerate("abc")] + [(1, "a", "T", 60.0, 60.0)], "request_id int, model string, type string, x double, y double").withColumn("element", F.monotonically_increasing_id())
     assert consensus.position_consensus(v).count() == 3
