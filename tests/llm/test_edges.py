@@ -60,6 +60,22 @@ def test_odd_rows_come_out_as_often_as_they_came_in(spark, odd, name):
     assert sorted(map(repr, got)) == sorted(repr(i) for i, _, _ in rows)
 
 
+def test_odd_rows_have_the_stated_values(spark, odd):
+    """Not only as many rows: what null, empty, repeated and very long texts get."""
+    at, rows = odd
+    take = lambda q: {k: [r for r in out if r["doc_id"] == k] for out in [queries.QUERIES[q](spark, at).collect()] for k in (1, 2, 3, 5, 6, None)}
+    language = take("op3_langid_zstd")
+    assert {r["lang_pred"] for k in (1, 2, 5) for r in language[k]} == {"und"} and {r["lang_pred"] for r in language[3]} == {"en"} and len({tuple(r) for r in language[3]}) == 1
+    quality_ = take("op2_quality_zstd")
+    assert quality_[1][0]["score"] == quality_[2][0]["score"] and len({tuple(r) for r in quality_[3]}) == len({tuple(r) for r in quality_[6]}) == 1
+    lines = take("op5_line_templates")
+    assert all(r["n_dropped"] == 0 for k in (1, 2, 5) for r in lines[k]) and lines[2][0]["n_chars"] == 0
+    leaks = take("op6_benchmark_templates")
+    assert all(not r["contaminated"] and r["n_items"] == 0 and list(r["item_ids"]) == [] for k in (1, 2, 5) for r in leaks[k])
+    scans = take("op9_license_templates")
+    assert all(r["n_words"] == 0 and r["first_word"] is None and r["labels"] == "" for k in (1, 2, 5) for r in scans[k])
+
+
 def test_odd_rows_are_packed_and_piped(spark, odd):
     at, rows = odd
     got = queries.op7_best_fit_packing(spark, at).collect()
