@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -168,61 +167,48 @@ def forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links_of_sorted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ordered by key; holds one key's rows (at most HOT) and one batch."""
+    """Rows ordered by key; holds one key's rows (those of a cell at most) and one batch, and returns each batch's links once."""
     kept_key, kept = None, np.zeros(0, dtype=np.int64)
-    seen: set[tuple[int, int]] = set()
 
     def out(groups: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for g in groups:
-            m, r = forest(g)
-            for x in zip(m.tolist(), r.tolist(), strict=True):
-                if x not in seen:
-                    seen.add(x)
-                    a.append(x[0])
-                    b.append(x[1])
-        if len(seen) > 200_000:
-            seen.clear()
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        found = [x for x in (forest(g) for g in groups) if len(x[0])]
+        if found:
+            pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     for batch in it:
         key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         if not len(key):
             continue
         cuts = np.flatnonzero(np.diff(key)) + 1
-        parts = np.split(fp, cuts)
         firsts = key[np.concatenate([[0], cuts])]
-        if kept_key == firsts[0]:
-            parts[0] = np.concatenate([kept, parts[0]])
-        elif len(kept) > 1:
-            parts.insert(0, kept)
-        kept_key, kept = firsts[-1], parts.pop()
-        yield from out([p for p in parts if len(p) > 1])
+        ends = [0, *cuts.tolist(), len(key)]
+        groups: list[np.ndarray] = []
+        for k, first, last in zip(firsts.tolist(), ends, ends[1:], strict=False):
+            if k != kept_key:
+                if len(kept) > 1:
+                    groups.append(kept)
+                kept_key, kept = k, fp[first:last]
+            else:
+                kept = np.concatenate([kept, fp[first:last]])
+        kept = kept.copy()  # not a view of the batch
+        yield from out(groups)
     if len(kept) > 1:
         yield from out([kept])
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """a, b: links among distinct fingerprints `fp`, enough of them to make all components."""
+    """a, b: links among distinct fingerprints `fp`, enough of them to make all components.
+
+    Cells of hot keys have their number's hash for a key; two that shared one would only be compared with each other too.
+    """
     copies = stored(replicas(nodes), "simhash-replicas")
     hot = copies.groupBy("key").count().filter(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("_n"))
     few = copies.join(hot.select("key"), "key", "left_anti")
-    normal = few.repartition("key").sortWithinPartitions("key").mapInArrow(_links_of_sorted, "a long, b long")
     block = F.pmod(F.xxhash64("fp"), F.col("_n")).cast("int")
-    cells = (
-        copies.join(hot, "key")
-        .withColumn("_b", block)
-        .withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-        .select("key", F.least("_b", "_c").alias("_i"), F.greatest("_b", "_c").alias("_j"), "fp")
-    )
-
-    def cell(g: pd.DataFrame) -> pd.DataFrame:
-        m, r = forest(g["fp"].to_numpy(dtype=np.int64).copy())
-        return pd.DataFrame({"a": m, "b": r})
-
-    large = cells.groupBy("key", "_i", "_j").applyInPandas(cell, "a long, b long")
-    return normal.unionByName(large).distinct()
+    cells = copies.join(hot, "key").withColumn("_b", block).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    dealt = few.unionByName(cells.select(F.xxhash64("key", F.least("_b", "_c"), F.greatest("_b", "_c")).alias("key"), "fp"))
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links_of_sorted, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, name: str = "simhash") -> DataFrame:
