@@ -1,5 +1,6 @@
 """Tokens, packing, near duplicates, line templates, decontamination, classifiers and the pipeline against plain versions."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -184,35 +185,48 @@ def test_components_of_a_chain_and_a_star(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def plain_templates(rows):
-    """The same rule by plain loops: words -> masked -> leaves -> constant words -> templates."""
-    lines = []
-    for n, (_, t) in enumerate(rows):
-        for at, line in enumerate((t or "").split("\n")):
-            w = ["<*>" if any(c.isascii() and c.isdigit() for c in x) else x for x in line.split()]
-            if len(w) >= line_templates.MIN_WORDS:
-                lines.append((n, at, tuple(w)))
-    leaf = lambda w: (len(w), w[: line_templates.DEPTH])
-    support = defaultdict(int)
-    for _, _, w in lines:
+def plain_templates(rows, spare_copies=False):
+    """The same rule by plain loops: words -> masked -> leaves -> constant words -> two templates a form -> documents of each."""
+    lt = line_templates
+    held = defaultdict(set)  # form: its documents
+    forms = {}
+    for row in set(rows):
+        for at, line in enumerate((row[1] or "").split("\n")):
+            w = tuple("<*>" if any(c.isascii() and c.isdigit() for c in x) else x for x in line.split())
+            if len(w) >= lt.MIN_WORDS:
+                held[w].add(row)
+                forms[row, at] = w
+    leaf = lambda w: (len(w), w[: lt.DEPTH])
+    support, every = defaultdict(int), defaultdict(int)
+    for w, docs in held.items():
+        every[leaf(w)] += len(docs)
         for p, x in enumerate(w):
-            support[leaf(w), p, x] += 1
+            support[leaf(w), p, x] += len(docs)
+
+    def template(w, share):
+        t = tuple(x if x != "<*>" and support[leaf(w), p, x] >= max(lt.MIN_DOCS, share * every[leaf(w)]) else "<*>" for p, x in enumerate(w))
+        return (leaf(w), t) if sum(x != "<*>" for x in t) >= lt.MIN_CONSTANT * len(t) else None
+
+    both = {w: [template(w, lt.CONSTANT_SHARE), template(w, 0)] for w in held}
     docs = defaultdict(set)
-    of = []
-    for n, at, w in lines:
-        t = tuple(x if x != "<*>" and support[leaf(w), p, x] >= line_templates.MIN_DOCS else "<*>" for p, x in enumerate(w))
-        if sum(x != "<*>" for x in t) >= line_templates.MIN_CONSTANT * len(t):
-            docs[leaf(w), t].add(rows[n])
-            of.append((n, at, (leaf(w), t)))
-    gone = defaultdict(set)
-    for n, at, k in of:
-        if len(docs[k]) >= line_templates.MIN_DOCS:
-            gone[n].add(at)
-    out = []
-    for n, (i, t) in enumerate(rows):
-        left = "\n".join(x for at, x in enumerate((t or "").split("\n")) if at not in gone[n])
-        out.append((i, left if gone[n] and len(left) * 2 >= len(t) else t))
-    return out
+    for w, ts in both.items():
+        for t in ts:
+            docs[t] |= held[w]
+    again = {w: next((t for t in ts if t and len(docs[t]) >= lt.MIN_DOCS), None) for w, ts in both.items()}
+    gone = {row: {at: again[w] for (r, at), w in forms.items() if r == row and again[w]} for row in set(rows)}
+    if spare_copies:
+        lines = lambda row: (row[1] or "").split("\n")
+        much = [r for r in gone if r[1] and gone[r] and (len(r[1]) - sum(len(lines(r)[at]) + 1 for at in gone[r])) < len(r[1]) * (1 - lt.MAX_SHARE)]
+        rest = {r: (tuple(sorted(gone[r].items())), tuple((at, x) for at, x in enumerate(lines(r)) if at not in gone[r])) for r in much}
+        single = {r: sum(x == rest[r] for x in rest.values()) < 2 for r in much}
+        order = lambda r: hashlib.md5(r[1].encode()).hexdigest()[:15]
+        first = {}
+        for r in much:
+            for t in gone[r].values():
+                first[t] = min(first.get(t, (True, "g")), (single[r], order(r)))
+        for r in much:
+            gone[r] = {at: t for at, t in gone[r].items() if first[t][1] != order(r)} if single[r] else {}
+    return [(i, t if not gone[i, t] else "\n".join(x for at, x in enumerate(t.split("\n")) if at not in gone[i, t])) for i, t in rows]
 
 
 def test_op5(spark, tmp_path):
@@ -225,7 +239,22 @@ def test_op5(spark, tmp_path):
     want = plain_templates(rows)
     assert sorted(repr((r["doc_id"], r["text"])) for r in got.collect()) == sorted(map(repr, want))
     assert "Posted by" not in dict(want)[3] and "Read more" not in dict(want)[3] and "call us" not in dict(want)[3]
-    assert line_templates.drop_lines(df.limit(0)).count() == 0
+    spared = line_templates.drop_lines(df, spare_copies=True)
+    assert sorted(repr((r["doc_id"], r["text"])) for r in spared.collect()) == sorted(map(repr, plain_templates(rows, spare_copies=True)))
+    assert line_templates.drop_lines(df.limit(0)).count() == line_templates.drop_lines(df.limit(0), spare_copies=True).count() == 0
+
+
+@pytest.mark.parametrize("own", [60, 6, 0])
+def test_op5_drops_a_shared_passage_whatever_its_share(spark, own):
+    """Pages with much, little and nothing of their own; only with spare_copies does one page keep the passage, or all copies stay."""
+    rng = random.Random(own)
+    passage = "this passage of two lines stands in all of the pages\nand its second line closes what the first began to say"
+    rows = [(i, passage + ("\n" + " ".join(f"{rng.choice(WORDS)}{chr(97 + rng.randrange(26))}" for _ in range(own)) if own else "")) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for spare, kept in ((False, 0), (True, {60: 0, 6: 1, 0: 6}[own])):
+        got = line_templates.drop_lines(df, dropped="n", spare_copies=spare).collect()
+        assert sum("passage" in r["text"] for r in got) == kept and {r["n"] for r in got} <= {0, 2}
+        assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(plain_templates(rows, spare))
 
 
 ITEMS = [
@@ -317,7 +346,7 @@ def test_pipeline(spark, tmp_path, rows):
         if name == "language":
             assert sorted(map(repr, b)) == sorted(repr(x) for x in a if x[1] and any(c.isalpha() for c in x[1]))
         if name == "lines":
-            assert sorted(map(repr, b)) == sorted(map(repr, plain_templates(a)))
+            assert sorted(map(repr, b)) == sorted(map(repr, plain_templates(a, spare_copies=True)))
         if name == "near_duplicates":
             roots = components_of({(i, n): plain_print(t) for n, (i, t) in enumerate(a)})
             assert sorted(i for i, _ in b) == sorted({r for r in roots.values() if r is not None})
@@ -384,12 +413,12 @@ def test_templates_do_not_depend_on_size(spark, n):
 
 
 def test_mostly_shared_documents_lose_the_passage(spark):
-    """Pages of a long shared passage and a short text of their own; of the second passage, no page is a copy."""
+    """With copies spared: pages of a long shared passage and a short text of their own; of the second passage, no page is a copy."""
     rng = random.Random(15)
     p, q = ("\n".join(prose(rng, 30) for _ in range(4)) for _ in range(2))
     own = [prose(rng, 12) for _ in range(16)]
     rows = [(i, f"{p if i < 8 else q}\n{t}") for i, t in enumerate(own)] + [(16, f"{p}\n{own[0]}")] + [(17, f"{prose(rng, 400)}\n{p}")]
-    got = {r["doc_id"]: (r["text"], r["n"]) for r in line_templates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), dropped="n").collect()}
+    got = {r["doc_id"]: (r["text"], r["n"]) for r in line_templates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), dropped="n", spare_copies=True).collect()}
     whole = [i for i in range(17) if got[i] == (rows[i][1], 0)]
     assert [i for i in whole if not 8 <= i < 16] == [0, 16] and len(whole) == 3
     assert all(got[i] == (own[i], 4) for i in range(16) if i not in whole) and got[17] == (rows[17][1].split("\n")[0], 4)
