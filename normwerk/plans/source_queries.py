@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from normwerk.functions import crossval, text
@@ -49,6 +50,36 @@ def tables_read(spark, sf_dir):
     return readers.read_table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
 
 
+def dump_read(spark, sf_dir):
+    """Dumps of documents, orders and events, an object for 5,000 ids of each, read back by ranges of bytes."""
+    path = new_path(spark, "dump")
+    d, o, e = (bridge.table(spark, sf_dir, t) for t in ("documents", "orders", "events"))
+    arrays = [
+        ("memory", d, "doc_id", F.struct(_s(F.col("doc_id")).alias("id"), F.col("text").alias("content"), F.col("lang").alias("content_type"), F.array(F.lit("a}"), F.lit('b"')).alias("tags"))),
+        ("projects", o, "o_orderkey", F.struct(_s(F.col("o_orderkey")).alias("id"), F.concat(F.lit('{"'), "o_orderpriority", F.lit('\\"}],')).alias("name"), F.col("o_orderstatus").alias("status"))),
+        ("agent_logs", e, "event_id", F.struct(_s(F.col("event_id")).alias("agent_id"), F.col("event_type").alias("action"), F.col("user_id").cast("int").alias("duration_ms"), F.col("props").alias("status"))),
+    ]
+    lines = None
+    for i, (name, df, key, row) in enumerate(arrays):
+        k = F.floor(F.col(key) / 5000)
+        rows = df.select(k.alias("k"), F.lit(2 * i + 1).alias("kind"), F.col(key).cast("long").alias("id"), F.to_json(row).alias("value"))
+        rows = rows if lines is None else lines.unionByName(rows)
+        lines = rows.unionByName(df.select(k.alias("k")).distinct().select("k", F.lit(2 * i).alias("kind"), F.lit(0).cast("long").alias("id"), F.lit(f'"{name}": [').alias("value")))
+    ends = lines.select("k").distinct()
+    for kind, mark in ((-1, '{"version": [1, 2], "note": "]}",'), (6, '"rest": {"memory": {"id": "no"}, "n": 1}}')):
+        lines = lines.unionByName(ends.select("k", F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("id"), F.lit(mark).alias("value")))
+    after = F.lead("kind").over(Window.partitionBy("k").orderBy("kind", "id"))  # rows of one object, a bounded number
+    element = F.col("kind") % 2 == 1
+    mark = F.when((F.col("kind") > 0) & element, F.when(after == F.col("kind"), ",").otherwise("],")).otherwise("")
+    out = lines.select("k", "kind", "id", F.concat("value", mark).alias("value")).repartition("k").sortWithinPartitions("k", "kind", "id")
+    out.select("k", "value").write.partitionBy("k").text(path)
+    t = readers.read_dump(spark, path)
+    memory = t["memory"].select(F.lit("memory").alias("array"), "id", F.md5("content").alias("text_md5"), F.col("content_type").alias("kind"), F.size("tags").alias("n"))
+    projects = t["projects"].select(F.lit("projects").alias("array"), "id", F.md5("name").alias("text_md5"), F.col("status").alias("kind"), F.lit(0).alias("n"))
+    logs = t["agent_logs"].select(F.lit("agent_logs").alias("array"), F.col("agent_id").alias("id"), F.md5("status").alias("text_md5"), F.col("action").alias("kind"), F.col("duration_ms").alias("n"))
+    return memory.unionByName(projects).unionByName(logs)
+
+
 def access_files(spark, sf_dir):
     """Compressed logs, every hundredth line of which is another's: requests by status, and the unreadable ones."""
     path = new_path(spark, "access")
@@ -283,7 +314,7 @@ def once_stream(spark, sf_dir):
     return _result(spark, streams.once(_stream(spark, files, "stream-files")), "stream-once").select("sha256")
 
 
-QUERIES = {f.__name__: f for f in (sections_written, corpus_files, tables_read, access_files, catalogue_files, jsonl_written, summary_written, ideas_read, properties_flat, snapshot_merged, errors_appended, one_run, run_figures, doc_codes, pages_split, record_lines, embed_inputs, classifications, report_texts, degraded_requests, approximate_agents, approximate_traffic, sketched_traffic, traffic_stream, activity_stream, sync_stream, intake_stream, once_stream)}
+QUERIES = {f.__name__: f for f in (sections_written, corpus_files, tables_read, dump_read, access_files, catalogue_files, jsonl_written, summary_written, ideas_read, properties_flat, snapshot_merged, errors_appended, one_run, run_figures, doc_codes, pages_split, record_lines, embed_inputs, classifications, report_texts, degraded_requests, approximate_agents, approximate_traffic, sketched_traffic, traffic_stream, activity_stream, sync_stream, intake_stream, once_stream)}
 
 _NUMBER = "printf('%d.%02d-%03d-%d', p_partkey % 5 + 1, p_partkey % 30 + 1, p_partkey % 400 + 100, p_partkey % 25 + 1999)"
 _PREFIX = bridge.sql_pick(PREFIXES, "p_partkey % 3")
@@ -293,6 +324,8 @@ ORACLE_SQL = {
     "sections_written": "SELECT coalesce(lang, 'none') AS section, 'doc_' || CAST(doc_id AS VARCHAR) || '.md' AS name, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS n_chars FROM documents",
     "corpus_files": "SELECT coalesce(lang, 'none') AS section, count(*) AS n FROM documents GROUP BY 1",
     "tables_read": "SELECT o_orderstatus, count(*) AS n, max(o_orderkey) AS last FROM orders GROUP BY 1",
+    "dump_read": """SELECT 'memory' AS "array", CAST(doc_id AS VARCHAR) AS id, md5(text) AS text_md5, lang AS kind, 2::INTEGER AS n FROM documents
+UNION ALL SELECT 'projects', CAST(o_orderkey AS VARCHAR), md5('{"' || o_orderpriority || '\\"}],'), o_orderstatus, 0 FROM orders UNION ALL SELECT 'agent_logs', CAST(event_id AS VARCHAR), md5(props), event_type, CAST(user_id AS INTEGER) FROM events""",
     "access_files": with_views(ACCESS_SQL, then="SELECT status, count(*) AS n FROM access GROUP BY 1 UNION ALL SELECT 0, count(*) FROM events WHERE event_id % 100 = 0"),
     "catalogue_files": with_views(CATALOGUE_SQL, f"c AS (SELECT row_no, coalesce(last_value(complex IGNORE NULLS) OVER (ORDER BY row_no), '{NO_HEADER}') AS complex, is_header FROM catalogue)", then="SELECT row_no, complex FROM c WHERE NOT is_header"),
     "jsonl_written": REVIEW_SQL["training_set"],

@@ -7,9 +7,15 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from normwerk.sources.dump import elements
 from normwerk.sources.keyset import KeysetSource
+from normwerk.sources.shared import stored
 
-DUMP = "memory array<struct<id string, content string, content_type string, summary string, tags array<string>, source string, priority string, status string, related_project string, created_at string>>, projects array<struct<id string, name string, description string, status string, agents array<string>>>, agent_logs array<struct<agent_id string, action string, status string, duration_ms int, created_at string>>"
+DUMP = {
+    "memory": "id string, content string, content_type string, summary string, tags array<string>, source string, priority string, status string, related_project string, created_at string",
+    "projects": "id string, name string, description string, status string, agents array<string>",
+    "agent_logs": "agent_id string, action string, status string, duration_ms int, created_at string",
+}
 
 
 def read_corpus(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
@@ -41,10 +47,9 @@ def read_table(spark: SparkSession, url: str, table: str, key: str = "id", parti
 
 
 def read_dump(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Three tables from a JSON object with three arrays that other text may wrap."""
-    text = spark.read.text(path, wholetext=True)
-    parsed = text.select(F.from_json(F.regexp_extract("value", r"(?s)(\{.*\})", 1), DUMP).alias("d"))
-    return {k: parsed.select(F.inline(F.coalesce(f"d.{k}", F.expr(f"filter(d.{k}, x -> false)")))) for k in ("memory", "projects", "agent_logs")}
+    """Three tables from JSON objects with three arrays that other text may wrap, each read by as many tasks as its bytes ask for (see sources.dump)."""
+    found = stored(elements(spark, path), "dump-elements")
+    return {k: found.filter(F.col("array") == k).select(F.from_json("element", columns).alias("_e")).select("_e.*") for k, columns in DUMP.items()}
 
 
 def read_access_log(spark: SparkSession, glob: str, partitions: int | None = None) -> DataFrame:
