@@ -57,9 +57,9 @@ def approximate_top(access: DataFrame, column: str, n: int, bots: bool, tracked:
     return best.select(F.inline("_t")).select(F.col("item").alias("value"), F.col("count").alias("n"))
 
 
-def approximate_by_class(access: DataFrame) -> DataFrame:
-    """day, class, addresses (approximate, by sketches), requests."""
-    return access.groupBy(F.to_date("ts").alias("day"), F.when(F.col("is_bot"), "bot").otherwise("human").alias("class")).agg(F.approx_count_distinct("ip").alias("ips"), F.count("*").alias("requests"))
+def approximate_by_class(access: DataFrame, error: float = 0.01) -> DataFrame:
+    """day, class, addresses (approximate, by sketches), requests; `error` is the standard error of addresses, so it has to be a small part of the error that a reader can bear."""
+    return access.groupBy(F.to_date("ts").alias("day"), F.when(F.col("is_bot"), "bot").otherwise("human").alias("class")).agg(F.approx_count_distinct("ip", error).alias("ips"), F.count("*").alias("requests"))
 
 
 def _class() -> Column:

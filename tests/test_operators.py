@@ -334,3 +334,16 @@ def test_sketches_of_days_make_any_range(spark):
             agents = Counter(r[2] for r in some)
             assert got[name]["requests"] == len(some) and abs(got[name]["ips"] - exact) <= max(2, 0.04 * exact)
             assert [a["n"] for a in got[name]["agents"]] == [n for _, n in agents.most_common(3)] and all(agents[a["value"]] == a["n"] for a in got[name]["agents"])
+
+
+def _visits():
+    """Lines of 60 days, each with its own number of addresses, and the exact numbers."""
+    exact = {dt.date(2026, 1, 1) + dt.timedelta(d): 100 + 23 * d for d in range(60)}
+    line = '10.{}.{}.{} - - [{:%d/%b/%Y}:10:00:00 +0000] "GET /a HTTP/1.1" 200 5 "-" "Mozilla"'
+    return [(line.format(d.day, i // 250, i % 250, d),) for d, n in exact.items() for i in range(n)], exact
+
+
+def test_approximate_addresses_of_every_day_are_close(spark):
+    lines, exact = _visits()
+    got = {r["day"]: r["ips"] for r in traffic.approximate_by_class(traffic.parsed(spark.createDataFrame(lines, "line string"))[0]).collect()}
+    assert got.keys() == exact.keys() and all(abs(got[d] - n) <= max(2, 0.05 * n) for d, n in exact.items())
