@@ -49,10 +49,10 @@ def intake(stream: DataFrame, memory_path: str, log_path: str, bad_path: str, ch
     return _run(stream, each, checkpoint)
 
 
-def daily_traffic(lines: DataFrame) -> DataFrame:
-    """day, class, addresses (approximate: streams can't count distinct values exactly), requests; lines later than a day are left out."""
+def daily_traffic(lines: DataFrame, error: float = 0.01) -> DataFrame:
+    """day, class, addresses (approximate, with `error` as standard error: streams can't count distinct values exactly), requests; lines later than a day are left out."""
     a = lines.select(parse_access_line("line").alias("r")).filter(F.col("r.ts").isNotNull()).select("r.*").withWatermark("ts", LATE)
-    return a.groupBy(F.window("ts", "1 day").alias("w"), F.when(is_bot("ua"), "bot").otherwise("human").alias("class")).agg(F.approx_count_distinct("ip").alias("ips"), F.count("*").alias("requests")).select(F.to_date("w.start").alias("day"), "class", "ips", "requests")
+    return a.groupBy(F.window("ts", "1 day").alias("w"), F.when(is_bot("ua"), "bot").otherwise("human").alias("class")).agg(F.approx_count_distinct("ip", error).alias("ips"), F.count("*").alias("requests")).select(F.to_date("w.start").alias("day"), "class", "ips", "requests")
 
 
 def daily_activity(logs: DataFrame) -> DataFrame:

@@ -347,3 +347,11 @@ def test_approximate_addresses_of_every_day_are_close(spark):
     lines, exact = _visits()
     got = {r["day"]: r["ips"] for r in traffic.approximate_by_class(traffic.parsed(spark.createDataFrame(lines, "line string"))[0]).collect()}
     assert got.keys() == exact.keys() and all(abs(got[d] - n) <= max(2, 0.05 * n) for d, n in exact.items())
+
+
+def test_streamed_addresses_of_every_day_are_close(spark, tmp_path):
+    lines, exact = _visits()
+    spark.createDataFrame(lines, "line string").write.parquet(f"{tmp_path}/in")
+    streams.to_table(streams.daily_traffic(spark.readStream.schema("line string").parquet(f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    got = {r["day"]: r["ips"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert len(got) >= len(exact) - 2 and all(abs(n - exact[d]) <= max(2, 0.05 * exact[d]) for d, n in got.items())
