@@ -1,10 +1,12 @@
 """Near copies: groups of texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts that are equal after lower-casing and white space are one node.  Candidates come from minhash: BANDS keys of ROWS minima each, of which
-two texts at 0.8 share at least one with a chance of 0.998 (more above).  Candidates are confirmed by their whole shingle sets; components of what is
-confirmed are the groups.
+Texts that are equal after lower-casing and white space are one node.  Candidates come from SimHash by anchor-point covering first (see `simhash`), over the
+same shingles: nodes whose fingerprints share a pair of anchors and differ in at most RADIUS bits.  No two within simhash.BITS bits are missed; beyond,
+whether anchors are shared is a matter of chance (two texts at 0.8 are about 10 bits apart).  So what the anchors haven't brought together is searched by
+minhash after them: BANDS keys of ROWS minima each, of which two texts at 0.8 share at least one with a chance of 0.998 (more above).  Candidates of both
+are confirmed by their whole shingle sets; components of what is confirmed are the groups.
 
-The nodes of a key are not all compared with each other.  First, rows are range-partitioned and ordered by key and a hash that differs
+The nodes of a minhash key are not all compared with each other.  First, rows are range-partitioned and ordered by key and a hash that differs
 from key to key, and each row is a candidate with the REACH rows of its key before it: a key that most rows have is spread over all tasks, and
 in a large group each member meets others in each of its keys.  That is complete for keys of up to REACH + 1 nodes, and for larger ones
 all of whose nodes have come together.  In the others, the nodes outside the key's largest component are then compared with all that
@@ -27,10 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from normwerk.llm.common import stored
-from normwerk.llm.simhash import _LOWER, components
+from normwerk.llm.simhash import _LOWER, components, links, majority
 
 WORDS = 5
 SIMILAR = 0.8
+RADIUS = 14
 BANDS = 20
 ROWS = 6
 REACH = 4
@@ -61,10 +64,10 @@ def band_keys(h: np.ndarray) -> list[int]:
 
 
 def nodes_of(df: DataFrame, text: str = "text", bands: bool = True) -> DataFrame:
-    """`df` with `text` replaced by node, n (shingles) and keys, or without `bands` by node and set (the hashes as bytes)."""
+    """`df` with `text` replaced by node, n (shingles), fp (SimHash of the shingles, signed) and keys, or without `bands` by node and set (the hashes as bytes)."""
     keep = [f for f in df.schema.fields if f.name != text]
     names = [f.name for f in keep]
-    more = [T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))] if bands else [T.StructField("set", T.BinaryType())]
+    more = [T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))] if bands else [T.StructField("set", T.BinaryType())]
     schema = T.StructType([*keep, T.StructField("node", T.LongType()), *more])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +77,8 @@ def nodes_of(df: DataFrame, text: str = "text", bands: bool = True) -> DataFrame
             nodes = pa.array([k for k, _ in of], pa.int64())
             if bands:
                 keys = [np.array(band_keys(h), dtype=np.uint64).view(np.int64) for _, h in of]
-                new = [pa.array([len(h) for _, h in of], pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+                fp = np.array([majority(h) for _, h in of], dtype=np.uint64).view(np.int64)
+                new = [pa.array([len(h) for _, h in of], pa.int32()), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))]
             else:
                 new = [pa.array([h.tobytes() for _, h in of], pa.binary())]
             yield pa.RecordBatch.from_arrays([*[b.column(at(x)) for x in names], nodes, *new], schema.names)
@@ -83,15 +87,15 @@ def nodes_of(df: DataFrame, text: str = "text", bands: bool = True) -> DataFrame
 
 
 def _near_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, n) ordered by key -> candidates a, b: rows of one key at most REACH apart whose sizes allow the similarity."""
-    kept = [np.zeros(0, dtype=np.int64)] * 3
+    """Rows (key, node, n, root) ordered by key -> candidates a, b: rows of one key and two roots, at most REACH apart, whose sizes allow the similarity."""
+    kept = [np.zeros(0, dtype=np.int64)] * 4
     for batch in it:
-        key, node, n = cols = [np.concatenate([k, batch.column(i).to_numpy(zero_copy_only=False)]) for i, k in enumerate(kept)]
+        key, node, n, root = cols = [np.concatenate([k, batch.column(i).to_numpy(zero_copy_only=False)]) for i, k in enumerate(kept)]
         a, b = [], []
         for d in range(1, REACH + 1):
             i = np.arange(max(len(kept[0]), d), len(key))
             x, y = n[i], n[i - d]
-            i = i[(key[i] == key[i - d]) & (node[i] != node[i - d]) & (np.minimum(x, y) >= SIMILAR * np.maximum(x, y))]
+            i = i[(key[i] == key[i - d]) & (root[i] != root[i - d]) & (np.minimum(x, y) >= SIMILAR * np.maximum(x, y))]
             a.append(np.maximum(node[i], node[i - d]))
             b.append(np.minimum(node[i], node[i - d]))
         kept = [c[-REACH:] for c in cols]
@@ -135,6 +139,24 @@ def _sets(texts: DataFrame, keys: list[str], nodes: DataFrame, wanted: DataFrame
     return nodes_of(some, bands=False).groupBy("node").agg(F.first("set").alias("set"))
 
 
+def _anchor_pairs(nodes: DataFrame) -> DataFrame:
+    """a, b: nodes of equal fingerprints, or of two that share a pair of anchors and differ in at most RADIUS bits."""
+    some = nodes.filter("n > 0")
+    prints = stored(some.groupBy("fp").agg(F.min("node").alias("first")), "near-fingerprints")
+    equal = some.select("node", "fp").join(prints, "fp").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    first = lambda c: prints.select(F.col("fp").alias(f"_{c}"), F.col("first").alias(c))
+    near = links(prints.select("fp"), RADIUS, direct=True).withColumnsRenamed({"a": "_a", "b": "_b"})
+    return equal.unionByName(near.join(first("a"), "_a").join(first("b"), "_b").select("a", "b"))
+
+
+def _links(texts: DataFrame, keys: list[str], nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """Those of the `pairs` (a, b) of nodes whose whole sets are similar."""
+    some = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = stored(_sets(texts, keys, nodes, some), name)
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("_x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("_y")), "b")
+    return both.select("a", "b", "_x", "_y").mapInArrow(_confirmed, "a long, b long")
+
+
 def _open_keys(banded: DataFrame, of: DataFrame) -> DataFrame:
     """key, node, n, root, main (the root of most of the key's nodes), few, all (nodes outside main, nodes) for keys of more than REACH + 1 nodes that aren't one component."""
     large = stored(banded.groupBy("key").count().filter(F.col("count") > REACH + 1).select("key"), "near-large")
@@ -162,15 +184,15 @@ def roots(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, root: a row per row of `df`, whose groups of near copies share a root; `keys` tell texts apart."""
     texts = df.select(*keys, F.col(text).cast("string").alias("text"))
     prints = stored(nodes_of(texts), "near-prints")
-    nodes = stored(prints.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(F.struct(*keys)).alias("_of")), "near-nodes")
-    banded = stored(nodes.select(F.explode("keys").alias("key"), "node", "n").withColumn("_r", F.xxhash64("key", "node")), "near-bands")
+    nodes = stored(prints.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min(F.struct(*keys)).alias("_of")), "near-nodes")
+    anchored = components(_links(texts, keys, nodes, stored(_anchor_pairs(nodes), "near-anchor-pairs"), "near-anchor-sets"), "near-anchors")
+    apart = nodes.join(anchored, "node", "left").select(F.explode("keys").alias("key"), "node", "n", F.coalesce("root", "node").alias("root"))
+    banded = stored(apart.withColumn("_r", F.xxhash64("key", "node")), "near-bands")
     # ordered by key and hash, so that a key of many rows goes to several tasks
-    ordered = banded.repartitionByRange("key", "_r").sortWithinPartitions("key", "_r").select("key", "node", "n")
+    ordered = banded.repartitionByRange("key", "_r").sortWithinPartitions("key", "_r").select("key", "node", "n", "root")
     pairs = stored(ordered.mapInArrow(_near_rows, "a long, b long").distinct(), "near-pairs")
-    some = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = stored(_sets(texts, keys, nodes, some), "near-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("_x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("_y")), "b")
-    of = components(both.select("a", "b", "_x", "_y").mapInArrow(_confirmed, "a long, b long"), "near")
+    found = _links(texts, keys, nodes, pairs, "near-sets")
+    of = components(found.unionByName(anchored.select(F.col("node").alias("a"), F.col("root").alias("b"))), "near")
     more = components(_further_links(texts, keys, nodes, banded, of), "near-further").withColumnsRenamed({"node": "_root", "root": "_new"})
     rooted = prints.select(*keys, "node").join(of, "node", "left").select(*keys, F.coalesce("root", "node").alias("_root"))
     return rooted.join(more, "_root", "left").select(*keys, F.coalesce("_new", "_root").alias("root"))

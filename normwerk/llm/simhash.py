@@ -22,6 +22,7 @@ id that isn't null (null if there is none).  Rows that repeat come out as often
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -46,6 +47,12 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 # --- fingerprints ---------------------------------------------------------------------------------
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned; bit set if it is set in over half of these unsigned 64-bit hashes."""
+    counts = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(len(hashes), 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str | None) -> int:
     """Unsigned; bit set if it is set in over half of the shingles' hashes."""
     words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
@@ -57,9 +64,7 @@ def fingerprint(text: str | None) -> int:
     starts = np.cumsum([0, *[len(w) + 1 for w in words]])
     digest = xxhash.xxh64_intdigest
     n = len(words) - WORDS + 1
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), (starts[WORDS:] - 1).tolist(), strict=True)], dtype=">u8")
-    counts = np.unpackbits(hashes.view(np.uint8)).reshape(n, 64).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    return majority(np.array([digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), (starts[WORDS:] - 1).tolist(), strict=True)], dtype=">u8"))
 
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "_fp") -> DataFrame:
@@ -143,8 +148,8 @@ def replicas(nodes: DataFrame) -> DataFrame:
 # --- links ----------------------------------------------------------------------------------------
 
 
-def forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(member, root) for the components of links among these fingerprints; roots and single ones are left out.
+def forest(fp: np.ndarray, bits: int = BITS, direct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) for the components of links among these fingerprints; roots and single ones are left out.  With `direct`, a member comes with that it links to.
 
     A search that compares each reached member only with those not reached yet: a large group of near copies is
     reached from its first few members, and no list of pairs is built.
@@ -155,23 +160,24 @@ def forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root, rest = rest[0], rest[1:]
         queue = [root]
         while queue and len(rest):
-            close = np.bitwise_count(rest ^ queue.pop()) <= BITS
+            at = queue.pop()
+            close = np.bitwise_count(rest ^ at) <= bits
             if close.any():
                 found = rest[close]
                 rest = rest[~close]
                 queue += list(found)
                 members.append(found)
-                roots.append(np.full(len(found), root, dtype=np.uint64))
+                roots.append(np.full(len(found), at if direct else root, dtype=np.uint64))
     none = np.zeros(0, dtype=np.uint64)
     return (np.concatenate(members) if members else none).view(np.int64), (np.concatenate(roots) if roots else none).view(np.int64)
 
 
-def _links_of_sorted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links_of_sorted(it: Iterator[pa.RecordBatch], bits: int, direct: bool) -> Iterator[pa.RecordBatch]:
     """Rows ordered by key; holds one key's rows (those of a cell at most) and one batch, and returns each batch's links once."""
     kept_key, kept = None, np.zeros(0, dtype=np.int64)
 
     def out(groups: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        found = [x for x in (forest(g) for g in groups) if len(x[0])]
+        found = [x for x in (forest(g, bits, direct) for g in groups) if len(x[0])]
         if found:
             pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -197,9 +203,10 @@ def _links_of_sorted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out([kept])
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, bits: int = BITS, direct: bool = False) -> DataFrame:
     """a, b: links among distinct fingerprints `fp`, enough of them to make all components.
 
+    With `direct`, a and b always link to each other, for a check to follow.  Beyond BITS, links are those of fingerprints that share a pair of anchors.
     Cells of hot keys have their number's hash for a key; two that shared one would only be compared with each other too.
     """
     copies = stored(replicas(nodes), "simhash-replicas")
@@ -208,7 +215,7 @@ def links(nodes: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64("fp"), F.col("_n")).cast("int")
     cells = copies.join(hot, "key").withColumn("_b", block).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     dealt = few.unionByName(cells.select(F.xxhash64("key", F.least("_b", "_c"), F.greatest("_b", "_c")).alias("key"), "fp"))
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links_of_sorted, "a long, b long").distinct()
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_links_of_sorted, bits=bits, direct=direct), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, name: str = "simhash") -> DataFrame:

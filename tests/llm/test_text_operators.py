@@ -8,13 +8,14 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from normwerk.llm import decontaminate, langid, line_templates, packing, quality, queries, simhash, token_files, tokens
+from normwerk.llm import decontaminate, langid, line_templates, near_copies, packing, quality, queries, simhash, token_files, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = SCHEMA + ", score double, _k1 long, fp string, key string, rank int"
@@ -374,6 +375,37 @@ def test_near_copies_by_five_word_shingles(spark):
     assert kept == set(range(120)) - {i + 1 for i in linked}
 
 
+def test_near_copies_are_found_by_anchors(spark, monkeypatch):
+    """Without minhash: texts of equal words but one, whose fingerprints of 5-word shingles are within 4 bits, come together; others don't."""
+
+    def nothing(it):
+        for b in it:
+            yield pa.RecordBatch.from_pylist([], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    rng = random.Random(16)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(400)] for _ in range(30)]
+    texts = [" ".join(w) for w in base] + [" ".join(["changed", *w[1:]]) for w in base]
+
+    def plain(t):
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in {" ".join(t.split()[i : i + 5]) for i in range(396)}]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    linked = [i for i in range(30) if (plain(texts[i]) ^ plain(texts[30 + i])).bit_count() <= 4]
+    assert len(linked) > 25
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = near_copies.nodes_of(docs)
+    at = {r["doc_id"]: (r["node"], r["fp"]) for r in nodes.collect()}
+    assert all(f % 2**64 == plain(texts[i]) for i, (_, f) in at.items())
+    pairs = {frozenset((r["a"], r["b"])) for r in near_copies._anchor_pairs(nodes).collect()}
+    assert {frozenset((at[i][0], at[30 + i][0])) for i in linked} <= pairs
+    prints = dict(at.values())
+    assert all(((prints[a] ^ prints[b]) % 2**64).bit_count() <= near_copies.RADIUS for a, b in pairs)
+    monkeypatch.setattr(near_copies, "_near_rows", nothing)
+    monkeypatch.setattr(near_copies, "_further_links", lambda *_: spark.createDataFrame([], "a long, b long"))
+    root = {r["doc_id"]: r["root"] for r in near_copies.roots(docs, ["doc_id"]).collect()}
+    assert all(root[i] == root[30 + i] for i in linked) and len(set(root.values())) >= 30
+
+
 def test_near_duplicates_keeps_a_row_of_every_group(spark):
     rng = random.Random(13)
     a, b, c, d = (prose(rng, 60) for _ in range(4))
