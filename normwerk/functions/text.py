@@ -126,7 +126,8 @@ def slug(text: Column | str) -> Column:
 
 
 def project_prefix(c: Column | str) -> Column:
-    return first_match(F.translate(_col(c), "/\\", "__"), r"^\d{2}-\d{2}_\d{4,6}")
+    """Two numbers of two digits and one of four digits or more, which is taken whole: cut to six it would be another project's."""
+    return first_match(F.translate(_col(c), "/\\", "__"), r"^\d{2}-\d{2}_\d{4,}")
 
 
 def is_comments_file(name: Column | str) -> Column:

@@ -355,3 +355,10 @@ def test_streamed_addresses_of_every_day_are_close(spark, tmp_path):
     streams.to_table(streams.daily_traffic(spark.readStream.schema("line string").parquet(f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     got = {r["day"]: r["ips"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert len(got) >= len(exact) - 2 and all(abs(n - exact[d]) <= max(2, 0.05 * exact[d]) for d, n in got.items())
+
+
+def test_linked_folders_of_long_numbers(spark):
+    projects = spark.createDataFrame([("02-10/100004",), ("02-10/1000041",), ("02-10/1000042",), ("02-10/123",)], "project string")
+    folders = spark.createDataFrame([(f"02-10_{n} school", 1, f"/a/{n}", n != "1000042") for n in ("100004", "1000041", "1000042")], "folder string, root int, path string, has_comments boolean")
+    want = [("02-10/100004", "02-10_100004", "/a/100004", "linked"), ("02-10/1000041", "02-10_1000041", "/a/1000041", "linked"), ("02-10/1000042", "02-10_1000042", "/a/1000042", "no_comments_file"), ("02-10/123", None, None, "no_prefix")]
+    assert rows(hygiene.linked_folders(projects, folders)) == sorted(want, key=repr)
