@@ -71,7 +71,7 @@ def dump_read(spark, sf_dir):
     after = F.lead("kind").over(Window.partitionBy("k").orderBy("kind", "id"))  # rows of one object, a bounded number
     element = F.col("kind") % 2 == 1
     mark = F.when((F.col("kind") > 0) & element, F.when(after == F.col("kind"), ",").otherwise("],")).otherwise("")
-    out = lines.select("k", "kind", "id", F.concat("value", mark).alias("value")).repartition("k").sortWithinPartitions("k", "kind", "id")
+    out = lines.select("k", "kind", "id", F.concat("value", mark).alias("value")).sortWithinPartitions("k", "kind", "id")  # the window has brought each object together
     out.select("k", "value").write.partitionBy("k").text(path)
     t = readers.read_dump(spark, path)
     memory = t["memory"].select(F.lit("memory").alias("array"), "id", F.md5("content").alias("text_md5"), F.col("content_type").alias("kind"), F.size("tags").alias("n"))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from normwerk.sources.dump import elements
 from normwerk.sources.keyset import KeysetSource
-from normwerk.sources.shared import stored
 
 DUMP = {
     "memory": "id string, content string, content_type string, summary string, tags array<string>, source string, priority string, status string, related_project string, created_at string",
@@ -48,7 +47,7 @@ def read_table(spark: SparkSession, url: str, table: str, key: str = "id", parti
 
 def read_dump(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Three tables from JSON objects with three arrays that other text may wrap, each read by as many tasks as its bytes ask for (see sources.dump)."""
-    found = stored(elements(spark, path), "dump-elements")
+    found = elements(spark, path)  # from a stored table
     return {k: found.filter(F.col("array") == k).select(F.from_json("element", columns).alias("_e")).select("_e.*") for k, columns in DUMP.items()}
 
 

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from normwerk.sources import dump, readers
+from normwerk.sources import dump, readers, shared
 
 
 def plain(texts):
@@ -74,3 +74,26 @@ def test_broken_and_empty_dumps(spark, tmp_path):
     (tmp_path / "c.json").write_text("no object")
     (tmp_path / "d.json").write_text("{}")
     assert sorted(r["id"] for r in readers.read_dump(spark, str(tmp_path))["memory"].collect()) == ["1", "2"]
+
+
+def test_no_row_is_stored_for_a_fragment(spark, tmp_path, monkeypatch):
+    rows = [{"id": str(i), "content": '}{ " \\ ]}' * (i % 9)} for i in range(300)]
+    (tmp_path / "a.json").write_text(json.dumps({"memory": rows, "projects": [{"id": "p"}]}))
+    (tmp_path / "b.json").write_text("} \" {" + json.dumps({"agent_logs": [{"agent_id": "}"}], "memory": [{"id": "x"}]})[1:] + " } x")
+    paths, new_path = [], shared.new_path
+    monkeypatch.setattr(shared, "new_path", lambda *a: paths.append(new_path(*a)) or paths[-1])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for size, records in (("900b", "3"), ("128m", "7")):  # blocks of several batches
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+            got = readers.read_dump(spark, str(tmp_path))
+            assert sorted((r["id"], r["content"]) for r in got["memory"].collect()) == sorted([*((r["id"], r["content"]) for r in rows), ("x", None)], key=lambda r: r[0])
+            assert [r["id"] for r in got["projects"].collect()] == ["p"] and [r["agent_id"] for r in got["agent_logs"].collect()] == ["}"]
+            stored = {p: spark.read.parquet(p).count() for p in paths}
+            blocks = sum(n for p, n in stored.items() if "blocks" in p or "starts" in p)
+            assert sum(stored.values()) - blocks <= 303 + 10 and blocks <= 2 * 60  # elements once, a row for each block, file and array
+            paths.clear()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
